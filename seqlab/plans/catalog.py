@@ -12,4 +12,10 @@ QUERIES = {
     "session_features": events.q_session_features,
     "sliding_features": events.q_sliding_features,
     "sliding_lexical": events.q_sliding_lexical,
+    "nearest_join": events.q_nearest_join,
+    "nearest_join_scan": events.q_nearest_join_scan,
+    "nearest_join_gap": events.q_nearest_join_gap,
+    "nearest_join_gap_scan": events.q_nearest_join_gap_scan,
+    "group_sorted": events.q_group_sorted,
+    "period_filter": events.q_period_filter,
 }

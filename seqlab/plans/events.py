@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from seqlab.functions.scan import time_block
 from seqlab.operators.features import sliding_features
-from seqlab.operators.groups import filter_min_group
+from seqlab.operators.groups import filter_min_group, sort_sessions
+from seqlab.operators.joins import nearest_join
 from seqlab.operators.sessionize import filter_min_events, sessionize
-from seqlab.sources.tables import table
+from seqlab.sources.tables import read_period, table
 
 # Block size of the per-user scans: one day of one user's events.
 EVENT_BLOCK_UNIT = "day"
@@ -84,3 +85,52 @@ def q_sliding_lexical(spark, data_dir):
     return sliding_features(ev, "user_id", ["eid_text"], width=4, feature_cols=["value"],
                             target_cols={"target": "value"}, start_cols={"event_id": "event_id"},
                             block="blk")
+
+
+def _purchases_views(spark, data_dir):
+    ev = table(spark, data_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    purchases = (ev.where(F.col("event_type") == "purchase")
+                 .select("event_id", "user_id", "ts", "value", F.to_date("ts").alias("day")))
+    views = (ev.where(F.col("event_type") == "view")
+             .select("user_id", F.to_date("ts").alias("view_day"), F.col("ts").alias("view_ts"),
+                     F.col("event_id").alias("view_id"), F.col("value").alias("view_value")))
+    return purchases, views
+
+
+def nearest_view(spark, data_dir, strategy="auto", max_gap_seconds=None):
+    purchases, views = _purchases_views(spark, data_dir)
+    return nearest_join(purchases, views, left_keys=["user_id", "day"], right_keys=["user_id", "view_day"],
+                        left_ts="ts", right_ts="view_ts", right_cols=["view_ts", "view_id", "view_value"],
+                        max_gap_seconds=max_gap_seconds, strategy=strategy)
+
+
+def q_nearest_join(spark, data_dir):
+    return nearest_view(spark, data_dir)
+
+
+def q_nearest_join_scan(spark, data_dir):
+    return nearest_view(spark, data_dir, strategy="scan")
+
+
+def q_nearest_join_gap(spark, data_dir):
+    return nearest_view(spark, data_dir, max_gap_seconds=3600)
+
+
+def q_nearest_join_gap_scan(spark, data_dir):
+    return nearest_view(spark, data_dir, strategy="scan", max_gap_seconds=3600)
+
+
+def q_group_sorted(spark, data_dir):
+    """Sessions in the order of the text key ``user + ' ' + start`` with
+    their 1-based position in that order."""
+    s = event_sessions(spark, data_dir)
+    key = F.concat_ws(" ", F.col("user_id").cast("string"), F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    block = F.concat_ws(" ", F.col("user_id").cast("string"), F.date_format("start_ts", "yyyy-MM-dd"))
+    out = sort_sessions(s.select("user_id", "session_id", "start_ts"), key, rank_col="pos", block=block)
+    return out
+
+
+def q_period_filter(spark, data_dir):
+    """Orders of the period ``199610`` (a month); the range predicate on the
+    date reaches the Parquet scan."""
+    return read_period(table(spark, data_dir, "orders"), "o_orderdate", "199610")

@@ -83,3 +83,37 @@ ORACLES: dict[str, str] = {
     "sliding_features": SLIDING_FEATURES,
     "sliding_lexical": SLIDING_LEXICAL,
 }
+
+_NEAREST_BASE = """WITH p AS (SELECT event_id, user_id, ts, value, CAST(ts AS DATE) AS day FROM events WHERE event_type = 'purchase'),
+v AS (SELECT user_id, CAST(ts AS DATE) AS view_day, ts AS view_ts, event_id AS view_id, value AS view_value
+      FROM events WHERE event_type = 'view'),
+c AS (SELECT p.*, v.view_ts, v.view_id, v.view_value, abs(epoch_us(p.ts) - epoch_us(v.view_ts)) AS gap,
+             ROW_NUMBER() OVER (PARTITION BY p.event_id
+                                ORDER BY abs(epoch_us(p.ts) - epoch_us(v.view_ts)), v.view_ts, v.view_id, v.view_value) AS rk
+      FROM p LEFT JOIN v ON p.user_id = v.user_id AND p.day = v.view_day)"""
+
+NEAREST = _NEAREST_BASE + """
+SELECT event_id, user_id, ts, value, day, view_ts, view_id, view_value FROM c WHERE rk = 1"""
+
+NEAREST_GAP = _NEAREST_BASE + """
+SELECT event_id, user_id, ts, value, day,
+       CASE WHEN gap <= 3600000000 THEN view_ts END AS view_ts,
+       CASE WHEN gap <= 3600000000 THEN view_id END AS view_id,
+       CASE WHEN gap <= 3600000000 THEN view_value END AS view_value
+FROM c WHERE rk = 1"""
+
+GROUP_SORTED = f"""SELECT user_id, session_id, start_ts,
+  CAST(ROW_NUMBER() OVER (ORDER BY CAST(user_id AS VARCHAR) || ' ' || strftime(start_ts, '%Y-%m-%d %H:%M:%S.%f')) AS BIGINT) AS pos
+FROM ({SESSIONS_CARRY}) s"""
+
+PERIOD_FILTER = """SELECT * FROM orders
+WHERE o_orderdate >= TIMESTAMP '1996-10-01' AND o_orderdate < TIMESTAMP '1996-11-01'"""
+
+ORACLES.update({
+    "nearest_join": NEAREST,
+    "nearest_join_scan": NEAREST,
+    "nearest_join_gap": NEAREST_GAP,
+    "nearest_join_gap_scan": NEAREST_GAP,
+    "group_sorted": GROUP_SORTED,
+    "period_filter": PERIOD_FILTER,
+})
