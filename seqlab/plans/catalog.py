@@ -1,8 +1,9 @@
-"""Registry of the queries the driver runs (name -> callable(spark, data_dir))."""
+"""Registry of the queries the driver runs (name -> callable(spark, data_dir))
+and of their DuckDB oracles (name -> SQL)."""
 
 from __future__ import annotations
 
-from seqlab.plans import events
+from seqlab.plans import appliance, appliance_sql, events, oracles
 
 QUERIES = {
     "sessionize": events.q_sessionize,
@@ -19,3 +20,6 @@ QUERIES = {
     "group_sorted": events.q_group_sorted,
     "period_filter": events.q_period_filter,
 }
+QUERIES.update({name: getattr(appliance, f"q_{name}") for name in appliance_sql.ORACLES})
+
+ORACLES = {**oracles.ORACLES, **appliance_sql.ORACLES}
