@@ -3,7 +3,7 @@ and of their DuckDB oracles (name -> SQL)."""
 
 from __future__ import annotations
 
-from seqlab.plans import appliance, appliance_sql, events, oracles
+from seqlab.plans import appliance, appliance_sql, docs, events, oracles
 
 QUERIES = {
     "sessionize": events.q_sessionize,
@@ -21,5 +21,6 @@ QUERIES = {
     "period_filter": events.q_period_filter,
 }
 QUERIES.update({name: getattr(appliance, f"q_{name}") for name in appliance_sql.ORACLES})
+QUERIES.update(docs.QUERIES)
 
-ORACLES = {**oracles.ORACLES, **appliance_sql.ORACLES}
+ORACLES = {**oracles.ORACLES, **appliance_sql.ORACLES, **docs.ORACLES}
