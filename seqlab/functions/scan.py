@@ -88,7 +88,14 @@ def running(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str],
         *[F.first(f"__bf_{n}", ignorenulls=True).over(after).alias(f"__of_{n}") for n in firsts],
         *[F.lag(f"__bp_{n}").over(wb).alias(f"__op_{n}") for n in prevs],
     )
-    joined = local.join(offsets, on=keys, how="inner")
+    # Null-safe: a NULL key is one partition, like in the window itself.
+    offsets = offsets.select(*[F.col(k).alias(f"__ok{i}") for i, k in enumerate(keys)],
+                             *[c for c in offsets.columns if c not in keys])
+    cond = None
+    for i, k in enumerate(keys):
+        e = local[k].eqNullSafe(offsets[f"__ok{i}"])
+        cond = e if cond is None else cond & e
+    joined = local.join(offsets, on=cond, how="inner")
     out = joined.select(
         "*",
         *[(F.col(f"__ls_{n}") + F.col(f"__os_{n}")).alias(n) for n in sums],

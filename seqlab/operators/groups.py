@@ -20,8 +20,14 @@ def filter_min_group(df: DataFrame, key: str | Sequence[str], k: int = 3,
     """
     keys = [key] if isinstance(key, str) else list(key)
     name = size_col or "__size"
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias(name)).where(F.col(name) > k)
-    out = df.join(sizes, on=keys, how="inner")
+    sizes = (df.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias(name)).where(F.col(name) > k)
+             .select(*[F.col(c).alias(f"__g_{c}") for c in keys], name))
+    # NULL keys form one group, as in the reference (missing user = "").
+    cond = None
+    for c in keys:
+        e = df[c].eqNullSafe(sizes[f"__g_{c}"])
+        cond = e if cond is None else cond & e
+    out = df.join(sizes, on=cond, how="inner").drop(*[f"__g_{c}" for c in keys])
     return out if size_col else out.drop(name)
 
 

@@ -57,6 +57,12 @@ def nearest_join(left: DataFrame, right: DataFrame, *, left_keys: Sequence[str],
         out = joined.select(*[left[c] for c in left.columns], F.when(lt.isNotNull(), best).alias("__best"))
     elif strategy == "scan":
         lcols = left.columns
+        # Rows with a NULL key or time cannot match: they skip the scan.
+        keyed = F.col(left_ts).isNotNull()
+        for c in left_keys:
+            keyed = keyed & F.col(c).isNotNull()
+        unmatched = left.where(~keyed)
+        left = left.where(keyed)
         lefts = left.select(*[F.col(c).alias(k) for c, k in zip(left_keys, lk)],
                             F.col(left_ts).alias("__t"), F.lit(0).alias("__side"),
                             F.struct(*[F.col(c) for c in lcols]).alias("__left"))
@@ -80,6 +86,7 @@ def nearest_join(left: DataFrame, right: DataFrame, *, left_keys: Sequence[str],
                 .when(F.col("__next").isNotNull(),
                       F.struct(dn.alias("d"), F.col("__next.t").alias("t"), F.col("__next.p").alias("p"))))
         out = scanned.select(*[F.col(f"__left.{c}").alias(c) for c in lcols], best.alias("__best"))
+        out = out.unionByName(unmatched.select(*lcols, F.lit(None).cast(out.schema["__best"].dataType).alias("__best")))
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
 
