@@ -3,7 +3,7 @@ and of their DuckDB oracles (name -> SQL)."""
 
 from __future__ import annotations
 
-from seqlab.plans import appliance, appliance_sql, docs, events, logs, logs_sql, models, oracles
+from seqlab.plans import appliance, appliance_sql, docs, events, logs, logs_sql, models, oracles, streams
 
 QUERIES = {
     "sessionize": events.q_sessionize,
@@ -24,5 +24,7 @@ QUERIES.update({name: getattr(appliance, f"q_{name}") for name in appliance_sql.
 QUERIES.update(docs.QUERIES)
 QUERIES.update(models.QUERIES)
 QUERIES.update(logs.QUERIES)
+QUERIES.update(streams.QUERIES)
 
-ORACLES = {**oracles.ORACLES, **appliance_sql.ORACLES, **docs.ORACLES, **logs_sql.ORACLES}
+ORACLES = {**oracles.ORACLES, **appliance_sql.ORACLES, **docs.ORACLES, **logs_sql.ORACLES,
+           **streams.ORACLES}
