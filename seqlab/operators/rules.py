@@ -14,7 +14,6 @@ categories}`` left.
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -108,40 +107,61 @@ def rule_text(rules: DataFrame) -> DataFrame:
     return rules.select("*", F.array_join(parts, " -> ").alias("text"))
 
 
-def _holds(c: Column, x: Column) -> Column:
-    v = F.element_at(x, c["feature"] + 1)
-    first = F.element_at(c["vals"], 1)
-    return (F.when(c["op"] == 0, v >= first).when(c["op"] == 1, v <= first)
-            .when(c["op"] == 2, v > first).when(c["op"] == 3, v < first)
-            .when(c["op"] == 4, F.array_contains(c["vals"], v))
-            .otherwise(~F.array_contains(c["vals"], v)))
+def _collect_rules(rules: DataFrame, max_rules: int) -> list[dict]:
+    """The rule table on the driver: it is a model, bounded by ``max_rules``
+    (checked with one bounded read, the table is evaluated once)."""
+    rows = rules.select("tree", "conds", "prediction").limit(max_rules + 1).collect()
+    if len(rows) > max_rules:
+        raise ValueError(f"more than {max_rules} rules")
+    return [r.asDict(recursive=True) for r in rows]
 
 
-_RULES_TYPE = f"array<struct<tree:int,conds:array<{_COND}>,prediction:double>>"
+def _num_sql(v: float) -> str:
+    return f"CAST('{float(v)!r}' AS DOUBLE)"
 
 
-def rules_literal(rules: DataFrame, max_rules: int = 100_000) -> Column:
-    """The rule table as one constant column (a model: its size is checked)."""
-    n = rules.count()
-    if n > max_rules:
-        raise ValueError(f"{n} rules exceed the bound {max_rules}")
-    rows = [r.asDict(recursive=True) for r in rules.select("tree", "conds", "prediction").collect()]
-    return F.from_json(F.lit(json.dumps(rows)), _RULES_TYPE)
+def _cond_sql(c: dict, x: str) -> str:
+    v = f"element_at({x}, {int(c['feature']) + 1})"
+    op = c["op"]
+    if op in (OP_CODES["in"], OP_CODES["not in"]):
+        vals = ", ".join(_num_sql(t) for t in c["vals"])
+        return f"{v} {'NOT IN' if op == OP_CODES['not in'] else 'IN'} ({vals})"
+    return f"{v} {OP_TEXT[op]} {_num_sql(c['vals'][0])}"
+
+
+def _decision_sql(rules: list[dict], x: str, depth: int = 0) -> str:
+    """Nested CASE of one tree rebuilt from its root-to-leaf rules: the rules
+    sharing the condition at ``depth`` go left, the rest (its complement)
+    go right. Evaluation walks one path: O(depth) per row."""
+    if len(rules) == 1 and len(rules[0]["conds"]) <= depth:
+        return _num_sql(rules[0]["prediction"])
+    pivot = rules[0]["conds"][depth]
+    left = [r for r in rules if r["conds"][depth] == pivot]
+    right = [r for r in rules if r["conds"][depth] != pivot]
+    if not right:
+        return _decision_sql(left, x, depth + 1)
+    return (f"CASE WHEN {_cond_sql(pivot, x)} THEN {_decision_sql(left, x, depth + 1)} "
+            f"ELSE {_decision_sql(right, x, depth + 1)} END")
+
+
+def tree_predictions(rules: DataFrame, features: str = "x", max_rules: int = 100_000) -> list[Column]:
+    """One prediction column per tree of a rule table (from :func:`tree_rules`),
+    each a decision expression built as one SQL text."""
+    by_tree: dict[int, list[dict]] = {}
+    for r in _collect_rules(rules, max_rules):
+        by_tree.setdefault(r["tree"], []).append(r)
+    return [F.expr(_decision_sql(rs, f"`{features}`")) for _, rs in sorted(by_tree.items())]
 
 
 def score_rules(df: DataFrame, rules: DataFrame, features: str = "x", max_rules: int = 100_000) -> DataFrame:
-    """Prediction of every row by the rule table: per tree the one rule whose
-    conditions all hold, then the majority of the trees (ties to the smaller
+    """Prediction of every row by a rule table: per tree the rule whose
+    conditions hold, then the majority of the trees (ties to the smaller
     class). ``features`` is an ``array<double>`` column.
 
-    The rules travel inside the plan as one constant; every row evaluates them
-    with ``filter``/``forall`` and keeps only the matches, so no (row, rule)
-    pair is ever materialised and the data is not shuffled.
+    The rules become one decision expression per tree inside the plan (a
+    model-sized constant); rows are scored where they are, with no join and
+    no shuffle, each walking one path per tree.
     """
-    R = rules_literal(rules, max_rules)
-    x = F.col(features)
-    hits = F.filter(R, lambda r: F.forall(r["conds"], lambda c: _holds(c, x)))
-    per_tree = F.transform(hits, lambda r: r["prediction"])
-    best = F.array_max(F.transform(per_tree, lambda v: F.struct(
-        F.size(F.filter(per_tree, lambda u: u == v)).alias("n"), (-v).alias("neg"))))
-    return df.select("*", F.size(hits).alias("n_hits"), (-best["neg"]).alias("prediction"))
+    from seqlab.operators.models import majority_vote
+    preds = tree_predictions(rules, features, max_rules)
+    return df.select("*", F.lit(len(preds)).alias("n_trees"), majority_vote(preds).alias("prediction"))

@@ -95,7 +95,7 @@ def q_score_rules(spark, data_dir):
     votes) beside the forest's own majority prediction."""
     rows, rules = fitted_rules(spark, data_dir, "forest", **{**FOREST, "num_trees": 5})
     scored = score_rules(rows.withColumn("x", vector_values("features")), rules, "x")
-    return scored.select("event_id", "label", "n_hits", F.col("prediction").alias("rule_prediction"))
+    return scored.select("event_id", "label", "n_trees", F.col("prediction").alias("rule_prediction"))
 
 
 QUERIES = {

@@ -39,7 +39,7 @@ def test_rules_score_like_the_trees(spark, tmp_dir):
     ops = {c["op"] for r in rules.collect() for c in r.conds}
     assert 4 in ops or 5 in ops, "the nominal feature must give category splits"
     scored = score_rules(df.withColumn("x", vector_values("features")), rules, "x")
-    assert scored.where(F.col("n_hits") != 3).count() == 0
+    assert scored.where(F.col("n_trees") != 3).count() == 0
     majority = predict(model, df, forest_vote="majority").select("id", F.col("prediction").alias("m"))
     cmp = scored.join(majority, "id")
     assert cmp.where(F.col("prediction") != F.col("m")).count() == 0
