@@ -14,6 +14,7 @@ Supported scans (all over ``order_by`` inside ``partition_by``):
 * ``lasts``  last non-NULL value at or before the row
 * ``firsts`` first non-NULL value at or after the row
 * ``prevs``  value of the previous row (NULL on the first row of the key)
+* ``starts`` running count of the rows that start a run of one value
 """
 
 from __future__ import annotations
@@ -33,41 +34,63 @@ def running(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str],
             sums: Mapping[str, Column] | None = None,
             lasts: Mapping[str, Column] | None = None,
             firsts: Mapping[str, Column] | None = None,
-            prevs: Mapping[str, Column] | None = None) -> DataFrame:
+            prevs: Mapping[str, Column] | None = None,
+            starts: Mapping[str, tuple[Column, object]] | None = None) -> DataFrame:
     """Add running-scan columns to ``df``; see module doc.
 
+    ``starts`` maps a name to ``(column, value)``: the running count of rows
+    that start a run of ``value`` (the column equals ``value`` and the
+    previous row's does not).
+
     ``block`` names a column of ``df`` that is monotone in ``order_by`` inside
     each partition: every row of a smaller block precedes every row of a
     larger one. Without ``block`` the scan is one window per key (fine when
     keys are known to be small).
     """
     sums, lasts, firsts, prevs = dict(sums or {}), dict(lasts or {}), dict(firsts or {}), dict(prevs or {})
+    starts = dict(starts or {})
     part, order = list(partition_by), list(order_by)
 
-    staged = df.select("*", *[F.coalesce(c, F.lit(0)).alias(f"__s_{n}") for n, c in sums.items()],
+    # All partition columns in one struct: never NULL, so the block offsets
+    # join back with a plain equi-join on the very columns the rows are
+    # already partitioned by (NULL keys still form one partition).
+    staged = df.select("*", F.struct(*[F.col(c) for c in part]).alias("__pk"),
+                       *[F.coalesce(c, F.lit(0)).alias(f"__s_{n}") for n, c in sums.items()],
                        *[c.alias(f"__l_{n}") for n, c in lasts.items()],
                        *[c.alias(f"__f_{n}") for n, c in firsts.items()],
-                       *[c.alias(f"__p_{n}") for n, c in prevs.items()])
-    keys = part + ([block] if block else [])
+                       *[c.alias(f"__p_{n}") for n, c in prevs.items()],
+                       *[c.alias(f"__r_{n}") for n, (c, _) in starts.items()])
+    keys = ["__pk"] + ([block] if block else [])
     w = Window.partitionBy(*keys).orderBy(*_cols(order))
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+
+    def is_v(n):
+        return F.coalesce(F.col(f"__r_{n}") == F.lit(starts[n][1]), F.lit(False))
+
     local = staged.select(
         "*",
         *[F.sum(f"__s_{n}").over(upto).alias(f"__ls_{n}") for n in sums],
         *[F.last(f"__l_{n}", ignorenulls=True).over(upto).alias(f"__ll_{n}") for n in lasts],
         *[F.first(f"__f_{n}", ignorenulls=True).over(ahead).alias(f"__lf_{n}") for n in firsts],
         *[F.lag(f"__p_{n}").over(w).alias(f"__lp_{n}") for n in prevs],
+        *[is_v(n).alias(f"__rv_{n}") for n in starts],
         *([F.row_number().over(w).alias("__rn")] if (block and prevs) else []),
     )
-    temps = [c for c in local.columns if c not in df.columns]
+    if starts:
+        local = local.select("*", *[
+            (F.col(f"__rv_{n}") & ~F.coalesce(F.lag(f"__rv_{n}").over(w), F.lit(False))).cast("long")
+            .alias(f"__rs_{n}") for n in starts])
+        local = local.select("*", *[F.sum(f"__rs_{n}").over(upto).alias(f"__lr_{n}") for n in starts])
+    outputs = set(sums) | set(lasts) | set(firsts) | set(prevs) | set(starts)
 
     if not block:
         out = local.select("*", *[F.col(f"__ls_{n}").alias(n) for n in sums],
                            *[F.col(f"__ll_{n}").alias(n) for n in lasts],
                            *[F.col(f"__lf_{n}").alias(n) for n in firsts],
-                           *[F.col(f"__lp_{n}").alias(n) for n in prevs])
-        return out.drop(*temps)
+                           *[F.col(f"__lp_{n}").alias(n) for n in prevs],
+                           *[F.col(f"__lr_{n}").alias(n) for n in starts])
+        return out.drop(*[c for c in out.columns if c not in df.columns and c not in outputs])
 
     # One summary row per block, then a scan over the (small) block table.
     pos = F.struct(*_cols(order))
@@ -76,34 +99,38 @@ def running(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str],
         *[F.max_by(f"__l_{n}", F.when(F.col(f"__l_{n}").isNotNull(), pos)).alias(f"__bl_{n}") for n in lasts],
         *[F.min_by(f"__f_{n}", F.when(F.col(f"__f_{n}").isNotNull(), pos)).alias(f"__bf_{n}") for n in firsts],
         *[F.max_by(f"__p_{n}", pos).alias(f"__bp_{n}") for n in prevs],
-        *([] if (sums or lasts or firsts or prevs) else [F.count(F.lit(1)).alias("__bn")]),
+        *[F.sum(f"__rs_{n}").alias(f"__bt_{n}") for n in starts],
+        *[F.min_by(f"__rv_{n}", pos).alias(f"__bfv_{n}") for n in starts],
+        *[F.max_by(f"__rv_{n}", pos).alias(f"__blv_{n}") for n in starts],
+        F.count(F.lit(1)).alias("__bn"),
     )
-    wb = Window.partitionBy(*part).orderBy(block)
+    wb = Window.partitionBy("__pk").orderBy(block)
     before = wb.rowsBetween(Window.unboundedPreceding, -1)
     after = wb.rowsBetween(1, Window.unboundedFollowing)
+    if starts:
+        # A block whose first row continues the previous block's run does
+        # not start a run there.
+        summary = summary.select("*", *[
+            (F.col(f"__bfv_{n}") & F.coalesce(F.lag(f"__blv_{n}").over(wb), F.lit(False))).cast("long")
+            .alias(f"__bc_{n}") for n in starts])
     offsets = summary.select(
         *keys,
         *[F.coalesce(F.sum(f"__bs_{n}").over(before), F.lit(0)).alias(f"__os_{n}") for n in sums],
         *[F.last(f"__bl_{n}", ignorenulls=True).over(before).alias(f"__ol_{n}") for n in lasts],
         *[F.first(f"__bf_{n}", ignorenulls=True).over(after).alias(f"__of_{n}") for n in firsts],
         *[F.lag(f"__bp_{n}").over(wb).alias(f"__op_{n}") for n in prevs],
+        *[(F.coalesce(F.sum(F.col(f"__bt_{n}") - F.col(f"__bc_{n}")).over(before), F.lit(0))
+           - F.col(f"__bc_{n}")).alias(f"__or_{n}") for n in starts],
     )
-    # Null-safe: a NULL key is one partition, like in the window itself.
-    offsets = offsets.select(*[F.col(k).alias(f"__ok{i}") for i, k in enumerate(keys)],
-                             *[c for c in offsets.columns if c not in keys])
-    cond = None
-    for i, k in enumerate(keys):
-        e = local[k].eqNullSafe(offsets[f"__ok{i}"])
-        cond = e if cond is None else cond & e
-    joined = local.join(offsets, on=cond, how="inner")
+    joined = local.join(offsets, on=keys, how="inner")
     out = joined.select(
         "*",
         *[(F.col(f"__ls_{n}") + F.col(f"__os_{n}")).alias(n) for n in sums],
         *[F.coalesce(f"__ll_{n}", f"__ol_{n}").alias(n) for n in lasts],
         *[F.coalesce(f"__lf_{n}", f"__of_{n}").alias(n) for n in firsts],
         *[F.when(F.col("__rn") == 1, F.col(f"__op_{n}")).otherwise(F.col(f"__lp_{n}")).alias(n) for n in prevs],
+        *[(F.col(f"__lr_{n}") + F.col(f"__or_{n}")).alias(n) for n in starts],
     )
-    outputs = set(sums) | set(lasts) | set(firsts) | set(prevs)
     return out.drop(*[c for c in out.columns if c not in df.columns and c not in outputs])
 
 

@@ -22,10 +22,10 @@ Rules (one state machine per unit, walking rows in order):
   new run replaces it. With ``carry_over=False`` the header drops it.
 * A session still pending when the unit ends is never emitted.
 
-Set-based form, all over the running scans of :func:`running`:
-``run`` = non-on rows before the row, ``off_grp`` = off rows before the row,
-``seq`` = run starts up to the row. Runs are aggregated by
-``(unit, off_grp, run)``; the emitted session of an off group is its last run
+Set-based form: one blocked pass of :func:`running` over the rows gives
+``run`` (non-on rows before the row) and ``off_grp`` (off rows before the
+row); runs are aggregated by ``(unit, off_grp, run)`` and a second scan over
+the run table numbers the runs that have on rows (``seq``); the emitted session of an off group is its last run
 with on rows, if an off closes the group. All steps are scans over bounded
 blocks or aggregations with map-side combine, so one huge unit does not end
 up in one task.
@@ -51,8 +51,6 @@ def sessionize(df: DataFrame, *, file_col: str, order_cols: Sequence[str], kind_
     *header_cols, *settings_cols``. ``file_no`` (default: ``file_col``) is the
     prefix of the session id ``<file_no>-<seq>``."""
     kind = F.col(kind_col)
-    is_on = (kind == ON).cast("int")
-    is_off = (kind == OFF).cast("int")
     order = list(order_cols)
     file_no = file_no if file_no is not None else F.col(file_col)
     hdr = F.struct(*[F.col(c) for c in header_cols]) if header_cols else F.struct(F.lit(None).alias("_"))
@@ -67,40 +65,43 @@ def sessionize(df: DataFrame, *, file_col: str, order_cols: Sequence[str], kind_
                    sums={"__stops": (F.col("__kind") == STOP).cast("int"),
                          "__not_on": (F.col("__kind") != ON).cast("int"),
                          "__offs": (F.col("__kind") == OFF).cast("int")},
-                   lasts={"__hdr": F.col("__hdr_here")},
-                   prevs={"__prev_kind": F.col("__kind")})
+                   lasts={"__hdr": F.col("__hdr_here")})
     rows = rows.where(F.col("__stops") == 0)
     on = F.col("__kind") == ON
     rows = rows.select(
         "*",
         (F.col("__not_on") - (~on).cast("int")).alias("__run"),
         (F.col("__offs") - (F.col("__kind") == OFF).cast("int")).alias("__off_grp"),
-        (on & F.coalesce(F.col("__prev_kind") != ON, F.lit(True))).cast("int").alias("__start"),
+        (F.col(block_col) if block_col else F.lit(0)).alias("__blk"),
     )
-    rows = running(rows, [file_col], order, block=block_col, sums={"__seq": F.col("__start")})
 
     pos = F.struct(*[F.col(c) for c in order])
-    first = F.struct(F.col("__seq").alias("seq"), F.col("__hdr").alias("hdr"),
-                     F.col("__set").alias("set"), F.col("__time").alias("start"),
+    first = F.struct(F.col("__hdr").alias("hdr"), F.col("__set").alias("set"), F.col("__time").alias("start"),
                      F.col("__file_no").alias("file_no"))
     runs = rows.groupBy(file_col, "__off_grp", "__run").agg(
         F.sum(F.col("__kind").eqNullSafe(ON).cast("int")).alias("n_on"),
         F.min_by(first, F.when(on, pos)).alias("first"),
         F.max_by(F.col("__time"), F.when(on, pos)).alias("end"),
         F.max(F.col("__kind").eqNullSafe(OFF).cast("int")).alias("has_off"),
+        F.min("__blk").alias("__rblk"),
     )
+    # Sequence number = runs with on rows so far in the unit, lost ones too;
+    # a scan over the (much smaller) run table, blocked like the rows.
+    runs = running(runs, [file_col], ["__run"], block="__rblk" if block_col else None,
+                   sums={"seq": (F.col("n_on") > 0).cast("int")})
     if carry_over:
         sess = runs.groupBy(file_col, "__off_grp").agg(
-            F.max_by(F.struct("n_on", "first", "end"), F.when(F.col("n_on") > 0, F.col("__run"))).alias("s"),
+            F.max_by(F.struct("n_on", "first", "end", "seq"), F.when(F.col("n_on") > 0, F.col("__run"))).alias("s"),
             F.max("has_off").alias("closed"),
         ).where((F.col("closed") == 1) & F.col("s").isNotNull()).select(file_col, "s.*")
     else:
-        sess = runs.where((F.col("n_on") > 0) & (F.col("has_off") == 1)).select(file_col, "n_on", "first", "end")
+        sess = runs.where((F.col("n_on") > 0) & (F.col("has_off") == 1)).select(file_col, "n_on", "first", "end",
+                                                                                 "seq")
 
     return sess.select(
         F.col(file_col),
-        F.concat(F.col("first.file_no"), F.lit("-"), F.col("first.seq").cast("string")).alias(id_col),
-        F.col("first.seq").cast("int").alias("seq"),
+        F.concat(F.col("first.file_no"), F.lit("-"), F.col("seq").cast("string")).alias(id_col),
+        F.col("seq").cast("int").alias("seq"),
         F.col("n_on").cast("int").alias("n_on"),
         F.col("first.start").alias("start"),
         F.col("end"),

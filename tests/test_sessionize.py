@@ -126,9 +126,9 @@ def test_running_blocked_equals_window(spark):
             for k in (0, 1, None) for i in range(40)]
     df = spark.createDataFrame(rows, "k int, i int, b int, v int, s string")
     spec = dict(sums={"sv": F.col("v")}, lasts={"ls": F.col("s")}, firsts={"fs": F.col("s")},
-                prevs={"pv": F.col("v")})
+                prevs={"pv": F.col("v")}, starts={"st": (F.col("s"), "a")})
     a = running(df, ["k"], ["i"], block="b", **spec)
     b = running(df, ["k"], ["i"], **spec)
-    cols = ["k", "i", "sv", "ls", "fs", "pv"]
+    cols = ["k", "i", "sv", "ls", "fs", "pv", "st"]
     assert sorted(map(tuple, a.select(cols).collect()), key=repr) == sorted(map(tuple, b.select(cols).collect()), key=repr)
     assert a.count() == len(rows)
