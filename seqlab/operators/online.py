@@ -119,13 +119,15 @@ def learn_sequence(X: np.ndarray, y: np.ndarray, W: np.ndarray, b: np.ndarray, l
 
 def perceptron_keyed(df: DataFrame, key_col: str, order_cols: Sequence[str], x_col: str, y_col: str,
                      n_classes: int, n_features: int, lr: float = 1.0, bias_mode: str = "plain",
-                     init_seed: int | None = None) -> DataFrame:
+                     init_seed: int | None = None, emit: str = "predictions") -> DataFrame:
     """Per key, in order: predict each instance, then learn from it.
 
-    Returns ``key, *order_cols, predicted, correct``. Weights start at zero or
-    uniform in ``[-0.1, 0.1)`` from ``init_seed`` (same start for every key).
-    Partitioned by key and sorted inside partitions; a key's rows stream
-    through in Arrow batches with its weights kept between batches.
+    ``emit='predictions'`` returns ``key, *order_cols, predicted, correct``;
+    ``emit='weights'`` returns ``key, W array<array<double>>, b
+    array<double>`` after the last instance of each key. Weights start at
+    zero or uniform in ``[-0.1, 0.1)`` from ``init_seed`` (same start for
+    every key). Partitioned by key and sorted inside partitions; a key's rows
+    stream through in Arrow batches with its weights kept between batches.
     """
     if init_seed is None:
         W0 = np.zeros((n_classes, n_features))
@@ -135,8 +137,12 @@ def perceptron_keyed(df: DataFrame, key_col: str, order_cols: Sequence[str], x_c
         init = rng.uniform(-0.1, 0.1, size=(n_classes, n_features + 1))
         W0, b0 = init[:, :n_features], init[:, n_features]
     fields = df.select(key_col, *order_cols).schema.fields
-    schema = T.StructType([*fields, T.StructField("predicted", T.IntegerType()),
-                           T.StructField("correct", T.BooleanType())])
+    if emit == "weights":
+        schema = T.StructType([fields[0], T.StructField("W", T.ArrayType(T.ArrayType(T.DoubleType()))),
+                               T.StructField("b", T.ArrayType(T.DoubleType()))])
+    else:
+        schema = T.StructType([*fields, T.StructField("predicted", T.IntegerType()),
+                               T.StructField("correct", T.BooleanType())])
     keep = [key_col, *order_cols]
 
     def run(batches):
@@ -154,12 +160,28 @@ def perceptron_keyed(df: DataFrame, key_col: str, order_cols: Sequence[str], x_c
                 part["predicted"] = preds
                 part["correct"] = ok
                 out.append(part)
-            yield pd.concat(out, ignore_index=True)
+            if emit != "weights":
+                yield pd.concat(out, ignore_index=True)
+        if emit == "weights" and state:
+            yield pd.DataFrame({key_col: list(state), "W": [w.tolist() for w, _ in state.values()],
+                                "b": [b.tolist() for _, b in state.values()]})
 
     ordered = df.select(*keep, x_col, y_col).repartition(key_col).sortWithinPartitions(key_col, *order_cols)
     return ordered.mapInPandas(run, schema)
 
 
+def holdout_accuracy(weights: DataFrame, test: DataFrame, key_col: str, x_col: str, y_col: str) -> DataFrame:
+    """Accuracy (percent) of each key's final weights on its test rows; the
+    weights table (one model per key) is joined on the key."""
+    j = test.join(weights, key_col)
+    x = _x(x_col)
+    scores = F.transform("W", lambda w, c: F.lit(1.0) / (F.lit(1.0) + F.exp(-(
+        F.aggregate(F.zip_with(w, x, lambda a, v: a * v), F.lit(0.0), lambda acc, v: acc + v)
+        + F.element_at(F.col("b"), c + 1)))))
+    ok = (predict_class(normalise_votes(scores)) == F.col(y_col).cast("int")).cast("double")
+    return j.groupBy(key_col).agg((F.lit(100.0) * F.avg(ok)).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+
+
 def prequential_accuracy(pred: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Percent of correct test-then-train predictions (per ``by`` group)."""
     agg = [(F.lit(100.0) * F.avg(F.col("correct").cast("double"))).alias("accuracy"),

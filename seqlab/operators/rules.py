@@ -165,3 +165,10 @@ def score_rules(df: DataFrame, rules: DataFrame, features: str = "x", max_rules:
     from seqlab.operators.models import majority_vote
     preds = tree_predictions(rules, features, max_rules)
     return df.select("*", F.lit(len(preds)).alias("n_trees"), majority_vote(preds).alias("prediction"))
+
+
+def nodes_json(nodes: DataFrame) -> DataFrame:
+    """Tree as JSON: one JSON object per node (``tree, id, prediction,
+    left, right, feature, values, num_categories``) instead of one nested
+    document, so a forest of any size is written by the executors."""
+    return nodes.select("tree", "id", F.to_json(F.struct(*nodes.columns)).alias("json"))

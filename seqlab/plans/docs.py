@@ -89,6 +89,19 @@ def q_perceptron_keyed(spark, data_dir):
     return perceptron_keyed(emb, "stream", ["vec_id"], "embedding", "label", N_CLASSES, N_FEATURES, lr=1.0)
 
 
+def q_holdout_accuracy(spark, data_dir):
+    """Reference's offline test: one sequential pass over 70 % of the
+    embeddings (hash split of ``vec_id``, in ``vec_id`` order), accuracy of
+    the final weights on the other 30 %."""
+    from seqlab.operators.encode import hash_split
+    from seqlab.operators.online import holdout_accuracy
+    emb = table(spark, data_dir, "embeddings").withColumn("stream", F.lit(0))
+    flag = hash_split("vec_id", 70)
+    w = perceptron_keyed(emb.where(flag), "stream", ["vec_id"], "embedding", "label", N_CLASSES, N_FEATURES,
+                         emit="weights")
+    return holdout_accuracy(w, emb.where(~flag), "stream", "embedding", "label")
+
+
 def q_prequential_accuracy(spark, data_dir):
     return prequential_accuracy(q_perceptron_keyed(spark, data_dir), by=["stream"])
 
@@ -102,6 +115,7 @@ QUERIES = {
     "gradient_step": q_gradient_step,
     "perceptron_keyed": q_perceptron_keyed,
     "prequential_accuracy": q_prequential_accuracy,
+    "holdout_accuracy": q_holdout_accuracy,
 }
 
 _CENTROIDS = """c AS (

@@ -21,6 +21,10 @@ def test_golden_rules(spark):
         ["0|1|0.5:#0", "0|2|0.5:6|4|{1,2}:#1", "0|2|0.5:6|5|{1,2}:#2"])
     text = sorted(r.text for r in rule_text(rules).collect())
     assert text[0] == "feature 0 <= 0.5 -> Predict: 0"
+    from seqlab.operators.rules import nodes_json
+    import json
+    docs = {r.id: json.loads(r.json) for r in nodes_json(nodes).collect()}
+    assert docs[2]["values"] == [1.0, 2.0] and docs[1]["prediction"] == 0.0
 
 
 def _data(spark, n=600):

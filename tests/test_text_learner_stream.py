@@ -92,3 +92,19 @@ def test_stream_learners(spark, tmp_dir):
     y = np.array([int(ln.split(",")[2]) for ln in lines])
     preds, _ = learn_sequence(X, y, np.zeros((2, 2)), np.zeros(2), 1.0)
     assert got == preds.tolist()
+
+
+def test_holdout_weights_equal_numpy(spark):
+    from seqlab.operators.online import holdout_accuracy
+    rng = np.random.default_rng(5)
+    rows = [(0, i, rng.normal(size=3).tolist(), int(rng.integers(0, 3))) for i in range(60)]
+    df = spark.createDataFrame(rows, "k int, i int, x array<double>, y int")
+    w = perceptron_keyed(df.where("i < 40"), "k", ["i"], "x", "y", 3, 3, emit="weights").first()
+    W, b = np.zeros((3, 3)), np.zeros(3)
+    learn_sequence(np.array([r[2] for r in rows[:40]]), np.array([r[3] for r in rows[:40]]), W, b, 1.0)
+    assert np.allclose(np.array(w.W), W) and np.allclose(np.array(w.b), b)
+    acc = holdout_accuracy(spark.createDataFrame([(0, w.W, w.b)], "k int, W array<array<double>>, b array<double>"),
+                           df.where("i >= 40"), "k", "x", "y").first()
+    p = 1 / (1 + np.exp(-(np.array([r[2] for r in rows[40:]]) @ W.T + b)))
+    expect = 100.0 * np.mean(np.argmax(p / p.sum(axis=1, keepdims=True), axis=1) == np.array([r[3] for r in rows[40:]]))
+    assert abs(acc.accuracy - expect) < 1e-9 and acc.n == 20
