@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 # Fixed values of the reference's label space (must match for equal labels):
@@ -51,13 +52,17 @@ def label_index(df: DataFrame, label_col: str = "label", index_col: str = "label
     """Dense 0-based index of the distinct labels, in label order.
 
     The distinct label set is bounded by the label space (450 for the
-    reference), so one ordered window over it is cheap; the bound is checked.
+    reference); it is read once with that bound checked and kept as a small
+    local table, so later joins broadcast it without re-running the input.
     """
-    distinct = df.select(label_col).where(F.col(label_col).isNotNull()).distinct()
-    n = distinct.count()
-    if n > max_labels:
-        raise ValueError(f"{n} distinct labels exceed the bound {max_labels}")
-    return distinct.select(label_col, (F.dense_rank().over(Window.orderBy(label_col)) - 1).alias(index_col))
+    labels = [r[0] for r in df.select(label_col).where(F.col(label_col).isNotNull()).distinct()
+              .limit(max_labels + 1).collect()]
+    if len(labels) > max_labels:
+        raise ValueError(f"more than {max_labels} distinct labels")
+    field = df.schema[label_col]
+    schema = T.StructType([T.StructField(label_col, field.dataType), T.StructField(index_col, T.IntegerType())])
+    spark = df.sparkSession
+    return spark.createDataFrame([(v, i) for i, v in enumerate(sorted(labels))], schema)
 
 
 def index_labels(df: DataFrame, label_col: str = "label", index_col: str = "label_index",

@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,41 +118,85 @@ def _collect_rules(rules: DataFrame, max_rules: int) -> list[dict]:
     return [r.asDict(recursive=True) for r in rows]
 
 
-def _num_sql(v: float) -> str:
-    return f"CAST('{float(v)!r}' AS DOUBLE)"
-
-
-def _cond_sql(c: dict, x: str) -> str:
-    v = f"element_at({x}, {int(c['feature']) + 1})"
-    op = c["op"]
-    if op in (OP_CODES["in"], OP_CODES["not in"]):
-        vals = ", ".join(_num_sql(t) for t in c["vals"])
-        return f"{v} {'NOT IN' if op == OP_CODES['not in'] else 'IN'} ({vals})"
-    return f"{v} {OP_TEXT[op]} {_num_sql(c['vals'][0])}"
-
-
-def _decision_sql(rules: list[dict], x: str, depth: int = 0) -> str:
-    """Nested CASE of one tree rebuilt from its root-to-leaf rules: the rules
-    sharing the condition at ``depth`` go left, the rest (its complement)
-    go right. Evaluation walks one path: O(depth) per row."""
-    if len(rules) == 1 and len(rules[0]["conds"]) <= depth:
-        return _num_sql(rules[0]["prediction"])
-    pivot = rules[0]["conds"][depth]
-    left = [r for r in rules if r["conds"][depth] == pivot]
-    right = [r for r in rules if r["conds"][depth] != pivot]
-    if not right:
-        return _decision_sql(left, x, depth + 1)
-    return (f"CASE WHEN {_cond_sql(pivot, x)} THEN {_decision_sql(left, x, depth + 1)} "
-            f"ELSE {_decision_sql(right, x, depth + 1)} END")
-
-
-def tree_predictions(rules: DataFrame, features: str = "x", max_rules: int = 100_000) -> list[Column]:
-    """One prediction column per tree of a rule table (from :func:`tree_rules`),
-    each a decision expression built as one SQL text."""
-    by_tree: dict[int, list[dict]] = {}
-    for r in _collect_rules(rules, max_rules):
-        by_tree.setdefault(r["tree"], []).append(r)
-    return [F.expr(_decision_sql(rs, f"`{features}`")) for _, rs in sorted(by_tree.items())]
+def _flatten(rules: list[dict]) -> dict[str, list]:
+    """Rebuild one tree's node arrays from its root-to-leaf rules: at every
+    node the rules sharing the next condition go left, the rest (its
+    complement) go right. Node 0 is the root."""
+    nodes = {"feature": [], "op": [], "vals": [], "left": [], "right": [], "pred": []}
+
+    def add(rs: list[dict], depth: int) -> int:
+        i = len(nodes["feature"])
+        for k in nodes:
+            nodes[k].append(None)
+        if len(rs) == 1 and len(rs[0]["conds"]) <= depth:
+            nodes["pred"][i] = float(rs[0]["prediction"])
+            nodes["left"][i] = nodes["right"][i] = -1
+            return i
+        pivot = rs[0]["conds"][depth]
+        left = [r for r in rs if r["conds"][depth] == pivot]
+        right = [r for r in rs if r["conds"][depth] != pivot]
+        if not right:  # a condition every rule here shares: skip it
+            nodes["feature"].pop(), nodes["op"].pop(), nodes["vals"].pop()
+            nodes["left"].pop(), nodes["right"].pop(), nodes["pred"].pop()
+            return add(left, depth + 1)
+        nodes["feature"][i], nodes["op"][i] = int(pivot["feature"]), int(pivot["op"])
+        nodes["vals"][i] = [float(v) for v in pivot["vals"]]
+        nodes["left"][i] = add(left, depth + 1)
+        nodes["right"][i] = add(right, depth + 1)
+        return i
+
+    add(rules, 0)
+    return nodes
+
+
+def _tree_arrays(rules: list[dict]) -> dict[str, np.ndarray]:
+    """Numpy node arrays of one tree (model-sized); category sets become a
+    membership matrix over the (small, integral) category codes."""
+    n = _flatten(rules)
+    size = len(n["feature"])
+    codes = [int(v) for vs in n["vals"] if vs for v in vs if float(v).is_integer() and v >= 0]
+    width = (max(codes) + 1) if codes else 1
+    member = np.zeros((size, width), dtype=bool)
+    thr = np.zeros(size)
+    for i, (op, vs) in enumerate(zip(n["op"], n["vals"])):
+        if op in (OP_CODES["in"], OP_CODES["not in"]):
+            for v in vs:
+                if float(v).is_integer() and v >= 0:
+                    member[i, int(v)] = True
+        elif vs:
+            thr[i] = vs[0]
+    return {"feature": np.array([f or 0 for f in n["feature"]]), "op": np.array([-1 if o is None else o for o in n["op"]]),
+            "thr": thr, "member": member, "left": np.array(n["left"]), "right": np.array(n["right"]),
+            "pred": np.array([np.nan if p is None else p for p in n["pred"]]),
+            "depth": max(len(r["conds"]) for r in rules) + 1}
+
+
+def _walk(t: dict[str, np.ndarray], X: np.ndarray) -> np.ndarray:
+    """Leaf prediction of every row of ``X``: all rows step down together."""
+    rows = np.arange(len(X))
+    node = np.zeros(len(X), dtype=np.int64)
+    for _ in range(t["depth"]):
+        leaf = t["left"][node] < 0
+        if leaf.all():
+            break
+        v = X[rows, t["feature"][node]]
+        op = t["op"][node]
+        th = t["thr"][node]
+        iv = np.where(np.isfinite(v) & (v >= 0) & (v == np.floor(v)), v, -1).astype(np.int64)
+        inside = (iv >= 0) & (iv < t["member"].shape[1])
+        mem = np.zeros(len(X), dtype=bool)
+        mem[inside] = t["member"][node[inside], iv[inside]]
+        go_left = np.select([op == 0, op == 1, op == 2, op == 3, op == 4], [v >= th, v <= th, v > th, v < th, mem], ~mem)
+        node = np.where(leaf, node, np.where(go_left, t["left"][node], t["right"][node]))
+    return t["pred"][node]
+
+
+def majority(P: np.ndarray) -> np.ndarray:
+    """Most frequent value per row of ``P`` (rows x trees); ties to the smaller."""
+    counts = (P[:, :, None] == P[:, None, :]).sum(axis=2)
+    span = np.nanmax(np.abs(P)) + 1 if P.size else 1
+    best = np.argmax(counts * (4 * span) - P, axis=1)
+    return P[np.arange(len(P)), best]
 
 
 def score_rules(df: DataFrame, rules: DataFrame, features: str = "x", max_rules: int = 100_000) -> DataFrame:
@@ -158,13 +204,25 @@ def score_rules(df: DataFrame, rules: DataFrame, features: str = "x", max_rules:
     conditions hold, then the majority of the trees (ties to the smaller
     class). ``features`` is an ``array<double>`` column.
 
-    The rules become one decision expression per tree inside the plan (a
-    model-sized constant); rows are scored where they are, with no join and
-    no shuffle, each walking one path per tree.
+    The rule table (a model: its size is checked) is turned into per-tree
+    node arrays; a vectorised Arrow UDF walks every batch of rows down all
+    trees at once (at most ``depth`` numpy steps per tree). Rows are scored
+    where they are: no join, no shuffle.
     """
-    from seqlab.operators.models import majority_vote
-    preds = tree_predictions(rules, features, max_rules)
-    return df.select("*", F.lit(len(preds)).alias("n_trees"), majority_vote(preds).alias("prediction"))
+    by_tree: dict[int, list[dict]] = {}
+    for r in _collect_rules(rules, max_rules):
+        by_tree.setdefault(r["tree"], []).append(r)
+    trees = [_tree_arrays(rs) for _, rs in sorted(by_tree.items())]
+
+    @F.pandas_udf("double")
+    def vote(xs: pd.Series) -> pd.Series:
+        if len(xs) == 0:
+            return pd.Series([], dtype=float)
+        X = np.stack([np.asarray(v, dtype=float) for v in xs])
+        P = np.stack([_walk(t, X) for t in trees], axis=1)
+        return pd.Series(majority(P))
+
+    return df.select("*", F.lit(len(trees)).alias("n_trees"), vote(F.col(features)).alias("prediction"))
 
 
 def nodes_json(nodes: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def training_rows(spark, data_dir, label: str = "combined"):
     lab = labelled(spark, data_dir)
     if label == "combined":
         idx = label_index(lab)
-        n_classes = idx.count()
+        n_classes = idx.count()  # local table: no job over the data
         lab = index_labels(lab, index=idx).withColumn("y", F.col("label_index").cast("double"))
     else:
         n_classes = 5
