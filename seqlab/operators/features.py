@@ -49,10 +49,15 @@ def sliding_features(df: DataFrame, key: str, order_cols: Sequence[str | Column]
                       sums={"__pos": F.lit(1)})
         pos = pos.withColumn("__pos", F.col("__pos") - 1)
         bucket = F.floor(F.col("__pos") / bucket_rows)
-        own = pos.select("*", bucket.alias("__bucket"), F.lit(True).alias("__own"))
-        halo = (pos.where((F.col("__pos") % bucket_rows < span) & (F.col("__pos") >= bucket_rows))
-                .select("*", (bucket - 1).alias("__bucket"), F.lit(False).alias("__own")))
-        base = own.unionByName(halo)
+        # Every row once in its bucket; the first rows of a bucket once more
+        # in the previous bucket (one pass over the input, no union).
+        halo = (F.col("__pos") % bucket_rows < span) & (F.col("__pos") >= bucket_rows)
+        copies = F.when(halo, F.array(F.struct(bucket.alias("b"), F.lit(True).alias("own")),
+                                      F.struct((bucket - 1).alias("b"), F.lit(False).alias("own"))))\
+            .otherwise(F.array(F.struct(bucket.alias("b"), F.lit(True).alias("own"))))
+        base = (pos.select("*", F.explode(copies).alias("__copy"))
+                .select("*", F.col("__copy.b").alias("__bucket"), F.col("__copy.own").alias("__own"))
+                .drop("__copy"))
         part_w = Window.partitionBy(key, "__bucket").orderBy("__pos")
         owned = F.col("__own")
 

@@ -57,25 +57,27 @@ def nearest_join(left: DataFrame, right: DataFrame, *, left_keys: Sequence[str],
         out = joined.select(*[left[c] for c in left.columns], F.when(lt.isNotNull(), best).alias("__best"))
     elif strategy == "scan":
         lcols = left.columns
-        # Rows with a NULL key or time cannot match: they skip the scan.
-        keyed = F.col(left_ts).isNotNull()
+        # A row with a NULL key or time cannot match: it gets a salt of its
+        # own, so such rows neither meet right rows nor pile up in one task.
+        matchable = F.col(left_ts).isNotNull()
         for c in left_keys:
-            keyed = keyed & F.col(c).isNotNull()
-        unmatched = left.where(~keyed)
-        left = left.where(keyed)
+            matchable = matchable & F.col(c).isNotNull()
         lefts = left.select(*[F.col(c).alias(k) for c, k in zip(left_keys, lk)],
                             F.col(left_ts).alias("__t"), F.lit(0).alias("__side"),
-                            F.struct(*[F.col(c) for c in lcols]).alias("__left"))
+                            F.struct(*[F.col(c) for c in lcols]).alias("__left"),
+                            F.when(matchable, F.lit(0)).otherwise(F.xxhash64(*[F.col(c) for c in lcols]))
+                            .alias("__salt"))
         # One right row per (key, time): the smallest payload wins a tie.
         rights = (right.select(*[F.col(c).alias(k) for c, k in zip(right_keys, lk)],
                                F.col(right_ts).alias("__t"), payload.alias("__p"))
                   .groupBy(*lk, "__t").agg(F.min("__p").alias("__p"))
                   .select(*lk, "__t", F.lit(1).alias("__side"),
-                          F.struct(F.col("__t").alias("t"), F.col("__p").alias("p")).alias("__r")))
+                          F.struct(F.col("__t").alias("t"), F.col("__p").alias("p")).alias("__r"),
+                          F.lit(0).cast("long").alias("__salt")))
         lefts = lefts.withColumn("__r", F.lit(None).cast(rights.schema["__r"].dataType))
         rights = rights.withColumn("__left", F.lit(None).cast(lefts.schema["__left"].dataType))
         both = lefts.unionByName(rights).withColumn("__blk", time_block("__t", block_unit))
-        scanned = running(both, lk, ["__t", "__side"], block="__blk",
+        scanned = running(both, [*lk, "__salt"], ["__t", "__side"], block="__blk",
                           lasts={"__prev": F.col("__r")}, firsts={"__next": F.col("__r")})
         scanned = scanned.where(F.col("__side") == 0)
         lt = F.col("__t")
@@ -86,7 +88,6 @@ def nearest_join(left: DataFrame, right: DataFrame, *, left_keys: Sequence[str],
                 .when(F.col("__next").isNotNull(),
                       F.struct(dn.alias("d"), F.col("__next.t").alias("t"), F.col("__next.p").alias("p"))))
         out = scanned.select(*[F.col(f"__left.{c}").alias(c) for c in lcols], best.alias("__best"))
-        out = out.unionByName(unmatched.select(*lcols, F.lit(None).cast(out.schema["__best"].dataType).alias("__best")))
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
 

@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seqlab.functions.scan import running
+from seqlab.session import materialize
 
 ON, OFF, HEADER, STOP = "on", "off", "header", "stop"
 
@@ -46,10 +47,14 @@ ON, OFF, HEADER, STOP = "on", "off", "header", "stop"
 def sessionize(df: DataFrame, *, file_col: str, order_cols: Sequence[str], kind_col: str,
                time_col: str, settings_cols: Sequence[str] = (), header_cols: Sequence[str] = (),
                block_col: str | None = None, file_no: Column | None = None,
-               carry_over: bool = True, id_col: str = "session_id") -> DataFrame:
+               carry_over: bool = True, id_col: str = "session_id", checkpoint_runs: bool = True) -> DataFrame:
     """Sessions, one row each: ``file_col, id_col, seq, n_on, start, end,
     *header_cols, *settings_cols``. ``file_no`` (default: ``file_col``) is the
-    prefix of the session id ``<file_no>-<seq>``."""
+    prefix of the session id ``<file_no>-<seq>``.
+
+    ``checkpoint_runs`` writes the run table to the checkpoint folder before
+    numbering it, so the row-level pass (the only step that touches every
+    row) runs once."""
     kind = F.col(kind_col)
     order = list(order_cols)
     file_no = file_no if file_no is not None else F.col(file_col)
@@ -85,6 +90,8 @@ def sessionize(df: DataFrame, *, file_col: str, order_cols: Sequence[str], kind_
         F.max(F.col("__kind").eqNullSafe(OFF).cast("int")).alias("has_off"),
         F.min("__blk").alias("__rblk"),
     )
+    if checkpoint_runs:
+        runs = materialize(runs)
     # Sequence number = runs with on rows so far in the unit, lost ones too;
     # a scan over the (much smaller) run table, blocked like the rows.
     runs = running(runs, [file_col], ["__run"], block="__rblk" if block_col else None,

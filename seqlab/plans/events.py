@@ -15,6 +15,7 @@ from seqlab.operators.features import sliding_features
 from seqlab.operators.groups import filter_min_group, sort_sessions
 from seqlab.operators.joins import nearest_join
 from seqlab.operators.sessionize import filter_min_events, sessionize
+from seqlab.session import materialize
 from seqlab.sources.tables import read_period, table
 
 # Block size of the per-user scans: one day of one user's events.
@@ -34,7 +35,8 @@ def event_sessions(spark: SparkSession, data_dir: str, carry_over: bool = True)
     s = sessionize(ev, file_col="user_id", order_cols=["ts", "event_id"], kind_col="kind", time_col="ts",
                    settings_cols=["event_type", "value"], header_cols=["signup_id"], block_col="blk",
                    carry_over=carry_over)
-    return s.withColumnRenamed("start", "start_ts").withColumnRenamed("end", "end_ts")
+    # Later steps read the sessions several times (group sizes, windows).
+    return materialize(s.withColumnRenamed("start", "start_ts").withColumnRenamed("end", "end_ts"))
 
 
 def q_sessionize(spark, data_dir):

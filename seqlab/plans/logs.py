@@ -27,7 +27,7 @@ from seqlab.operators.joins import nearest_join
 from seqlab.operators.labels import combine_labels
 from seqlab.operators.sessionize import filter_min_events, sessionize
 from seqlab.plans.appliance import CODE_SPEC, appliance_events
-from seqlab.session import scratch_path
+from seqlab.session import materialize, scratch_path
 from seqlab.sinks.text import dataset_line
 from seqlab.sources.logs import file_number, parse_log_lines, read_lines_ordered, read_weather
 from seqlab.sources.tables import table
@@ -83,7 +83,7 @@ def log_sessions(spark: SparkSession, log_path: str, carry_over: bool = True, on
                    settings_cols=["speed", "direction", "mode", "raw6", "temp"],
                    header_cols=["user", "province", "city"], block_col="block", file_no=fno,
                    carry_over=carry_over)
-    return s.select(*SESSION_COLS)
+    return materialize(s.select(*SESSION_COLS))
 
 
 def attach_weather(sessions: DataFrame, weather: DataFrame, strategy: str = "auto") -> DataFrame:

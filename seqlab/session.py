@@ -17,6 +17,7 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -58,3 +59,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder below the shared checkpoint folder for intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def materialize(df):
+    """Cut the lineage of an intermediate result that later steps read more
+    than once: a reliable checkpoint in the shared checkpoint folder (it
+    survives the loss of executors, unlike a cache or a local checkpoint)."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
