@@ -6,8 +6,8 @@ output; then ``log_features`` → range filter → codes → labels → dataset
 lines.
 
 For the registered query the log files and the weather file are written by
-Spark from the ``events`` table (one log file per user, ``signup`` as the
-device header naming the user, ``error`` as power-off, settings derived as in
+Spark from the ``events`` table (devices spread over a few files, each
+device's section opening with its header, ``signup`` repeating the header, ``error`` as power-off, settings derived as in
 :mod:`seqlab.plans.appliance`; ``view`` events become weather readings of the
 user's city), so the whole ETL runs over data that grows with the tables.
 """
@@ -42,19 +42,43 @@ def _address(user_id):
     return F.element_at(F.array(*[F.lit(a) for a in DEMO_ADDRESSES]), (F.pmod(user_id, F.lit(5)) + 1).cast("int"))
 
 
-def write_event_logs(spark: SparkSession, data_dir: str, out: str) -> None:
-    """One log file per user (folder ``user_id=<id>``), lines in event order."""
+# Number of log files the devices are spread over (by user id modulo).
+LOG_FILES = 16
+# Lines after the first empty line of a file are never read (they would make
+# one more session of a device "ghost").
+TRAILER = ("", "ID:ghost,None", "/,d,poweron,low,auto,cool,26,25,2024-02-01 00:00",
+           "/,d,poweroff,low,auto,cool,26,25,2024-02-01 00:10")
+
+
+def write_event_logs(spark: SparkSession, data_dir: str, out: str, n_files: int = LOG_FILES) -> None:
+    """Device logs in ``n_files`` files (folder ``file=<n>``): every user
+    (device) is one section that opens with its header line, then its events
+    in order (a ``signup`` repeats the header); each file ends with an empty
+    line followed by lines that must be ignored."""
     ev = table(spark, data_dir, "events")
     app = appliance_events(ev).drop("blk", "weather").join(ev.select("event_id", "event_type"), "event_id")
-    line = (F.when(F.col("event_type") == "signup",
-                   F.concat(F.lit("ID:"), F.col("user_id").cast("string"), F.lit(","), _address(F.col("user_id"))))
+    header = F.concat(F.lit("ID:"), F.col("user_id").cast("string"), F.lit(","), _address(F.col("user_id")))
+    line = (F.when(F.col("event_type") == "signup", header)
             .otherwise(F.concat_ws(",", F.lit("/"), F.lit("d"),
                                    F.when(F.col("event_type") == "error", "poweroff").otherwise("poweron"),
                                    "speed", "direction", "mode", "event_type", F.col("temp").cast("string"),
                                    F.date_format("ts", "yyyy-MM-dd HH:mm"))))
-    (app.select("user_id", "ts", "event_id", line.alias("value"))
-        .repartition("user_id").sortWithinPartitions("user_id", "ts", "event_id")
-        .select("user_id", "value").write.mode("overwrite").partitionBy("user_id").text(out))
+    file = F.pmod(F.col("user_id"), F.lit(n_files)).cast("int")
+    events = app.select(file.alias("file"), F.lit(0).alias("sec"), "user_id", F.lit(1).alias("k0"), "ts", "event_id",
+                        F.lit(0).alias("k1"), line.alias("value"))
+    users = ev.select("user_id").distinct()
+    headers = users.select(file.alias("file"), F.lit(0).alias("sec"), "user_id", F.lit(0).alias("k0"),
+                           F.lit(None).cast("timestamp_ntz")
+                           .alias("ts"), F.lit(None).cast("long").alias("event_id"), F.lit(0).alias("k1"),
+                           header.alias("value"))
+    tail = F.explode(F.array(*[F.struct(F.lit(i).alias("k1"), F.lit(t).alias("value")) for i, t in enumerate(TRAILER)]))
+    trailers = (users.select(file.alias("file")).distinct()
+                .select("file", F.lit(1).alias("sec"), F.lit(None).cast("long").alias("user_id"), F.lit(0).alias("k0"),
+                        F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("long").alias("event_id"),
+                        tail.alias("t")).select("file", "sec", "user_id", "k0", "ts", "event_id", "t.k1", "t.value"))
+    (events.unionByName(headers).unionByName(trailers)
+        .repartition("file").sortWithinPartitions("file", "sec", "user_id", "k0", "ts", "event_id", "k1")
+        .select("file", "value").write.mode("overwrite").partitionBy("file").text(out))
 
 
 def write_event_weather(spark: SparkSession, data_dir: str, out: str) -> None:
@@ -138,13 +162,13 @@ def q_log_sessions(spark, data_dir):
     """Sessions read back from the generated log text (equal to the event
     sessions: same files, order and settings)."""
     logs, _ = generated_inputs(spark, data_dir)
-    return log_sessions(spark, logs, file_no=F.col("user_id").cast("string"))
+    return log_sessions(spark, logs, file_no=F.col("file").cast("string"))
 
 
 def q_log_etl(spark, data_dir):
     """Whole ETL on generated logs: sessions, filters, weather join."""
     logs, weather = generated_inputs(spark, data_dir)
-    s = filter_min_group(filter_min_events(log_sessions(spark, logs, file_no=F.col("user_id").cast("string"))),
+    s = filter_min_group(filter_min_events(log_sessions(spark, logs, file_no=F.col("file").cast("string"))),
                          "user", k=3, size_col="n_sessions")
     return attach_weather(s, read_weather(spark, weather))
 

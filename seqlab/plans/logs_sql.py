@@ -4,8 +4,7 @@
 from __future__ import annotations
 
 from seqlab.functions.codes import DIRECTION_CODES, FEATURE_COLS, MODE_CODES, SPEED_CODES
-from seqlab.plans.logs import DEMO_ADDRESSES
-from seqlab.plans.oracles import _EVENT_SCAN
+from seqlab.plans.logs import DEMO_ADDRESSES, LOG_FILES
 
 
 def _names(d):
@@ -25,24 +24,51 @@ def _city(addr):
             f"THEN 3 ELSE 2 END) END")
 
 
-LOG_SESSIONS = f"""WITH {_EVENT_SCAN.replace("MAX(CASE WHEN kind = 'off' THEN 1 ELSE 0 END) AS has_off",
-                                             "MAX(CASE WHEN kind = 'off' THEN 1 ELSE 0 END) AS has_off, "
-                                             "arg_min(event_id, ts) FILTER (WHERE kind = 'on') AS first_id")},
+LOG_SESSIONS = f"""WITH lines AS (
+  SELECT user_id % {LOG_FILES} AS file, user_id, 1 AS k0, ts, event_id, event_type,
+         CASE WHEN event_type = 'signup' THEN 'header' WHEN event_type = 'error' THEN 'off' ELSE 'on' END AS kind
+  FROM events
+  UNION ALL
+  SELECT DISTINCT user_id % {LOG_FILES}, user_id, 0, CAST(NULL AS TIMESTAMP), CAST(NULL AS BIGINT), NULL, 'header'
+  FROM events),
+sc AS (
+  SELECT *,
+    SUM(CASE WHEN kind <> 'on' THEN 1 ELSE 0 END) OVER w - CASE WHEN kind <> 'on' THEN 1 ELSE 0 END AS run,
+    SUM(CASE WHEN kind = 'off' THEN 1 ELSE 0 END) OVER w - CASE WHEN kind = 'off' THEN 1 ELSE 0 END AS off_grp,
+    LAST_VALUE(CASE WHEN kind = 'header' THEN user_id END IGNORE NULLS) OVER w AS hdr_user,
+    CASE WHEN kind = 'on' AND COALESCE(LAG(kind) OVER (PARTITION BY file ORDER BY user_id, k0, ts, event_id), '') <> 'on'
+         THEN 1 ELSE 0 END AS start
+  FROM lines
+  WINDOW w AS (PARTITION BY file ORDER BY user_id, k0, ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+sq AS (
+  SELECT *, SUM(start) OVER (PARTITION BY file ORDER BY user_id, k0, ts, event_id
+                             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seq
+  FROM sc),
+runs AS (
+  SELECT file, off_grp, run,
+         COUNT(*) FILTER (WHERE kind = 'on') AS n_on,
+         MIN(ts) FILTER (WHERE kind = 'on') AS start_ts,
+         MAX(ts) FILTER (WHERE kind = 'on') AS end_ts,
+         arg_min(seq, ts) FILTER (WHERE kind = 'on') AS seq,
+         arg_min(hdr_user, ts) FILTER (WHERE kind = 'on') AS hdr_user,
+         arg_min(event_type, ts) FILTER (WHERE kind = 'on') AS event_type,
+         arg_min(event_id, ts) FILTER (WHERE kind = 'on') AS first_id,
+         MAX(CASE WHEN kind = 'off' THEN 1 ELSE 0 END) AS has_off
+  FROM sq GROUP BY file, off_grp, run),
 grp AS (
-  SELECT *, MAX(has_off) OVER (PARTITION BY user_id, off_grp) AS closed,
-         ROW_NUMBER() OVER (PARTITION BY user_id, off_grp ORDER BY CASE WHEN n_on > 0 THEN 0 ELSE 1 END, run DESC) AS rk
+  SELECT *, MAX(has_off) OVER (PARTITION BY file, off_grp) AS closed,
+         ROW_NUMBER() OVER (PARTITION BY file, off_grp ORDER BY CASE WHEN n_on > 0 THEN 0 ELSE 1 END, run DESC) AS rk
   FROM runs),
-s AS (SELECT *, {_ADDR}[user_id % 5 + 1] AS addr FROM grp WHERE closed = 1 AND n_on > 0 AND rk = 1)
-SELECT CASE WHEN signup_id IS NOT NULL THEN CAST(user_id AS VARCHAR) END AS "user",
-  CAST(user_id AS VARCHAR) || '-' || CAST(seq AS VARCHAR) AS session_id,
+s AS (SELECT *, {_ADDR}[hdr_user % 5 + 1] AS addr FROM grp WHERE closed = 1 AND n_on > 0 AND rk = 1)
+SELECT CAST(hdr_user AS VARCHAR) AS "user",
+  CAST(file AS VARCHAR) || '-' || CAST(seq AS VARCHAR) AS session_id,
   CAST(n_on AS INTEGER) AS n_on,
   strftime(start_ts, '%Y-%m-%d %H:%M') AS start, strftime(end_ts, '%Y-%m-%d %H:%M') AS "end",
   {_names(SPEED_CODES)}[first_id % 6 + 1] AS speed,
   {_names(DIRECTION_CODES)}[(first_id // 6) % 3 + 1] AS direction,
   {_names(MODE_CODES)}[(first_id // 18) % 5 + 1] AS mode,
   event_type AS raw6, CAST(22 + first_id % 8 AS VARCHAR) AS temp,
-  CASE WHEN signup_id IS NOT NULL THEN {_province('addr')} END AS province,
-  CASE WHEN signup_id IS NOT NULL THEN {_city('addr')} END AS city
+  {_province('addr')} AS province, {_city('addr')} AS city
 FROM s"""
 
 LOG_ETL = f"""WITH ls AS ({LOG_SESSIONS}),
