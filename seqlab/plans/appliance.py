@@ -79,6 +79,12 @@ def q_combine_labels(spark, data_dir):
     return lab.select("event_id", "temp", "speed", "direction", "mode", "label", *back)
 
 
+def q_split_label(spark, data_dir):
+    """Combined labels back to their four codes."""
+    lab = labelled(spark, data_dir)
+    return lab.select("event_id", "label", *split_label("label"))
+
+
 def q_target_label(spark, data_dir):
     """Single-target form: the 13 features, label = temperature code."""
     coded = q_encode_categories(spark, data_dir)

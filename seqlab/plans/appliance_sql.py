@@ -53,6 +53,11 @@ COMBINE = f"""SELECT event_id, temp, speed, direction, mode, label,
   CAST((label // 5) % 3 AS INTEGER) AS direction_back, CAST(label % 5 AS INTEGER) AS mode_back
 FROM ({LABELLED}) l"""
 
+SPLIT = f"""SELECT event_id, label,
+  CAST((label // 90) % 5 AS INTEGER) AS temp, CAST((label // 15) % 6 AS INTEGER) AS speed,
+  CAST((label // 5) % 3 AS INTEGER) AS direction, CAST(label % 5 AS INTEGER) AS mode
+FROM ({LABELLED}) l"""
+
 TARGET = f"SELECT user_id, event_id, {', '.join(FEATURE_COLS)}, temp AS label FROM ({ENCODE}) e"
 
 INDEX = f"""SELECT label, CAST(DENSE_RANK() OVER (ORDER BY label) - 1 AS INTEGER) AS label_index
@@ -135,6 +140,7 @@ ORACLES = {
     "range_filter": RANGE_FILTER,
     "encode_categories": ENCODE,
     "combine_labels": COMBINE,
+    "split_label": SPLIT,
     "target_label": TARGET,
     "index_labels": INDEX,
     "label_dictionary": DICTIONARY,

@@ -12,7 +12,8 @@ from seqlab.operators.labels import index_labels, label_dictionary, label_index
 from seqlab.operators.models import error_rate, metrics_row, predict, save_model, train
 from seqlab.operators.rules import rule_lines, rule_text, score_rules, tree_nodes, tree_rules
 from seqlab.plans.appliance import labelled
-from seqlab.session import scratch_path
+from seqlab.session import materialize, scratch_path
+from seqlab.sinks.text import append_metrics
 
 # Model settings taken from the reference's runs.
 TREE = dict(impurity="gini", max_depth=10, max_bins=32)
@@ -36,8 +37,11 @@ def training_rows(spark, data_dir, label: str = "combined"):
     return rows.withMetadata("label", {"ml_attr": {"type": "nominal", "name": "label", "num_vals": int(n_classes)}})
 
 
-def run_algorithm(spark, data_dir, algorithm: str, label: str = "combined", **params):
-    rows = training_rows(spark, data_dir, label)
+def run_algorithm(spark, data_dir, algorithm: str, label: str = "combined", refit_all: bool = True, **params):
+    """Hold-out error on a 70/30 hash split; then (reference behaviour) the
+    model is refit on all rows and saved, and the report row is appended to
+    the metrics table, both below the shared checkpoint folder."""
+    rows = materialize(training_rows(spark, data_dir, label))
     flag = hash_split("event_id", 70)
     tr, te = rows.where(flag), rows.where(~flag)
     model = train(algorithm, tr, **params)
@@ -45,9 +49,17 @@ def run_algorithm(spark, data_dir, algorithm: str, label: str = "combined", **pa
     stats = pred.agg(error_rate().alias("e"), F.count(F.lit(1)).alias("n")).first()
     n_classes = rows.agg(F.countDistinct("label").alias("k")).first()["k"]
     n_trees = len(model.trees) if hasattr(model, "trees") else None
-    return metrics_row(spark, algorithm=algorithm, dataset=f"events:{label}", n_classes=n_classes,
-                       test_error=stats["e"], n_train=tr.count(), n_test=stats["n"], n_trees=n_trees,
-                       model_summary=type(model).__name__)
+    summary = type(model).__name__
+    if refit_all:
+        final = train(algorithm, rows, **params)
+        path = scratch_path(spark, f"models/{algorithm}-{uuid.uuid4().hex[:8]}")
+        save_model(final, path)
+        summary = f"{summary} refit on all rows: {path}"
+    report = metrics_row(spark, algorithm=algorithm, dataset=f"events:{label}", n_classes=n_classes,
+                         test_error=stats["e"], n_train=tr.count(), n_test=stats["n"], n_trees=n_trees,
+                         model_summary=summary)
+    append_metrics(report, scratch_path(spark, "metrics"))
+    return report
 
 
 def q_train_tree(spark, data_dir):

@@ -44,9 +44,34 @@ def q_learner_stream(spark, data_dir):
                                                        "accuracy", "n")
 
 
+def q_learner_stream_keyed(spark, data_dir):
+    """Exact sequential learner on a stream of instance lines: one model per
+    label group (``label // 5``), each learning its instances in ``vec_id``
+    order, with the weights kept in Spark's state store."""
+    from seqlab.streaming.jobs import keyed_learner_stream
+    base = _base(spark, "keyed")
+    emb = table(spark, data_dir, "embeddings")
+    line = F.concat_ws(",", F.col("vec_id").cast("string"),
+                       F.array_join(F.transform("embedding", lambda v: v.cast("string")), ","),
+                       F.col("label").cast("string"))
+    emb.select(line.alias("value")).write.mode("overwrite").text(f"{base}/in")
+    lines = stream_lines(spark, f"{base}/in")
+    f = F.split("value", ",", -1)
+    inst = lines.select(F.element_at(f, 1).cast("long").alias("vec_id"),
+                        F.transform(F.slice(f, 2, N_FEATURES), lambda v: v.cast("double")).alias("x"),
+                        F.element_at(f, -1).cast("int").alias("y"))
+    inst = inst.withColumn("group", F.floor(F.col("y") / 5))
+    out = keyed_learner_stream(inst, "group", "vec_id", n_classes=N_CLASSES, n_features=N_FEATURES)
+    q = (out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt")
+         .outputMode("append").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
+
+
 QUERIES = {
     "word_count_stream": q_word_count_stream,
     "learner_stream": q_learner_stream,
+    "learner_stream_keyed": q_learner_stream_keyed,
 }
 
 ORACLES = {

@@ -100,6 +100,14 @@ def read_weather(spark: SparkSession, path: str, columns: int = 8) -> DataFrame:
                      "_corrupt_record")
 
 
+def read_delimited(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
+    """Comma-split text rows (no quoting, no header) as string columns with
+    the given names; the form ``write_delimited`` produces (sessions, joined
+    rows). Short rows get NULLs, extra fields are dropped."""
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    return spark.read.schema(schema).option("quote", "").option("mode", "PERMISSIVE").csv(path)
+
+
 def read_csv_inferred(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """CSV with a header line and inferred types (UTF-8), optionally projected."""
     df = spark.read.option("header", True).option("inferSchema", True).option("encoding", "UTF-8").csv(path)
