@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -38,17 +38,28 @@ def sort_key(*cols: str | Column, sep: str = " ") -> Column:
 
 
 def sort_sessions(df: DataFrame, key: Column, rank_col: str | None = None,
-                  block: Column | None = None) -> DataFrame:
+                  block: Column | None = None, super_block: Column | None = None) -> DataFrame:
     """Globally sorted output (range-partitioned sort, done at the sink).
 
-    ``rank_col`` adds the 1-based position in that order as a running count
-    over the global order, cut into ``block`` pieces (a string prefix of the
-    key, so blocks are contiguous in the order); no task sees all rows.
+    ``rank_col`` adds the 1-based position in that order without any task
+    seeing all rows: rows are ranked inside ``block`` (a string prefix of the
+    key, so blocks are contiguous in the order), the per-block counts are
+    ranked inside ``super_block`` (a shorter prefix of ``block``) and the
+    per-super-block counts, one small row each, are summed up in order.
     """
     if rank_col is None:
         return df.orderBy(key)
-    from seqlab.functions.scan import running
     blk = block if block is not None else F.substring(key, 1, 8)
-    keyed = df.select("*", key.alias("__key"), blk.alias("__blk"), F.lit(0).alias("__all"))
-    ranked = running(keyed, ["__all"], ["__key"], block="__blk", sums={rank_col: F.lit(1)})
-    return ranked.drop("__key", "__blk", "__all").withColumn(rank_col, F.col(rank_col).cast("long"))
+    sblk = super_block if super_block is not None else F.substring(blk, 1, 2)
+    keyed = df.select("*", key.alias("__key"), blk.alias("__blk"), sblk.alias("__sblk"))
+    local = keyed.withColumn("__r", F.row_number().over(Window.partitionBy("__blk").orderBy("__key")))
+    counts = keyed.groupBy("__sblk", "__blk").agg(F.count(F.lit(1)).alias("__n"))
+    within = counts.withColumn("__before_b", F.sum("__n").over(
+        Window.partitionBy("__sblk").orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)))
+    supers = counts.groupBy("__sblk").agg(F.sum("__n").alias("__sn"))
+    supers = supers.withColumn("__before_s", F.sum("__sn").over(
+        Window.orderBy("__sblk").rowsBetween(Window.unboundedPreceding, -1)))
+    offsets = within.join(supers, "__sblk").select(
+        "__blk", (F.coalesce("__before_b", F.lit(0)) + F.coalesce("__before_s", F.lit(0))).alias("__off"))
+    ranked = local.join(offsets, "__blk").withColumn(rank_col, (F.col("__r") + F.col("__off")).cast("long"))
+    return ranked.drop("__key", "__blk", "__sblk", "__r", "__off")
