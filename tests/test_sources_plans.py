@@ -4,7 +4,6 @@ blocked partitioning, no cartesian products)."""
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from seqlab.sources.logs import bad_lines, parse_log_lines, read_csv_inferred, read_instances, read_lines_ordered, \
     read_weather

@@ -4,7 +4,6 @@ jobs' restart behaviour."""
 import os
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from seqlab.operators.online import gradient, learn_sequence, minibatch_step, perceptron_keyed
