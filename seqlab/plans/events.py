@@ -83,7 +83,7 @@ def q_sliding_lexical(spark, data_dir):
     are prefixes of that text, contiguous in string order."""
     ev = (table(spark, data_dir, "events")
           .withColumn("eid_text", F.col("event_id").cast("string"))
-          .withColumn("blk", F.substring("eid_text", 1, 2)))
+          .withColumn("blk", F.substring("eid_text", 1, 6)))
     return sliding_features(ev, "user_id", ["eid_text"], width=4, feature_cols=["value"],
                             target_cols={"target": "value"}, start_cols={"event_id": "event_id"},
                             block="blk")
