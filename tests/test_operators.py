@@ -138,3 +138,31 @@ def test_min_group_keeps_groups_over_k(spark):
     out = filter_min_group(df, "u", k=3)
     got = sorted({(r.u, r.n_sessions) for r in out.collect()}, key=repr)
     assert got == sorted([("a", 4), (None, 5)], key=repr)
+
+
+def test_nearest_join_equals_brute_force(spark):
+    import random
+    rnd = random.Random(11)
+    base = dt.datetime(2024, 1, 1)
+    left = [(i, rnd.choice(["a", "b", None]), base + dt.timedelta(minutes=rnd.randint(0, 300))) for i in range(80)]
+    right = [(rnd.choice(["a", "b", "c"]), base + dt.timedelta(minutes=rnd.randint(0, 300)), rnd.randint(0, 3))
+             for _ in range(60)]
+    ldf = spark.createDataFrame(left, "id int, k string, t timestamp_ntz")
+    rdf = spark.createDataFrame(right, "rk string, rt timestamp_ntz, v int")
+
+    def brute(max_gap):
+        out = {}
+        for i, k, t in left:
+            cands = [(abs((rt - t).total_seconds()), rt, v) for rk, rt, v in right if k is not None and rk == k]
+            best = min(cands) if cands else None
+            if best and max_gap is not None and best[0] > max_gap:
+                best = None
+            out[i] = (best[1], best[2]) if best else (None, None)
+        return out
+
+    for gap in (None, 1800):
+        want = brute(gap)
+        for strategy in ("broadcast", "scan"):
+            got = nearest_join(ldf, rdf, left_keys=["k"], right_keys=["rk"], left_ts="t", right_ts="rt",
+                               right_cols=["rt", "v"], strategy=strategy, max_gap_seconds=gap)
+            assert {r.id: (r.rt, r.v) for r in got.collect()} == want, (strategy, gap)
