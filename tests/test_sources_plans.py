@@ -78,7 +78,7 @@ def test_sessionize_scans_in_blocks(spark):
 def test_no_cartesian_products_anywhere(spark):
     import __spark_entry__ as e
     for name in ["nearest_join", "nearest_join_scan", "session_features", "one_hot_dataset", "gradient_step",
-                 "class_scores", "group_sorted", "sliding_features"]:
+                 "class_scores", "group_sorted", "sliding_features", "holdout_accuracy", "log_etl"]:
         plan = _plan(e.queries()[name](spark, SF))
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
 
