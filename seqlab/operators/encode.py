@@ -67,7 +67,8 @@ def hash_split(key: str | Column, train_percent: int = 70, mult: int = 7919, add
     """Repeatable split flag from an integer id: ``(id*mult + add) % 100 <
     train_percent``. Independent of partitioning, unlike ``randomSplit``."""
     k = F.col(key) if isinstance(key, str) else key
-    return F.pmod(k.cast("long") * F.lit(mult) + F.lit(add), F.lit(100)) < F.lit(train_percent)
+    # Reduced modulo 100 first: same result, no overflow for any 64-bit id.
+    return F.pmod(F.pmod(k.cast("long"), F.lit(100)) * F.lit(mult) + F.lit(add), F.lit(100)) < F.lit(train_percent)
 
 
 def split(df: DataFrame, key: str, train_percent: int = 70) -> tuple[DataFrame, DataFrame]:

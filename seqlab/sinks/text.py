@@ -49,9 +49,10 @@ def dictionary_line(index_col: str, text_col: str) -> Column:
 def write_lines(df: DataFrame, line: Column, path: str, sort_by: Sequence[str | Column] | None = None) -> None:
     """One text line per row (UTF-8), overwriting ``path``. ``sort_by`` gives
     a globally ordered result (range-partitioned sort)."""
-    out = df.select(line.alias("value"), *(sort_by or []))
-    if sort_by:
-        out = out.orderBy(*sort_by)
+    keys = [(F.col(c) if isinstance(c, str) else c).alias(f"__sort{i}") for i, c in enumerate(sort_by or [])]
+    out = df.select(line.alias("value"), *keys)
+    if keys:
+        out = out.orderBy(*[f"__sort{i}" for i in range(len(keys))])
     out.select("value").write.mode("overwrite").text(path)
 
 
