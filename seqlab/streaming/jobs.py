@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from seqlab.operators.online import learn_sequence, minibatch_step, prequential_accuracy  # noqa: F401
+from seqlab.operators.online import learn_sequence, minibatch_step, prequential_accuracy
 from seqlab.operators.text import word_count
 
 
@@ -67,15 +67,21 @@ def start_word_count(lines: DataFrame, out: str, checkpoint: str, *, trigger: di
 
 
 def _latest_weights(spark: SparkSession, state: str, n_classes: int, n_features: int, before: int):
-    try:
-        tab = spark.read.parquet(state).where(F.col("batch_id") < before)
-        last = tab.agg(F.max("batch_id").alias("b")).first()["b"]
-    except Exception:  # no state written yet
-        last = None
+    """Weights written by the last batch before ``before``: first the
+    previous batch's partition only (partition pruning, the usual case), else
+    the newest earlier partition."""
     W, b = np.zeros((n_classes, n_features)), np.zeros(n_classes)
-    if last is None:
+    try:
+        tab = spark.read.parquet(state)
+    except Exception:  # nothing written yet
         return W, b
-    for r in tab.where(F.col("batch_id") == last).collect():  # C x (F+1) cells
+    rows = tab.where(F.col("batch_id") == before - 1).collect()  # C x (F+1) cells
+    if not rows:
+        last = tab.where(F.col("batch_id") < before).agg(F.max("batch_id").alias("b")).first()["b"]
+        if last is None:
+            return W, b
+        rows = tab.where(F.col("batch_id") == last).collect()
+    for r in rows:
         if r["j"] == n_features:
             b[r["class"]] = r["w"]
         else:
