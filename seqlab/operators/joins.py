@@ -20,7 +20,7 @@ def _micros_between(a, b):
 def nearest_join(left: DataFrame, right: DataFrame, *, left_keys: Sequence[str], right_keys: Sequence[str],
                  left_ts: str, right_ts: str, right_cols: Sequence[str], max_gap_seconds: float | None = None,
                  strategy: str = "auto", broadcast_rows: int = BROADCAST_ROWS,
-                 block_unit: str = "hour") -> DataFrame:
+                 block_unit: str = "minute") -> DataFrame:
     """Every ``left`` row once, with ``right_cols`` of the right row of the
     same key nearest in time (NULLs when the key has none, or when the gap is
     above ``max_gap_seconds``). Ties: smaller gap, then earlier right time,
