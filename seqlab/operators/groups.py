@@ -38,28 +38,32 @@ def sort_key(*cols: str | Column, sep: str = " ") -> Column:
 
 
 def sort_sessions(df: DataFrame, key: Column, rank_col: str | None = None,
-                  block: Column | None = None, super_block: Column | None = None) -> DataFrame:
+                  levels: Sequence[Column] | None = None) -> DataFrame:
     """Globally sorted output (range-partitioned sort, done at the sink).
 
     ``rank_col`` adds the 1-based position in that order without any task
-    seeing all rows: rows are ranked inside ``block`` (a string prefix of the
-    key, so blocks are contiguous in the order), the per-block counts are
-    ranked inside ``super_block`` (a shorter prefix of ``block``) and the
-    per-super-block counts, one small row each, are summed up in order.
+    seeing all rows. ``levels`` are string prefixes of the key, finest first,
+    each a prefix of the one before (so every level's groups are contiguous
+    in the order). Rows are ranked inside their finest group; each level's
+    group counts are turned into offsets inside the parent group; only the
+    coarsest level (a bounded number of short prefixes) is summed in one
+    ordered window.
     """
     if rank_col is None:
         return df.orderBy(key)
-    blk = block if block is not None else F.substring(key, 1, 8)
-    sblk = super_block if super_block is not None else F.substring(blk, 1, 2)
-    keyed = df.select("*", key.alias("__key"), blk.alias("__blk"), sblk.alias("__sblk"))
-    local = keyed.withColumn("__r", F.row_number().over(Window.partitionBy("__blk").orderBy("__key")))
-    counts = keyed.groupBy("__sblk", "__blk").agg(F.count(F.lit(1)).alias("__n"))
-    within = counts.withColumn("__before_b", F.sum("__n").over(
-        Window.partitionBy("__sblk").orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)))
-    supers = counts.groupBy("__sblk").agg(F.sum("__n").alias("__sn"))
-    supers = supers.withColumn("__before_s", F.sum("__sn").over(
-        Window.orderBy("__sblk").rowsBetween(Window.unboundedPreceding, -1)))
-    offsets = within.join(supers, "__sblk").select(
-        "__blk", (F.coalesce("__before_b", F.lit(0)) + F.coalesce("__before_s", F.lit(0))).alias("__off"))
-    ranked = local.join(offsets, "__blk").withColumn(rank_col, (F.col("__r") + F.col("__off")).cast("long"))
-    return ranked.drop("__key", "__blk", "__sblk", "__r", "__off")
+    levels = list(levels) if levels else [F.substring(key, 1, 8), F.substring(key, 1, 4), F.substring(key, 1, 2)]
+    names = [f"__lv{i}" for i in range(len(levels))]
+    keyed = df.select("*", key.alias("__key"), *[c.alias(n) for c, n in zip(levels, names)])
+    local = keyed.withColumn("__r", F.row_number().over(Window.partitionBy(names[0]).orderBy("__key")))
+    counts = keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+    offsets = counts.select(*names, F.lit(0).cast("long").alias("__off"))
+    for i, name in enumerate(names):
+        parents = names[i + 1:i + 2]
+        level = counts.groupBy(*names[i:]).agg(F.sum("__n").alias("__ln"))
+        w = (Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(0))).orderBy(name)
+        before = level.select(*names[i:], F.coalesce(F.sum("__ln").over(
+            w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
+        offsets = (offsets.join(before, names[i:])
+                   .select(*names, (F.col("__off") + F.col("__b")).alias("__off")))
+    ranked = local.join(offsets, names).withColumn(rank_col, (F.col("__r") + F.col("__off")).cast("long"))
+    return ranked.drop("__key", "__r", "__off", *names)

@@ -130,10 +130,11 @@ def q_group_sorted(spark, data_dir):
     their 1-based position in that order."""
     s = event_sessions(spark, data_dir)
     key = F.concat_ws(" ", F.col("user_id").cast("string"), F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
-    # Blocks: one user-day; super-blocks: one user (both prefixes of the key).
-    block = F.concat_ws(" ", F.col("user_id").cast("string"), F.date_format("start_ts", "yyyy-MM-dd"))
-    out = sort_sessions(s.select("user_id", "session_id", "start_ts"), key, rank_col="pos", block=block,
-                        super_block=F.col("user_id").cast("string"))
+    # Levels (all prefixes of the key): one user-day, one user, the first
+    # three characters of the user.
+    user = F.col("user_id").cast("string")
+    levels = [F.concat_ws(" ", user, F.date_format("start_ts", "yyyy-MM-dd")), user, F.substring(user, 1, 3)]
+    out = sort_sessions(s.select("user_id", "session_id", "start_ts"), key, rank_col="pos", levels=levels)
     return out
 
 
