@@ -166,3 +166,34 @@ def test_nearest_join_equals_brute_force(spark):
             got = nearest_join(ldf, rdf, left_keys=["k"], right_keys=["rk"], left_ts="t", right_ts="rt",
                                right_cols=["rt", "v"], strategy=strategy, max_gap_seconds=gap)
             assert {r.id: (r.rt, r.v) for r in got.collect()} == want, (strategy, gap)
+
+
+def test_sort_sessions_rank_equals_row_number(spark):
+    import random
+    from pyspark.sql import Window
+    from seqlab.operators.groups import sort_sessions
+    rnd = random.Random(4)
+    rows = [(str(rnd.randint(1, 300)), f"2024-01-{rnd.randint(1, 28):02d} {rnd.randint(0, 23):02d}:{i % 60:02d}", i)
+            for i in range(500)]
+    df = spark.createDataFrame(rows, "u string, t string, i int")
+    key = F.concat_ws(" ", "u", "t", F.lpad(F.col("i").cast("string"), 4, "0"))
+    levels = [F.concat_ws(" ", "u", F.substring("t", 1, 10)), F.col("u"), F.substring("u", 1, 2)]
+    got = {r.i: r.pos for r in sort_sessions(df, key, rank_col="pos", levels=levels).collect()}
+    want = {r.i: r.pos for r in df.withColumn("pos", F.row_number().over(Window.orderBy(key))).collect()}
+    assert got == want
+
+
+def test_sessionize_under_one_hot_user(spark):
+    """A third of all events moved to one user: blocked and plain scans agree."""
+    from seqlab.operators.sessionize import sessionize
+    from seqlab.plans.events import event_kinds
+    from seqlab.sources.tables import table
+    ev = table(spark, "/root/testdata/sf0.01", "events")
+    hot = ev.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(7)).otherwise(F.col("user_id")))
+    kinds = event_kinds(hot)
+    kw = dict(file_col="user_id", order_cols=["ts", "event_id"], kind_col="kind", time_col="ts",
+              settings_cols=["event_type", "value"], header_cols=["signup_id"])
+    a = sessionize(kinds, block_col="blk", **kw)
+    b = sessionize(kinds, block_col=None, checkpoint_runs=False, **kw)
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    assert a.where(F.col("user_id") == 7).count() > 100
