@@ -54,7 +54,8 @@ def run_algorithm(spark, data_dir, algorithm: str, label: str = "combined", refi
         final = train(algorithm, rows, **params)
         path = scratch_path(spark, f"models/{algorithm}-{uuid.uuid4().hex[:8]}")
         save_model(final, path)
-        summary = f"{summary} refit on all rows: {path}"
+        text = getattr(final, "toDebugString", None)
+        summary = f"{summary} refit on all rows: {path}" + (f"\n{text}" if isinstance(text, str) else "")
     report = metrics_row(spark, algorithm=algorithm, dataset=f"events:{label}", n_classes=n_classes,
                          test_error=stats["e"], n_train=tr.count(), n_test=stats["n"], n_trees=n_trees,
                          model_summary=summary)
@@ -79,13 +80,14 @@ def q_train_gbt(spark, data_dir):
     return run_algorithm(spark, data_dir, "gbt", label="temp", max_iter=20)
 
 
-def fitted_rules(spark, data_dir, algorithm: str, **params):
+def fitted_rules(spark, data_dir, algorithm: str, with_model: bool = False, **params):
     """Refit on all rows, save, read the node table back, build rules."""
-    rows = training_rows(spark, data_dir)
+    rows = materialize(training_rows(spark, data_dir))
     model = train(algorithm, rows, **params)
     path = scratch_path(spark, f"models/{algorithm}-{uuid.uuid4().hex[:8]}")
     save_model(model, path)
-    return rows, tree_rules(spark, tree_nodes(spark, path))
+    rules = tree_rules(spark, tree_nodes(spark, path))
+    return (rows, rules, model) if with_model else (rows, rules)
 
 
 def q_tree_rules(spark, data_dir):
@@ -104,10 +106,12 @@ def q_tree_rules_text(spark, data_dir):
 
 def q_score_rules(spark, data_dir):
     """Every row scored by the rules of a 5-tree forest (majority of tree
-    votes) beside the forest's own majority prediction."""
-    rows, rules = fitted_rules(spark, data_dir, "forest", **{**FOREST, "num_trees": 5})
+    votes) beside the forest's own majority prediction (they must agree)."""
+    rows, rules, model = fitted_rules(spark, data_dir, "forest", with_model=True, **{**FOREST, "num_trees": 5})
     scored = score_rules(rows.withColumn("x", vector_values("features")), rules, "x")
-    return scored.select("event_id", "label", "n_trees", F.col("prediction").alias("rule_prediction"))
+    scored = predict(model, scored.withColumnRenamed("prediction", "rule_prediction"))
+    return scored.select("event_id", "label", "n_trees", "rule_prediction",
+                         F.col("prediction").alias("model_prediction"))
 
 
 QUERIES = {
