@@ -33,25 +33,28 @@ def event_kinds(events: DataFrame) -> DataFrame:
                          time_block("ts", EVENT_BLOCK_UNIT).alias("blk"))
 
 
-def event_sessions(spark: SparkSession, data_dir: str, carry_over: bool = True) -> DataFrame:
+def event_sessions(spark: SparkSession, data_dir: str, carry_over: bool = True, reused: bool = True) -> DataFrame:
+    """Sessions of every user. ``reused=True`` checkpoints them for plans
+    that read them more than once."""
     ev = event_kinds(table(spark, data_dir, "events"))
     s = sessionize(ev, file_col="user_id", order_cols=["ts", "event_id"], kind_col="kind", time_col="ts",
                    settings_cols=["event_type", "value"], header_cols=["signup_id"], block_col="blk",
                    carry_over=carry_over)
+    s = s.withColumnRenamed("start", "start_ts").withColumnRenamed("end", "end_ts")
     # Later steps read the sessions several times (group sizes, windows).
-    return materialize(s.withColumnRenamed("start", "start_ts").withColumnRenamed("end", "end_ts"))
+    return materialize(s) if reused else s
 
 
 def q_sessionize(spark, data_dir):
-    return event_sessions(spark, data_dir)
+    return event_sessions(spark, data_dir, reused=False)
 
 
 def q_sessionize_clean(spark, data_dir):
-    return event_sessions(spark, data_dir, carry_over=False)
+    return event_sessions(spark, data_dir, carry_over=False, reused=False)
 
 
 def q_min_events(spark, data_dir):
-    return filter_min_events(event_sessions(spark, data_dir), k=1)
+    return filter_min_events(event_sessions(spark, data_dir, reused=False), k=1)
 
 
 def q_min_group(spark, data_dir):
