@@ -66,9 +66,15 @@ def label_index(df: DataFrame, label_col: str = "label", index_col: str = "label
 
 
 def index_labels(df: DataFrame, label_col: str = "label", index_col: str = "label_index",
-                 index: DataFrame | None = None) -> DataFrame:
-    """Attach the dense label index (broadcast join of the checked-size index)."""
-    idx = index if index is not None else label_index(df, label_col, index_col)
+                 index: DataFrame | None = None, max_labels: int = 100_000) -> DataFrame:
+    """Attach the dense label index with a broadcast join; the index is
+    bounded by ``max_labels`` (checked for an index passed in)."""
+    if index is None:
+        idx = label_index(df, label_col, index_col, max_labels)
+    else:
+        if index.limit(max_labels + 1).count() > max_labels:
+            raise ValueError(f"label index larger than {max_labels} rows")
+        idx = index
     return df.join(F.broadcast(idx), on=label_col, how="inner")
 
 

@@ -166,7 +166,7 @@ def q_parse_address(spark, data_dir):
     from seqlab.functions.address import header_user, parse_address
     cust = table(spark, data_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     nation = table(spark, data_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
-    rec = cust.join(F.broadcast(nation), "c_nationkey", "left").select(
+    rec = cust.join(nation, "c_nationkey", "left").select(
         "c_custkey", F.col("c_name"),
         F.when(F.col("c_custkey") % 10 == 0, F.lit("None"))
          .otherwise(F.concat(F.lit("CN"), F.col("n_name"), F.col("c_mktsegment"))).alias("address"))
