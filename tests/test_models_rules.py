@@ -84,3 +84,24 @@ def test_libsvm_round_trip(spark, tmp_dir):
     back = read_libsvm(spark, f"{tmp_dir}/svm", 3)
     assert sorted((r.label, tuple(r.features.toArray())) for r in back.collect()) == \
         [(0.0, (0.0, 2.0, 0.0)), (1.0, (1.0, 0.0, 3.0))]
+
+
+def test_each_row_meets_one_rule_per_tree(spark, tmp_dir):
+    df = _data(spark, 300)
+    model = train("forest", df, num_trees=3, max_depth=4, max_bins=16)
+    save_model(model, f"{tmp_dir}/f")
+    rules = tree_rules(spark, tree_nodes(spark, f"{tmp_dir}/f")).collect()
+    ops = {0: lambda v, t: v >= t[0], 1: lambda v, t: v <= t[0], 2: lambda v, t: v > t[0], 3: lambda v, t: v < t[0],
+           4: lambda v, t: v in t, 5: lambda v, t: v not in t}
+    for row in df.select(vector_values("features").alias("x")).limit(50).collect():
+        hits = {}
+        for r in rules:
+            if all(ops[c.op](row.x[c.feature], list(c.vals)) for c in r.conds):
+                hits[r.tree] = hits.get(r.tree, 0) + 1
+        assert hits == {1: 1, 2: 1, 3: 1}
+
+
+def test_one_hot_rows_have_one_one_per_column(spark):
+    import __spark_entry__ as e
+    rows = e.queries()["one_hot_dataset"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and all(sum(r["values"][:-4]) == 13 for r in rows)
