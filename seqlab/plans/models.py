@@ -37,11 +37,25 @@ def training_rows(spark, data_dir, label: str = "combined"):
     return rows.withMetadata("label", {"ml_attr": {"type": "nominal", "name": "label", "num_vals": int(n_classes)}})
 
 
+def onehot_rows(spark, data_dir):
+    """Regression-style rows: seven numeric features and the one-hot vectors
+    of the direction and mode lags in one vector; label = temperature code."""
+    from seqlab.operators.encode import one_hot
+    from seqlab.plans.appliance import q_encode_categories
+    coded = q_encode_categories(spark, data_dir)
+    nominal = list(NOMINAL_FEATURES)
+    enc = one_hot(coded, nominal, drop_last=False)
+    numeric = ["temp1", "temp2", "temp3", "speed1", "speed2", "speed3", "weather"]
+    rows = assemble(enc, numeric + [f"{c}_vec" for c in nominal])
+    rows = rows.select("event_id", "features", F.col("temp").cast("double").alias("label"))
+    return rows.withMetadata("label", {"ml_attr": {"type": "nominal", "name": "label", "num_vals": 5}})
+
+
 def run_algorithm(spark, data_dir, algorithm: str, label: str = "combined", refit_all: bool = True, **params):
     """Hold-out error on a 70/30 hash split; then (reference behaviour) the
     model is refit on all rows and saved, and the report row is appended to
     the metrics table, both below the shared checkpoint folder."""
-    rows = materialize(training_rows(spark, data_dir, label))
+    rows = materialize(onehot_rows(spark, data_dir) if label == "onehot" else training_rows(spark, data_dir, label))
     flag = hash_split("event_id", 70)
     tr, te = rows.where(flag), rows.where(~flag)
     model = train(algorithm, tr, **params)
@@ -75,6 +89,37 @@ def q_train_logistic(spark, data_dir):
     return run_algorithm(spark, data_dir, "logistic")
 
 
+def q_train_logistic_onehot(spark, data_dir):
+    """Multinomial logistic regression on the one-hot rows (temperature)."""
+    return run_algorithm(spark, data_dir, "logistic", label="onehot")
+
+
+def q_train_forest_libsvm(spark, data_dir):
+    """The reference's fixed forest run: coded rows written as LibSVM
+    (combined label, 13 features), read back, 70/30 random split (seeded),
+    5 trees, depth 10, 32 bins, no categorical features, class count from
+    the label space (450)."""
+    from seqlab.operators.labels import LABEL_RADICES
+    from seqlab.sinks.text import write_libsvm
+    from seqlab.sources.logs import read_libsvm
+    lab = labelled(spark, data_dir)
+    path = scratch_path(spark, f"libsvm-{uuid.uuid4().hex[:8]}")
+    write_libsvm(assemble(lab, list(FEATURE_COLS)).withColumn("label", F.col("label").cast("double")), path)
+    n_classes = 1
+    for r in LABEL_RADICES:
+        n_classes *= r
+    data = read_libsvm(spark, path, len(FEATURE_COLS)).withMetadata(
+        "label", {"ml_attr": {"type": "nominal", "name": "label", "num_vals": n_classes}})
+    tr, te = data.randomSplit([0.7, 0.3], seed=42)
+    model = train("forest", tr, impurity="gini", max_depth=10, max_bins=32, num_trees=5)
+    stats = predict(model, te).agg(error_rate().alias("e"), F.count(F.lit(1)).alias("n")).first()
+    report = metrics_row(spark, algorithm="forest", dataset=f"libsvm:{path}", n_classes=n_classes,
+                         test_error=stats["e"], n_train=tr.count(), n_test=stats["n"], n_trees=len(model.trees),
+                         model_summary=type(model).__name__)
+    append_metrics(report, scratch_path(spark, "metrics"))
+    return report
+
+
 def q_train_gbt(spark, data_dir):
     """Boosted trees (20 rounds) one-vs-rest on the temperature code."""
     return run_algorithm(spark, data_dir, "gbt", label="temp", max_iter=20)
@@ -118,6 +163,8 @@ QUERIES = {
     "train_tree": q_train_tree,
     "train_forest": q_train_forest,
     "train_logistic": q_train_logistic,
+    "train_logistic_onehot": q_train_logistic_onehot,
+    "train_forest_libsvm": q_train_forest_libsvm,
     "train_gbt": q_train_gbt,
     "tree_rules": q_tree_rules,
     "tree_rules_text": q_tree_rules_text,
