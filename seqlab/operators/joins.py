@@ -6,11 +6,31 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from seqlab.functions.scan import running, time_block
 
-# Largest right side (rows) shipped whole to every task by the broadcast plan.
+# Largest right side shipped whole to every task by the broadcast plan: a row
+# count and an estimated size (rows x schema width) must both fit.
 BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 256 * 1024 * 1024
+
+
+def _width(t: T.DataType) -> int:
+    """Estimated bytes of a value (Spark's planning defaults: 20 per string)."""
+    if isinstance(t, T.StructType):
+        return sum(_width(f.dataType) for f in t.fields)
+    if isinstance(t, (T.ArrayType, T.MapType)):
+        return 100
+    if isinstance(t, (T.StringType, T.BinaryType)):
+        return 20
+    if isinstance(t, (T.BooleanType, T.ByteType)):
+        return 1
+    if isinstance(t, (T.ShortType,)):
+        return 2
+    if isinstance(t, (T.IntegerType, T.FloatType, T.DateType)):
+        return 4
+    return 8
 
 
 def _micros_between(a, b):
@@ -20,7 +40,7 @@ def _micros_between(a, b):
 def nearest_join(left: DataFrame, right: DataFrame, *, left_keys: Sequence[str], right_keys: Sequence[str],
                  left_ts: str, right_ts: str, right_cols: Sequence[str], max_gap_seconds: float | None = None,
                  strategy: str = "auto", broadcast_rows: int = BROADCAST_ROWS,
-                 block_unit: str = "minute") -> DataFrame:
+                 broadcast_bytes: int = BROADCAST_BYTES, block_unit: str = "minute") -> DataFrame:
     """Every ``left`` row once, with ``right_cols`` of the right row of the
     same key nearest in time (NULLs when the key has none, or when the gap is
     above ``max_gap_seconds``). Ties: smaller gap, then earlier right time,
@@ -36,11 +56,15 @@ def nearest_join(left: DataFrame, right: DataFrame, *, left_keys: Sequence[str],
       key and scanned for the last right row before and the first right row
       after each left row (blocked by ``block_unit`` of time, so a hot key is
       spread over many tasks). No pairs are ever built.
-    * ``'auto'``: counts the right side and takes ``'broadcast'`` when it has
-      at most ``broadcast_rows`` rows, else ``'scan'``.
+    * ``'auto'``: counts the right side (key, time and payload columns only)
+      and takes ``'broadcast'`` when it has at most ``broadcast_rows`` rows
+      and about ``broadcast_bytes`` bytes, else ``'scan'``.
     """
     if strategy == "auto":
-        strategy = "broadcast" if right.count() <= broadcast_rows else "scan"
+        needed = right.select(*dict.fromkeys([*right_keys, right_ts, *right_cols]))
+        width = sum(_width(f.dataType) for f in needed.schema.fields)
+        n = needed.limit(broadcast_rows + 1).count()
+        strategy = "broadcast" if n <= broadcast_rows and n * width <= broadcast_bytes else "scan"
     lk = [f"__k{i}" for i in range(len(left_keys))]
     right = right.where(F.col(right_ts).isNotNull())
     payload = F.struct(*[F.col(c) for c in right_cols])
