@@ -132,3 +132,37 @@ def test_running_blocked_equals_window(spark):
     cols = ["k", "i", "sv", "ls", "fs", "pv", "st"]
     assert sorted(map(tuple, a.select(cols).collect()), key=repr) == sorted(map(tuple, b.select(cols).collect()), key=repr)
     assert a.count() == len(rows)
+
+
+def test_split_reads_of_one_big_file_equal_whole_file(spark, tmp_dir):
+    """A log file cut into many splits (tiny maxPartitionBytes) gives the
+    same ordered lines and sessions as reading it whole."""
+    import random
+    from seqlab.sources.logs import read_lines_ordered
+    rnd = random.Random(2)
+    lines, t = [], 0
+    for dev in range(40):
+        lines.append(f"ID:d{dev},中国上海上海")
+        for _ in range(rnd.randint(5, 40)):
+            t += 1
+            state = "poweron" if rnd.random() < 0.7 else "poweroff"
+            lines.append(f"/,d,{state},low,auto,cool,26,25,2016-12-{1 + t // 1440:02d} "
+                         f"{(t // 60) % 24:02d}:{t % 60:02d}")
+    lines += ["", "ID:ghost,None", "/,d,poweron,low,auto,cool,26,25,2016-12-31 00:00",
+              "/,d,poweroff,low,auto,cool,26,25,2016-12-31 00:01"]
+    os.makedirs(f"{tmp_dir}/big")
+    with open(f"{tmp_dir}/big/7.log", "w", encoding="utf-8") as f:
+        f.write("\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        split = read_lines_ordered(spark, f"{tmp_dir}/big")
+        assert split.select("block").distinct().count() > 5
+        ordered = [r.line for r in split.orderBy("block", "pos").collect()]
+        assert ordered == lines
+        a = sorted(tuple(r) for r in log_sessions(spark, f"{tmp_dir}/big").collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    whole = sorted(tuple(r) for r in log_sessions(spark, f"{tmp_dir}/big").collect())
+    assert a == whole and len(a) > 20
+    assert all(r[0] != "ghost" for r in a)
