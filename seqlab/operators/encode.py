@@ -21,8 +21,11 @@ def category_index(df: DataFrame, cols: Sequence[str], suffix: str = "_idx") ->
 
 def one_hot(df: DataFrame, cols: Sequence[str], drop_last: bool = False, suffix: str = "_vec") -> DataFrame:
     """Index then one-hot encode ``cols`` (vector columns ``<c>_vec``).
-    ``drop_last=False`` keeps every category as the reference's dataset does."""
-    idx = category_index(df, cols, "_idx")
+    ``drop_last=False`` keeps every category as the reference's dataset does.
+    The indexer's category metadata is kept, so the encoder needs no pass
+    over the data of its own."""
+    idx = StringIndexer(inputCols=list(cols), outputCols=[c + "_idx" for c in cols],
+                        stringOrderType="frequencyDesc", handleInvalid="error").fit(df).transform(df)
     enc = OneHotEncoder(inputCols=[c + "_idx" for c in cols], outputCols=[c + suffix for c in cols],
                         dropLast=drop_last).fit(idx)
     return enc.transform(idx).drop(*[c + "_idx" for c in cols])

@@ -24,6 +24,7 @@ from seqlab.operators.encode import assemble, category_index, hash_split, one_ho
 from seqlab.operators.features import encode_categories, filter_range, sliding_features
 from seqlab.operators.labels import class_count, combine_labels, index_labels, label_dictionary, label_index, \
     split_label
+from seqlab.session import materialize
 from seqlab.sinks.text import dataset_line, dictionary_line, libsvm_line
 from seqlab.sources.tables import table
 
@@ -69,9 +70,12 @@ def q_encode_categories(spark, data_dir):
     return encode_categories(q_range_filter(spark, data_dir), CODE_SPEC)
 
 
-def labelled(spark, data_dir):
+def labelled(spark, data_dir, reused: bool = False):
+    """Coded rows with the combined label; ``reused=True`` checkpoints them
+    for plans that read them twice (label index, then the rows)."""
     coded = q_encode_categories(spark, data_dir)
-    return coded.withColumn("label", combine_labels(["temp", "speed", "direction", "mode"]))
+    out = coded.withColumn("label", combine_labels(["temp", "speed", "direction", "mode"]))
+    return materialize(out) if reused else out
 
 
 def q_combine_labels(spark, data_dir):
@@ -107,7 +111,7 @@ def q_class_count(spark, data_dir):
 
 
 def q_format_dataset(spark, data_dir):
-    lab = index_labels(labelled(spark, data_dir))
+    lab = index_labels(labelled(spark, data_dir, reused=True))
     return lab.select("event_id", dataset_line(list(FEATURE_COLS), "label_index").alias("line"))
 
 

@@ -23,7 +23,7 @@ FOREST = dict(impurity="gini", max_depth=10, max_bins=32, num_trees=20, feature_
 def training_rows(spark, data_dir, label: str = "combined"):
     """13 coded features (direction/mode declared categorical) and a dense
     label: the combined-label index, or the temperature code."""
-    lab = labelled(spark, data_dir)
+    lab = labelled(spark, data_dir, reused=True)
     if label == "combined":
         idx = label_index(lab)
         n_classes = idx.count()  # local table: no job over the data
