@@ -18,8 +18,7 @@ from pyspark.sql import functions as F
 
 from seqlab.functions.codes import (DIRECTION_CODES, FEATURE_COLS, MODE_CODES, NOMINAL_FEATURES,
                                     SPEED_CODES, TARGET_COLS, TEMP_OFFSET, TEMP_RANGE)
-from seqlab.functions.scan import time_block
-from seqlab.plans.events import EVENT_BLOCK_UNIT
+from seqlab.plans.events import event_block
 from seqlab.operators.encode import assemble, category_index, hash_split, one_hot, one_hot_dataset, vector_values
 from seqlab.operators.features import encode_categories, filter_range, sliding_features
 from seqlab.operators.labels import class_count, combine_labels, index_labels, label_dictionary, label_index, \
@@ -42,7 +41,7 @@ def appliance_events(events: DataFrame) -> DataFrame:
         _pick(list(DIRECTION_CODES), F.pmod(F.floor(eid / 6), F.lit(3))).alias("direction"),
         _pick(list(MODE_CODES), F.pmod(F.floor(eid / 18), F.lit(5))).alias("mode"),
         F.when(F.col("event_type") != "click", F.floor("value").cast("int")).alias("weather"),
-        time_block("ts", EVENT_BLOCK_UNIT).alias("blk"),
+        event_block(events).alias("blk"),
     )
 
 

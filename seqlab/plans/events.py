@@ -7,10 +7,10 @@ Order inside a user is ``(ts, event_id)``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlab.functions.scan import time_block
+from seqlab.functions.scan import adaptive_time_block
 from seqlab.operators.features import sliding_features
 from seqlab.operators.groups import filter_min_group, sort_sessions
 from seqlab.operators.joins import nearest_join
@@ -18,11 +18,15 @@ from seqlab.operators.sessionize import filter_min_events, sessionize
 from seqlab.session import materialize
 from seqlab.sources.tables import read_period, table
 
-# Block size of the per-user scans: one minute of one user's events. Sizing
-# rule: unit ~ target block bytes / bytes per second of the busiest user; a
-# user with a third of 100 TB over a month writes ~13 MB/s, so a minute block
-# stays below 1 GB, and that user's block table has ~43k rows.
-EVENT_BLOCK_UNIT = "minute"
+# Rows per block of the per-user scans: the block span is chosen from the data
+# so that the busiest user gets about this many rows per block (see
+# adaptive_time_block); a user with a third of 100 TB is then spread over
+# thousands of bounded tasks, and small users have one or a few blocks.
+EVENT_BLOCK_ROWS = 1_000_000
+
+
+def event_block(events: DataFrame) -> Column:
+    return adaptive_time_block(events, ["user_id"], "ts", EVENT_BLOCK_ROWS)
 
 
 def event_kinds(events: DataFrame) -> DataFrame:
@@ -30,7 +34,7 @@ def event_kinds(events: DataFrame) -> DataFrame:
     kind = F.when(et == "signup", "header").when(et == "error", "off").otherwise("on")
     return events.select("user_id", "ts", "event_id", "event_type", "value",
                          kind.alias("kind"), F.col("event_id").alias("signup_id"),
-                         time_block("ts", EVENT_BLOCK_UNIT).alias("blk"))
+                         event_block(events).alias("blk"))
 
 
 def event_sessions(spark: SparkSession, data_dir: str, carry_over: bool = True, reused: bool = True) -> DataFrame:
@@ -78,7 +82,8 @@ def q_session_features(spark, data_dir):
 
 
 def q_sliding_features(spark, data_dir):
-    ev = table(spark, data_dir, "events").withColumn("blk", time_block("ts", EVENT_BLOCK_UNIT))
+    ev = table(spark, data_dir, "events")
+    ev = ev.withColumn("blk", event_block(ev))
     return sliding_features(ev, "user_id", ["ts", "event_id"], width=4, feature_cols=["value"],
                             target_cols={"target": "value"}, start_cols={"event_id": "event_id"},
                             block="blk")
