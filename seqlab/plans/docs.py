@@ -131,7 +131,43 @@ z AS (
   SELECT xs.vec_id, c.cls, 1.0 / (1.0 + exp(-SUM(c.w * CAST(xs.x AS DOUBLE)))) AS p
   FROM xs JOIN c ON xs.j = c.j GROUP BY xs.vec_id, c.cls)"""
 
+def _learner_sql(where: str = "TRUE") -> str:
+    """The sequential test-then-train learner as a recursive CTE over the
+    instances in ``vec_id`` order (state: the weight lists)."""
+    return f"""WITH RECURSIVE r AS (
+  SELECT ROW_NUMBER() OVER (ORDER BY vec_id) AS i, vec_id, CAST(embedding AS DOUBLE[]) AS x, label AS y
+  FROM embeddings WHERE {where}),
+s(i, W, b, vec_id, predicted, correct) AS (
+  SELECT 0, [list_transform(range({N_FEATURES}), lambda j: 0.0::DOUBLE) FOR c IN range({N_CLASSES})],
+         list_transform(range({N_CLASSES}), lambda c: 0.0::DOUBLE), NULL::BIGINT, NULL::INTEGER, NULL::BOOLEAN
+  UNION ALL
+  SELECT r.i, [list_transform(list_zip(s.W[c + 1], r.x), lambda t: t[1] + dd.d[c + 1] * t[2]) FOR c IN range({N_CLASSES})],
+         [s.b[c + 1] + dd.d[c + 1] FOR c IN range({N_CLASSES})], r.vec_id, dd.pr, dd.pr = r.y
+  FROM s JOIN r ON r.i = s.i + 1,
+  LATERAL (SELECT [1.0 / (1.0 + exp(-(list_dot_product(s.W[c + 1], r.x) + s.b[c + 1]))) FOR c IN range({N_CLASSES})]
+           AS p) AS pp,
+  LATERAL (SELECT CAST(list_position(pp.p, list_max(pp.p)) - 1 AS INTEGER) AS pr,
+                  [(CASE WHEN c = r.y THEN 1.0 ELSE 0.0 END - pp.p[c + 1]) * pp.p[c + 1] * (1.0 - pp.p[c + 1])
+                   FOR c IN range({N_CLASSES})] AS d) AS dd)"""
+
+
+_TRAIN = "(vec_id * 7919 + 104729) % 100 < 70"
+
 ORACLES = {
+    "perceptron_keyed": _learner_sql() + """
+SELECT 0 AS stream, vec_id, predicted, correct FROM s WHERE i > 0""",
+    "prequential_accuracy": _learner_sql() + """
+SELECT 0 AS stream, CAST(100.0 * AVG(CAST(correct AS DOUBLE)) AS DOUBLE) AS accuracy, COUNT(*) AS n
+FROM s WHERE i > 0""",
+    "holdout_accuracy": _learner_sql(_TRAIN) + f""",
+final AS (SELECT W, b FROM s ORDER BY i DESC LIMIT 1),
+t AS (
+  SELECT e.label, [1.0 / (1.0 + exp(-(list_dot_product(f.W[c + 1], CAST(e.embedding AS DOUBLE[])) + f.b[c + 1])))
+                   FOR c IN range({N_CLASSES})] AS p
+  FROM embeddings e, final f WHERE NOT ({_TRAIN.replace('vec_id', 'e.vec_id')}))
+SELECT CAST(100.0 * AVG(CASE WHEN list_position(p, list_max(p)) - 1 = label THEN 1.0 ELSE 0.0 END) AS DOUBLE)
+  AS accuracy, COUNT(*) AS n
+FROM t""",
     "word_count": """SELECT word, COUNT(*) AS n FROM (
   SELECT unnest(string_split(line, ' ')) AS word
   FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) l) w GROUP BY word""",
