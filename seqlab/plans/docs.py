@@ -131,19 +131,22 @@ z AS (
   SELECT xs.vec_id, c.cls, 1.0 / (1.0 + exp(-SUM(c.w * CAST(xs.x AS DOUBLE)))) AS p
   FROM xs JOIN c ON xs.j = c.j GROUP BY xs.vec_id, c.cls)"""
 
-def _learner_sql(where: str = "TRUE") -> str:
+def _learner_sql(where: str = "TRUE", key: str = "0") -> str:
     """The sequential test-then-train learner as a recursive CTE over the
-    instances in ``vec_id`` order (state: the weight lists)."""
+    instances of each ``key`` in ``vec_id`` order (state: the weight lists)."""
     return f"""WITH RECURSIVE r AS (
-  SELECT ROW_NUMBER() OVER (ORDER BY vec_id) AS i, vec_id, CAST(embedding AS DOUBLE[]) AS x, label AS y
+  SELECT {key} AS k, ROW_NUMBER() OVER (PARTITION BY {key} ORDER BY vec_id) AS i, vec_id,
+         CAST(embedding AS DOUBLE[]) AS x, label AS y
   FROM embeddings WHERE {where}),
-s(i, W, b, vec_id, predicted, correct) AS (
-  SELECT 0, [list_transform(range({N_FEATURES}), lambda j: 0.0::DOUBLE) FOR c IN range({N_CLASSES})],
+s(k, i, W, b, vec_id, predicted, correct) AS (
+  SELECT DISTINCT k, 0, [list_transform(range({N_FEATURES}), lambda j: 0.0::DOUBLE) FOR c IN range({N_CLASSES})],
          list_transform(range({N_CLASSES}), lambda c: 0.0::DOUBLE), NULL::BIGINT, NULL::INTEGER, NULL::BOOLEAN
+  FROM r
   UNION ALL
-  SELECT r.i, [list_transform(list_zip(s.W[c + 1], r.x), lambda t: t[1] + dd.d[c + 1] * t[2]) FOR c IN range({N_CLASSES})],
+  SELECT r.k, r.i,
+         [list_transform(list_zip(s.W[c + 1], r.x), lambda t: t[1] + dd.d[c + 1] * t[2]) FOR c IN range({N_CLASSES})],
          [s.b[c + 1] + dd.d[c + 1] FOR c IN range({N_CLASSES})], r.vec_id, dd.pr, dd.pr = r.y
-  FROM s JOIN r ON r.i = s.i + 1,
+  FROM s JOIN r ON r.k = s.k AND r.i = s.i + 1,
   LATERAL (SELECT [1.0 / (1.0 + exp(-(list_dot_product(s.W[c + 1], r.x) + s.b[c + 1]))) FOR c IN range({N_CLASSES})]
            AS p) AS pp,
   LATERAL (SELECT CAST(list_position(pp.p, list_max(pp.p)) - 1 AS INTEGER) AS pr,

@@ -74,7 +74,16 @@ QUERIES = {
     "learner_stream_keyed": q_learner_stream_keyed,
 }
 
+def _keyed_learner_oracle() -> str:
+    from seqlab.plans.docs import _learner_sql
+    return _learner_sql(key="CAST(label // 5 AS BIGINT)") + """
+SELECT k AS "group", vec_id, predicted, correct FROM s WHERE i > 0"""
+
+
 ORACLES = {
+    # One micro-batch holds every instance; each label group learns its
+    # instances in vec_id order.
+    "learner_stream_keyed": _keyed_learner_oracle(),
     # One micro-batch picks up every file; it is scored with the starting
     # (zero) weights, whose equal votes all go to class 0.
     "learner_stream": """SELECT 0 AS batch_id,

@@ -2,7 +2,7 @@
 
 import __spark_entry__ as entry
 
-ROWS_ONLY = {"learner_stream_keyed", "train_tree", "train_forest",
+ROWS_ONLY = {"train_tree", "train_forest",
              "train_logistic", "train_logistic_onehot", "train_forest_libsvm", "train_gbt", "tree_rules", "tree_rules_text", "score_rules"}
 
 
