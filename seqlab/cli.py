@@ -3,6 +3,7 @@
     python -m seqlab.cli etl LOGS WEATHER OUT [--weather-columns 8|4] [--no-carry-over]
     python -m seqlab.cli dataset OUT [--order lexical|natural]
     python -m seqlab.cli train OUT --algorithm tree|forest|logistic|gbt [--trees 20] [--depth 10] [--bins 32]
+    python -m seqlab.cli rules MODEL_DIR OUT [--text]
     python -m seqlab.cli wordcount IN_DIR OUT_DIR CHECKPOINT [--once]
     python -m seqlab.cli learn IN_DIR OUT_DIR CHECKPOINT --features 110 --classes 5 [--rate 1.0] [--once]
 
@@ -98,6 +99,17 @@ def train_model(spark: SparkSession, out: str, algorithm: str, trees: int = 20,
     append_metrics(report, f"{out}/metrics")
 
 
+def model_rules(spark: SparkSession, model_dir: str, out: str, text: bool = False) -> None:
+    """Rule lines (``Tree<n>:cond:...:#label``, or readable ``cond -> ... ->
+    Predict``) and the node table as JSON of any saved tree or forest."""
+    from seqlab.operators.rules import nodes_json, rule_text
+    nodes = tree_nodes(spark, model_dir)
+    rules = rule_lines(tree_rules(spark, nodes))
+    line = F.concat(F.lit("Tree"), F.col("tree").cast("string"), F.lit(":"), F.col("text" if text else "line"))
+    write_lines(rule_text(rules) if text else rules, line, f"{out}/rules", sort_by=["tree", "leaf"])
+    write_lines(nodes_json(nodes), F.col("json"), f"{out}/nodes_json", sort_by=["tree", "id"])
+
+
 def main(argv=None) -> None:
     p = argparse.ArgumentParser(prog="seqlab")
     sub = p.add_subparsers(dest="cmd", required=True)
@@ -111,6 +123,8 @@ def main(argv=None) -> None:
     t.add_argument("out"), t.add_argument("--algorithm", default="forest")
     t.add_argument("--trees", type=int, default=20), t.add_argument("--depth", type=int, default=10)
     t.add_argument("--bins", type=int, default=32)
+    r = sub.add_parser("rules")
+    r.add_argument("model"), r.add_argument("out"), r.add_argument("--text", action="store_true")
     w = sub.add_parser("wordcount")
     w.add_argument("input"), w.add_argument("output"), w.add_argument("checkpoint"), w.add_argument("--once", action="store_true")
     le = sub.add_parser("learn")
@@ -126,6 +140,8 @@ def main(argv=None) -> None:
         dataset(spark, a.out, a.order)
     elif a.cmd == "train":
         train_model(spark, a.out, a.algorithm, a.trees, a.depth, a.bins)
+    elif a.cmd == "rules":
+        model_rules(spark, a.model, a.out, a.text)
     elif a.cmd == "wordcount":
         from seqlab.streaming.jobs import start_word_count, stream_lines
         trig = {"availableNow": True} if a.once else {"processingTime": "1 second"}

@@ -37,3 +37,8 @@ def test_etl_dataset_train(spark, tmp_dir):
     rules = _read_lines(f"{out}/rules-tree")
     assert rules and all(ln.startswith("Tree1:") and ":#" in ln for ln in rules)
     assert spark.read.parquet(f"{out}/dataset.parquet").where(F.col("label").isNull()).count() == 0
+
+    cli.model_rules(spark, f"{out}/model-tree", f"{tmp_dir}/r", text=True)
+    texts = _read_lines(f"{tmp_dir}/r/rules")
+    assert texts and all(" -> " in t and "Predict: " in t for t in texts)
+    assert len(_read_lines(f"{tmp_dir}/r/nodes_json")) >= len(texts)
