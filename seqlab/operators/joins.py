@@ -40,7 +40,7 @@ def _micros_between(a, b):
 def nearest_join(left: DataFrame, right: DataFrame, *, left_keys: Sequence[str], right_keys: Sequence[str],
                  left_ts: str, right_ts: str, right_cols: Sequence[str], max_gap_seconds: float | None = None,
                  strategy: str = "auto", broadcast_rows: int = BROADCAST_ROWS,
-                 broadcast_bytes: int = BROADCAST_BYTES, block_unit: str = "minute") -> DataFrame:
+                 broadcast_bytes: int = BROADCAST_BYTES, block_unit: str | None = "minute") -> DataFrame:
     """Every ``left`` row once, with ``right_cols`` of the right row of the
     same key nearest in time (NULLs when the key has none, or when the gap is
     above ``max_gap_seconds``). Ties: smaller gap, then earlier right time,
@@ -100,7 +100,8 @@ def nearest_join(left: DataFrame, right: DataFrame, *, left_keys: Sequence[str],
                           F.lit(0).cast("long").alias("__salt")))
         lefts = lefts.withColumn("__r", F.lit(None).cast(rights.schema["__r"].dataType))
         rights = rights.withColumn("__left", F.lit(None).cast(lefts.schema["__left"].dataType))
-        both = lefts.unionByName(rights).withColumn("__blk", time_block("__t", block_unit))
+        blk = time_block("__t", block_unit) if block_unit else F.lit(0)
+        both = lefts.unionByName(rights).withColumn("__blk", blk)
         scanned = running(both, [*lk, "__salt"], ["__t", "__side"], block="__blk",
                           lasts={"__prev": F.col("__r")}, firsts={"__next": F.col("__r")})
         scanned = scanned.where(F.col("__side") == 0)

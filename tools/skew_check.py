@@ -1,8 +1,9 @@
 """How evenly the blocked scans spread one hot key over tasks.
 
 Moves a third of all events to one user (data derived from the events table
-by Spark), sessionizes it once with blocked scans and once with a plain
-per-user window, and reads Spark's event log (written to a scratch folder)
+by Spark), runs sessionize, sliding windows and the scan plan of the nearest
+join once with blocked scans and once with a plain per-user window, and
+reads Spark's event log (written to a scratch folder)
 for the shuffle records read by each task of every stage. Prints a markdown
 table: per run, the largest task of the busiest stage against the median.
 
@@ -43,29 +44,50 @@ def task_records(log_dir: str) -> dict[int, list[int]]:
     return per_stage
 
 
-def run(data_dir: str, block_rows: int | None) -> tuple[int, float, int]:
-    log_dir = tempfile.mkdtemp(prefix="seqlab-eventlog-", dir=os.environ.get("TMPDIR", "/tmp"))
+def _session(log_dir: str) -> SparkSession:
     spark = (SparkSession.builder.master("local[8]").appName("skew-check")
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", log_dir)
              .config("spark.eventLog.compress", "false").config("spark.eventLog.rolling.enabled", "false")
              .config("spark.sql.shuffle.partitions", "64")
              .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
+             .config("spark.sql.autoBroadcastJoinThreshold", "-1")
              .getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
+    return spark
+
+
+def run(data_dir: str, op: str, blocked: bool, block_rows: int) -> tuple[int, float, int]:
+    log_dir = tempfile.mkdtemp(prefix="seqlab-eventlog-", dir=os.environ.get("TMPDIR", "/tmp"))
+    spark = _session(log_dir)
     from seqlab.functions.scan import adaptive_time_block
+    from seqlab.operators.features import sliding_features
+    from seqlab.operators.joins import nearest_join
     from seqlab.operators.sessionize import sessionize
     from seqlab.plans.events import event_kinds
     from seqlab.sources.tables import table
     ev = table(spark, data_dir, "events")
     hot = ev.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id")))
-    kinds = event_kinds(hot)
-    if block_rows:
-        kinds = kinds.withColumn("blk", adaptive_time_block(hot, ["user_id"], "ts", block_rows))
-    s = sessionize(kinds, file_col="user_id", order_cols=["ts", "event_id"], kind_col="kind", time_col="ts",
-                   settings_cols=["event_type", "value"], header_cols=["signup_id"],
-                   block_col="blk" if block_rows else None, checkpoint_runs=False)
-    n = s.count()
+    blk = adaptive_time_block(hot, ["user_id"], "ts", block_rows)
+    if op == "sessionize":
+        kinds = event_kinds(hot).withColumn("blk", blk)
+        out = sessionize(kinds, file_col="user_id", order_cols=["ts", "event_id"], kind_col="kind", time_col="ts",
+                         settings_cols=["event_type", "value"], header_cols=["signup_id"],
+                         block_col="blk" if blocked else None, checkpoint_runs=False)
+    elif op == "sliding_features":
+        out = sliding_features(hot.withColumn("blk", blk), "user_id", ["ts", "event_id"], width=4,
+                               feature_cols=["value"], target_cols={"target": "value"},
+                               start_cols={"event_id": "event_id"}, block="blk" if blocked else None,
+                               bucket_rows=max(block_rows, 4))
+    else:  # nearest_join, scan plan: every purchase <- nearest view of the same user (no day key)
+        purchases = hot.where(F.col("event_type") == "purchase").select("event_id", "user_id", "ts")
+        views = hot.where(F.col("event_type") == "view").select(F.col("user_id").alias("vu"),
+                                                                F.col("ts").alias("vts"),
+                                                                F.col("event_id").alias("view_id"))
+        out = nearest_join(purchases, views, left_keys=["user_id"], right_keys=["vu"], left_ts="ts",
+                           right_ts="vts", right_cols=["view_id"], strategy="scan",
+                           block_unit="hour" if blocked else None)
+    n = out.count()
     spark.stop()
     stages = task_records(log_dir)
     busiest = max(stages.values(), key=lambda v: max(v))
@@ -75,11 +97,13 @@ def run(data_dir: str, block_rows: int | None) -> tuple[int, float, int]:
 def main():
     data_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     block_rows = int(sys.argv[2]) if len(sys.argv) > 2 else 1000
-    print("| scan | largest task (shuffle records) | median task | sessions |")
-    print("|---|---|---|---|")
-    for label, rows in ((f"blocked, ~{block_rows} rows per block", block_rows), ("one window per user", None)):
-        mx, med, n = run(data_dir, rows)
-        print(f"| {label} | {mx} | {med:.0f} | {n} |")
+    print("| operator | scan | largest task (shuffle records) | median task | result rows |")
+    print("|---|---|---|---|---|")
+    for op in ("sessionize", "sliding_features", "nearest_join"):
+        for blocked in (True, False):
+            mx, med, n = run(data_dir, op, blocked, block_rows)
+            label = "blocked" if blocked else "one window per user"
+            print(f"| {op} | {label} | {mx} | {med:.0f} | {n} |")
 
 
 if __name__ == "__main__":
