@@ -1,4 +1,4 @@
-"""DuckDB SQL for every registered query (independent plain-window forms)."""
+"""DuckDB oracles of :mod:`seqlab.plans.events` (plain windows per user)."""
 
 from __future__ import annotations
 
