@@ -1,6 +1,6 @@
 """Command line: the reference's batch and streaming jobs on files.
 
-    python -m seqlab.cli etl LOGS WEATHER OUT [--weather-columns 8|4] [--no-carry-over]
+    python -m seqlab.cli etl LOGS WEATHER OUT [--period YYYYMM] [--weather-columns 8|4] [--no-carry-over]
     python -m seqlab.cli dataset OUT [--order lexical|natural]
     python -m seqlab.cli train OUT --algorithm tree|forest|logistic|gbt [--trees 20] [--depth 10] [--bins 32]
     python -m seqlab.cli rules MODEL_DIR OUT [--text]
@@ -36,7 +36,11 @@ from seqlab.sources.logs import read_weather
 
 
 def etl(spark: SparkSession, logs: str, weather: str, out: str, weather_columns: int = 8,
-        carry_over: bool = True) -> None:
+        carry_over: bool = True, period: str | None = None) -> None:
+    """``period`` picks the ``period=YYYYMM`` folder of both inputs (one
+    month of logs and its weather), as the reference picks its data set."""
+    if period:
+        logs, weather = f"{logs.rstrip('/')}/period={period}", f"{weather.rstrip('/')}/period={period}"
     sessions = filter_min_group(filter_min_events(log_sessions(spark, logs, carry_over=carry_over)), "user", k=3,
                                 size_col="n_sessions")
     sized = sessions.select("n_sessions", *SESSION_COLS)
@@ -117,6 +121,7 @@ def main(argv=None) -> None:
     e.add_argument("logs"), e.add_argument("weather"), e.add_argument("out")
     e.add_argument("--weather-columns", type=int, default=8, choices=(4, 8))
     e.add_argument("--no-carry-over", action="store_true")
+    e.add_argument("--period", default=None)
     d = sub.add_parser("dataset")
     d.add_argument("out"), d.add_argument("--order", default="lexical", choices=("lexical", "natural"))
     t = sub.add_parser("train")
@@ -135,7 +140,7 @@ def main(argv=None) -> None:
 
     spark = SparkSession.builder.appName(f"seqlab-{a.cmd}").getOrCreate()
     if a.cmd == "etl":
-        etl(spark, a.logs, a.weather, a.out, a.weather_columns, not a.no_carry_over)
+        etl(spark, a.logs, a.weather, a.out, a.weather_columns, not a.no_carry_over, a.period)
     elif a.cmd == "dataset":
         dataset(spark, a.out, a.order)
     elif a.cmd == "train":

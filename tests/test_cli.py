@@ -42,3 +42,11 @@ def test_etl_dataset_train(spark, tmp_dir):
     texts = _read_lines(f"{tmp_dir}/r/rules")
     assert texts and all(" -> " in t and "Predict: " in t for t in texts)
     assert len(_read_lines(f"{tmp_dir}/r/nodes_json")) >= len(texts)
+
+
+def test_etl_picks_the_period_folder(spark, tmp_dir):
+    data = "/root/testdata/sf0.001"
+    write_event_logs(spark, data, f"{tmp_dir}/logs/period=202401")
+    write_event_weather(spark, data, f"{tmp_dir}/weather/period=202401")
+    cli.etl(spark, f"{tmp_dir}/logs", f"{tmp_dir}/weather", f"{tmp_dir}/out", period="202401")
+    assert spark.read.parquet(f"{tmp_dir}/out/joined.parquet").count() > 0
