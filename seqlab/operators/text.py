@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 def words(text: str | Column) -> Column:
     """Words of a text as a line-by-line ``split(' ')``: every line split on
-    single spaces, so runs of spaces and empty lines give empty words."""
+    single spaces, so runs of spaces and empty lines give empty words.
+    Splitting lines and then spaces equals one split on either character."""
     t = F.col(text) if isinstance(text, str) else text
-    return F.flatten(F.transform(F.split(t, "\n", -1), lambda line: F.split(line, " ", -1)))
+    return F.split(t, "[ \n]", -1)
 
 
 def word_count(df: DataFrame, text_col: str = "text") -> DataFrame:
