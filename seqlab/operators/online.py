@@ -38,7 +38,7 @@ def _lit_matrix(W: Sequence[Sequence[float]]) -> Column:
 
 def _x(x_col: str | Column) -> Column:
     c = F.col(x_col) if isinstance(x_col, str) else x_col
-    return F.transform(c, lambda v: v.cast("double"))
+    return c.cast(T.ArrayType(T.DoubleType()))
 
 
 def class_scores(x_col: str | Column, W: Sequence[Sequence[float]], b: Sequence[float]) -> Column:
