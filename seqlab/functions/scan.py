@@ -146,15 +146,15 @@ def time_block(ts: str | Column, unit: str = "hour") -> Column:
 
 def adaptive_time_block(df: DataFrame, keys: Sequence[str], ts: str, target_rows: int = 1_000_000) -> Column:
     """Block id from a timestamp with a span chosen from the data: the span
-    that gives the busiest key about ``target_rows`` rows per block, if its
-    rows were spread evenly over the time range. One aggregation (per-key
-    counts, map-side combined) and a one-row result on the driver.
-    Monotone in time, so usable as ``block`` for :func:`running`."""
+    that gives the busiest key about ``target_rows`` rows per block in its
+    busiest hour (so bursts are sized by their own density, not the key's
+    average). One aggregation (counts per key and hour, map-side combined)
+    and a one-row result on the driver. Monotone in time, so usable as
+    ``block`` for :func:`running`."""
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(us).alias("lo"), F.max(us).alias("hi"))
-    s = per_key.agg(F.max("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
-    if s is None or s["n"] is None or s["lo"] is None:
-        span = 1
-    else:
-        span = max(1, int((s["hi"] - s["lo"] + 1) * target_rows // max(s["n"], 1)))
+    hour = F.floor(us / F.lit(3_600_000_000))
+    per_hour = df.groupBy(*keys, hour.alias("__h")).agg(F.count(F.lit(1)).alias("n"))
+    busiest = per_hour.agg(F.max("n").alias("n")).first()
+    peak = busiest["n"] if busiest and busiest["n"] else 1
+    span = max(1, int(3_600_000_000 * target_rows // peak))
     return F.floor(us / F.lit(span)).cast("long")
