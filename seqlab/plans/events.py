@@ -68,7 +68,9 @@ def q_min_group(spark, data_dir):
 def session_features(sessions: DataFrame) -> DataFrame:
     """Four consecutive sessions of a user (natural order of the session
     number): settings of three, settings of the fourth as targets."""
-    blocked = sessions.withColumn("__sblk", F.floor(F.col("seq") / 64))
+    # Blocks of 65,536 session numbers: ~sqrt of a billion-session user, so
+    # both a block and that user's block table stay small.
+    blocked = sessions.withColumn("__sblk", F.floor(F.col("seq") / 65536))
     return sliding_features(blocked, "user_id", ["seq"], width=4,
                             feature_cols=["n_on", "event_type", "value"],
                             target_cols={"next_event_type": "event_type", "next_value": "value",

@@ -133,11 +133,11 @@ def log_features(joined: DataFrame, order: str = "lexical") -> DataFrame:
     fno = F.regexp_extract("session_id", r"^(.*)-([0-9]+)$", 1)
     seq = F.regexp_extract("session_id", r"^(.*)-([0-9]+)$", 2)
     if order == "lexical":
-        df = joined.withColumn("__o", F.col("session_id")).withColumn("__b", F.struct(fno, F.substring(seq, 1, 4)))
+        df = joined.withColumn("__o", F.col("session_id")).withColumn("__b", F.struct(fno, F.substring(seq, 1, 5)))
         order_cols = ["__o"]
     else:
         df = (joined.withColumn("__f", fno).withColumn("__s", seq.cast("long"))
-              .withColumn("__b", F.struct(F.col("__f"), F.floor(F.col("__s") / 4096))))
+              .withColumn("__b", F.struct(F.col("__f"), F.floor(F.col("__s") / 65536))))
         order_cols = ["__f", "__s"]
     return sliding_features(df, "user", order_cols, width=4, feature_cols=["temp", "speed", "direction", "mode"],
                             target_cols={"weather": "w_temp", "speed": "speed", "direction": "direction",
