@@ -158,3 +158,34 @@ def adaptive_time_block(df: DataFrame, keys: Sequence[str], ts: str, target_rows
     peak = busiest["n"] if busiest and busiest["n"] else 1
     span = max(1, int(3_600_000_000 * target_rows // peak))
     return F.floor(us / F.lit(span)).cast("long")
+
+
+def with_time_blocks(df: DataFrame, keys: Sequence[str], ts: str, target_rows: int = 1_000_000,
+                     out_col: str = "blk", max_heavy_keys: int = 1_000_000) -> DataFrame:
+    """Add a per-key block id for :func:`running`, sized by each key's own
+    density.
+
+    Keys with at most ``target_rows`` rows are one block. A heavier key gets
+    time blocks whose span gives about ``target_rows`` rows in its busiest
+    hour. Only heavy keys have a span; there are at most ``total rows /
+    target_rows`` of them (checked against ``max_heavy_keys``), so their
+    table is broadcast and the rows are never shuffled for it. NULL keys are
+    matched like any other key.
+    """
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    per_hour = df.groupBy(*keys, F.floor(us / F.lit(3_600_000_000)).alias("__h")).agg(
+        F.count(F.lit(1)).alias("__n"))
+    heavy = (per_hour.groupBy(*keys).agg(F.sum("__n").alias("__total"), F.max("__n").alias("__peak"))
+             .where(F.col("__total") > target_rows)
+             .select(*[F.col(k).alias(f"__hk{i}") for i, k in enumerate(keys)],
+                     F.greatest(F.lit(1), F.floor(F.lit(3_600_000_000 * target_rows) / F.col("__peak")))
+                     .cast("long").alias("__span")))
+    if heavy.limit(max_heavy_keys + 1).count() > max_heavy_keys:
+        raise ValueError(f"more than {max_heavy_keys} keys above {target_rows} rows: raise target_rows")
+    cond = None
+    for i, k in enumerate(keys):
+        e = df[k].eqNullSafe(heavy[f"__hk{i}"])
+        cond = e if cond is None else cond & e
+    joined = df.join(F.broadcast(heavy), on=cond, how="left")
+    blk = F.when(F.col("__span").isNull(), F.lit(0).cast("long")).otherwise(F.floor(us / F.col("__span")))
+    return joined.withColumn(out_col, blk.cast("long")).drop("__span", *[f"__hk{i}" for i in range(len(keys))])

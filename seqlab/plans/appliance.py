@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from seqlab.functions.codes import (DIRECTION_CODES, FEATURE_COLS, MODE_CODES, NOMINAL_FEATURES,
                                     SPEED_CODES, TARGET_COLS, TEMP_OFFSET, TEMP_RANGE)
-from seqlab.plans.events import event_block
+from seqlab.plans.events import with_event_blocks
 from seqlab.operators.encode import assemble, category_index, hash_split, one_hot, one_hot_dataset, vector_values
 from seqlab.operators.features import encode_categories, filter_range, sliding_features
 from seqlab.operators.labels import class_count, combine_labels, index_labels, label_dictionary, label_index, \
@@ -34,14 +34,14 @@ def _pick(names, idx):
 
 def appliance_events(events: DataFrame) -> DataFrame:
     eid = F.col("event_id")
-    return events.select(
+    return with_event_blocks(events).select(
         "user_id", "ts", "event_id",
         (F.lit(22) + F.pmod(eid, F.lit(8))).cast("int").alias("temp"),
         _pick(list(SPEED_CODES), F.pmod(eid, F.lit(6))).alias("speed"),
         _pick(list(DIRECTION_CODES), F.pmod(F.floor(eid / 6), F.lit(3))).alias("direction"),
         _pick(list(MODE_CODES), F.pmod(F.floor(eid / 18), F.lit(5))).alias("mode"),
         F.when(F.col("event_type") != "click", F.floor("value").cast("int")).alias("weather"),
-        event_block(events).alias("blk"),
+        "blk",
     )
 
 

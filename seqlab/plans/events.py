@@ -7,10 +7,10 @@ Order inside a user is ``(ts, event_id)``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlab.functions.scan import adaptive_time_block
+from seqlab.functions.scan import with_time_blocks
 from seqlab.operators.features import sliding_features
 from seqlab.operators.groups import filter_min_group, sort_sessions
 from seqlab.operators.joins import nearest_join
@@ -18,23 +18,23 @@ from seqlab.operators.sessionize import filter_min_events, sessionize
 from seqlab.session import materialize
 from seqlab.sources.tables import read_period, table
 
-# Rows per block of the per-user scans: the block span is chosen from the data
-# so that the busiest user gets about this many rows per block (see
-# adaptive_time_block); a user with a third of 100 TB is then spread over
-# thousands of bounded tasks, and small users have one or a few blocks.
+# Rows per block of the per-user scans: users with more events get time
+# blocks sized from their own busiest hour (see with_time_blocks); a user with
+# a third of 100 TB is then spread over thousands of bounded tasks, and every
+# other user is one block.
 EVENT_BLOCK_ROWS = 1_000_000
 
 
-def event_block(events: DataFrame) -> Column:
-    return adaptive_time_block(events, ["user_id"], "ts", EVENT_BLOCK_ROWS)
+def with_event_blocks(events: DataFrame, target_rows: int = EVENT_BLOCK_ROWS) -> DataFrame:
+    return with_time_blocks(events, ["user_id"], "ts", target_rows, "blk")
 
 
-def event_kinds(events: DataFrame) -> DataFrame:
+def event_kinds(events: DataFrame, target_rows: int = EVENT_BLOCK_ROWS) -> DataFrame:
     et = F.col("event_type")
     kind = F.when(et == "signup", "header").when(et == "error", "off").otherwise("on")
-    return events.select("user_id", "ts", "event_id", "event_type", "value",
-                         kind.alias("kind"), F.col("event_id").alias("signup_id"),
-                         event_block(events).alias("blk"))
+    return with_event_blocks(events, target_rows).select(
+        "user_id", "ts", "event_id", "event_type", "value", kind.alias("kind"),
+        F.col("event_id").alias("signup_id"), "blk")
 
 
 def event_sessions(spark: SparkSession, data_dir: str, carry_over: bool = True, reused: bool = True) -> DataFrame:
@@ -84,8 +84,7 @@ def q_session_features(spark, data_dir):
 
 
 def q_sliding_features(spark, data_dir):
-    ev = table(spark, data_dir, "events")
-    ev = ev.withColumn("blk", event_block(ev))
+    ev = with_event_blocks(table(spark, data_dir, "events"))
     return sliding_features(ev, "user_id", ["ts", "event_id"], width=4, feature_cols=["value"],
                             target_cols={"target": "value"}, start_cols={"event_id": "event_id"},
                             block="blk")

@@ -185,14 +185,14 @@ def test_sort_sessions_rank_equals_row_number(spark):
 
 def test_sessionize_under_one_hot_user(spark):
     """A third of all events moved to one user: blocked and plain scans agree."""
-    from seqlab.functions.scan import adaptive_time_block
     from seqlab.operators.sessionize import sessionize
     from seqlab.plans.events import event_kinds
     from seqlab.sources.tables import table
     ev = table(spark, "/root/testdata/sf0.01", "events")
     hot = ev.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(7)).otherwise(F.col("user_id")))
-    # Blocks of about 50 rows for the hot user: its scan spans many blocks.
-    kinds = event_kinds(hot).withColumn("blk", adaptive_time_block(hot, ["user_id"], "ts", 50))
+    # Users above 50 rows get time blocks sized from their busiest hour: the
+    # hot user's scan spans many blocks, light users are one block.
+    kinds = event_kinds(hot, target_rows=50)
     assert kinds.where(F.col("user_id") == 7).select("blk").distinct().count() > 30
     kw = dict(file_col="user_id", order_cols=["ts", "event_id"], kind_col="kind", time_col="ts",
               settings_cols=["event_type", "value"], header_cols=["signup_id"])

@@ -60,7 +60,7 @@ def _session(log_dir: str) -> SparkSession:
 def run(data_dir: str, op: str, blocked: bool, block_rows: int) -> tuple[int, float, int]:
     log_dir = tempfile.mkdtemp(prefix="seqlab-eventlog-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark = _session(log_dir)
-    from seqlab.functions.scan import adaptive_time_block
+    from seqlab.functions.scan import with_time_blocks
     from seqlab.operators.features import sliding_features
     from seqlab.operators.joins import nearest_join
     from seqlab.operators.sessionize import sessionize
@@ -68,14 +68,14 @@ def run(data_dir: str, op: str, blocked: bool, block_rows: int) -> tuple[int, fl
     from seqlab.sources.tables import table
     ev = table(spark, data_dir, "events")
     hot = ev.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(0)).otherwise(F.col("user_id")))
-    blk = adaptive_time_block(hot, ["user_id"], "ts", block_rows)
     if op == "sessionize":
-        kinds = event_kinds(hot).withColumn("blk", blk)
+        kinds = event_kinds(hot, target_rows=block_rows)
         out = sessionize(kinds, file_col="user_id", order_cols=["ts", "event_id"], kind_col="kind", time_col="ts",
                          settings_cols=["event_type", "value"], header_cols=["signup_id"],
                          block_col="blk" if blocked else None, checkpoint_runs=False)
     elif op == "sliding_features":
-        out = sliding_features(hot.withColumn("blk", blk), "user_id", ["ts", "event_id"], width=4,
+        out = sliding_features(with_time_blocks(hot, ["user_id"], "ts", block_rows), "user_id",
+                               ["ts", "event_id"], width=4,
                                feature_cols=["value"], target_cols={"target": "value"},
                                start_cols={"event_id": "event_id"}, block="blk" if blocked else None,
                                bucket_rows=max(block_rows, 4))
