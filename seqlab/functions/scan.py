@@ -144,22 +144,6 @@ def time_block(ts: str | Column, unit: str = "hour") -> Column:
     return F.date_trunc(unit, c)
 
 
-def adaptive_time_block(df: DataFrame, keys: Sequence[str], ts: str, target_rows: int = 1_000_000) -> Column:
-    """Block id from a timestamp with a span chosen from the data: the span
-    that gives the busiest key about ``target_rows`` rows per block in its
-    busiest hour (so bursts are sized by their own density, not the key's
-    average). One aggregation (counts per key and hour, map-side combined)
-    and a one-row result on the driver. Monotone in time, so usable as
-    ``block`` for :func:`running`."""
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    hour = F.floor(us / F.lit(3_600_000_000))
-    per_hour = df.groupBy(*keys, hour.alias("__h")).agg(F.count(F.lit(1)).alias("n"))
-    busiest = per_hour.agg(F.max("n").alias("n")).first()
-    peak = busiest["n"] if busiest and busiest["n"] else 1
-    span = max(1, int(3_600_000_000 * target_rows // peak))
-    return F.floor(us / F.lit(span)).cast("long")
-
-
 def with_time_blocks(df: DataFrame, keys: Sequence[str], ts: str, target_rows: int = 1_000_000,
                      out_col: str = "blk", max_heavy_keys: int = 1_000_000) -> DataFrame:
     """Add a per-key block id for :func:`running`, sized by each key's own
