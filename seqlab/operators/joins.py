@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqlab.functions.scan import running, time_block
+from seqlab.functions.scan import running, time_block, with_time_blocks
 
 # Largest right side shipped whole to every task by the broadcast plan: a row
 # count and an estimated size (rows x schema width) must both fit.
@@ -40,7 +40,8 @@ def _micros_between(a, b):
 def nearest_join(left: DataFrame, right: DataFrame, *, left_keys: Sequence[str], right_keys: Sequence[str],
                  left_ts: str, right_ts: str, right_cols: Sequence[str], max_gap_seconds: float | None = None,
                  strategy: str = "auto", broadcast_rows: int = BROADCAST_ROWS,
-                 broadcast_bytes: int = BROADCAST_BYTES, block_unit: str | None = "minute") -> DataFrame:
+                 broadcast_bytes: int = BROADCAST_BYTES, block_unit: str | None = "auto",
+                 block_rows: int = 1_000_000) -> DataFrame:
     """Every ``left`` row once, with ``right_cols`` of the right row of the
     same key nearest in time (NULLs when the key has none, or when the gap is
     above ``max_gap_seconds``). Ties: smaller gap, then earlier right time,
@@ -54,7 +55,10 @@ def nearest_join(left: DataFrame, right: DataFrame, *, left_keys: Sequence[str],
       left side. Only for a right side whose row count has been checked.
     * ``'scan'``: left and right rows are unioned, ordered by time inside the
       key and scanned for the last right row before and the first right row
-      after each left row (blocked by ``block_unit`` of time, so a hot key is
+      after each left row (blocked in time: ``block_unit='auto'`` sizes the
+      blocks per key, about ``block_rows`` rows in a heavy key's busiest hour
+      and one block for lighter keys; a unit such as ``'minute'`` fixes
+      them; ``None`` scans every key as one block), so a hot key is
       spread over many tasks). No pairs are ever built.
     * ``'auto'``: counts the right side (key, time and payload columns only)
       and takes ``'broadcast'`` when it has at most ``broadcast_rows`` rows
@@ -100,8 +104,11 @@ def nearest_join(left: DataFrame, right: DataFrame, *, left_keys: Sequence[str],
                           F.lit(0).cast("long").alias("__salt")))
         lefts = lefts.withColumn("__r", F.lit(None).cast(rights.schema["__r"].dataType))
         rights = rights.withColumn("__left", F.lit(None).cast(lefts.schema["__left"].dataType))
-        blk = time_block("__t", block_unit) if block_unit else F.lit(0)
-        both = lefts.unionByName(rights).withColumn("__blk", blk)
+        both = lefts.unionByName(rights)
+        if block_unit == "auto":
+            both = with_time_blocks(both, [*lk, "__salt"], "__t", block_rows, "__blk")
+        else:
+            both = both.withColumn("__blk", time_block("__t", block_unit) if block_unit else F.lit(0))
         scanned = running(both, [*lk, "__salt"], ["__t", "__side"], block="__blk",
                           lasts={"__prev": F.col("__r")}, firsts={"__next": F.col("__r")})
         scanned = scanned.where(F.col("__side") == 0)

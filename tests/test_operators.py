@@ -160,12 +160,14 @@ def test_nearest_join_equals_brute_force(spark):
             out[i] = (best[1], best[2]) if best else (None, None)
         return out
 
+    plans = [dict(strategy="broadcast"), dict(strategy="scan"), dict(strategy="scan", block_unit="minute"),
+             dict(strategy="scan", block_unit="auto", block_rows=3), dict(strategy="scan", block_unit=None)]
     for gap in (None, 1800):
         want = brute(gap)
-        for strategy in ("broadcast", "scan"):
+        for plan in plans:
             got = nearest_join(ldf, rdf, left_keys=["k"], right_keys=["rk"], left_ts="t", right_ts="rt",
-                               right_cols=["rt", "v"], strategy=strategy, max_gap_seconds=gap)
-            assert {r.id: (r.rt, r.v) for r in got.collect()} == want, (strategy, gap)
+                               right_cols=["rt", "v"], max_gap_seconds=gap, **plan)
+            assert {r.id: (r.rt, r.v) for r in got.collect()} == want, (plan, gap)
 
 
 def test_sort_sessions_rank_equals_row_number(spark):

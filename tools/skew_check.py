@@ -86,7 +86,7 @@ def run(data_dir: str, op: str, blocked: bool, block_rows: int) -> tuple[int, fl
                                                                 F.col("event_id").alias("view_id"))
         out = nearest_join(purchases, views, left_keys=["user_id"], right_keys=["vu"], left_ts="ts",
                            right_ts="vts", right_cols=["view_id"], strategy="scan",
-                           block_unit="hour" if blocked else None)
+                           block_unit="auto" if blocked else None, block_rows=block_rows)
     n = out.count()
     spark.stop()
     stages = task_records(log_dir)
