@@ -145,7 +145,7 @@ def time_block(ts: str | Column, unit: str = "hour") -> Column:
 
 
 def with_time_blocks(df: DataFrame, keys: Sequence[str], ts: str, target_rows: int = 1_000_000,
-                     out_col: str = "blk", max_heavy_keys: int = 1_000_000) -> DataFrame:
+                     out_col: str = "blk", max_heavy_keys: int = 100_000) -> DataFrame:
     """Add a per-key block id for :func:`running`, sized by each key's own
     density.
 
@@ -153,8 +153,8 @@ def with_time_blocks(df: DataFrame, keys: Sequence[str], ts: str, target_rows: i
     time blocks whose span gives about ``target_rows`` rows in its busiest
     hour. Only heavy keys have a span; there are at most ``total rows /
     target_rows`` of them (checked against ``max_heavy_keys``), so their
-    table is broadcast and the rows are never shuffled for it. NULL keys are
-    matched like any other key.
+    small table is read once and broadcast, and the rows are never shuffled
+    for it. NULL keys are matched like any other key.
     """
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     per_hour = df.groupBy(*keys, F.floor(us / F.lit(3_600_000_000)).alias("__h")).agg(
@@ -164,8 +164,10 @@ def with_time_blocks(df: DataFrame, keys: Sequence[str], ts: str, target_rows: i
              .select(*[F.col(k).alias(f"__hk{i}") for i, k in enumerate(keys)],
                      F.greatest(F.lit(1), F.floor(F.lit(3_600_000_000 * target_rows) / F.col("__peak")))
                      .cast("long").alias("__span")))
-    if heavy.limit(max_heavy_keys + 1).count() > max_heavy_keys:
+    rows = heavy.limit(max_heavy_keys + 1).collect()
+    if len(rows) > max_heavy_keys:
         raise ValueError(f"more than {max_heavy_keys} keys above {target_rows} rows: raise target_rows")
+    heavy = df.sparkSession.createDataFrame(rows, heavy.schema)
     cond = None
     for i, k in enumerate(keys):
         e = df[k].eqNullSafe(heavy[f"__hk{i}"])
