@@ -1 +1 @@
-
+"""Structured Streaming jobs: word counts and online learners."""
