@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from seqlab.llm import mixing
+from seqlab.llm import chat, decontaminate, fingerprint, langid, mixing
 
 QUERIES = {
+    "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_fingerprint": fingerprint.op6_fingerprint,
+    "op7_language_id": langid.op7_language_id,
+    "op9_chat_windows": chat.op9_chat_windows,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
 
 ORACLES = {
+    "op9_chat_windows": chat.OP9_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
 }
