@@ -36,7 +36,8 @@ SAMPLE_CHARS = 1024
 DICT_BYTES = 64 << 10
 MAX_LANGS = 256
 PIECE = 4096            # bytes encoded at a time, each piece against the fresh dictionary
-STRONG_BELOW = 512      # pieces shorter than this are encoded by the slower, closer search
+STRONG_BELOW = 512      # pieces shorter than this are encoded by the slower, closer search,
+LEAD = 256              # after so many bytes of the dictionary's end: the encoder stores a few bytes alone as they are
 REJECT_MARGIN = 0.002
 UND = "und"
 HELD_MOD, HELD_FOLD = 4, 2
@@ -60,6 +61,7 @@ class Coder:
 
     def __init__(self, dictionaries: list[tuple[str, bytes]]):
         self.langs = [lang for lang, _ in dictionaries]
+        self.leads = [content[-LEAD:] for _, content in dictionaries]
         self.coders = []
         for strong in (False, True):
             params, own = _params(strong), []
@@ -74,8 +76,9 @@ class Coder:
         total = [0] * len(self.langs)
         for i in range(0, len(raw), PIECE):
             piece = raw[i:i + PIECE]
-            for k, c in enumerate(self.coders[len(piece) < STRONG_BELOW]):
-                total[k] += len(c.compress(piece))
+            short = len(piece) < STRONG_BELOW
+            for k, c in enumerate(self.coders[short]):
+                total[k] += len(c.compress(self.leads[k] + piece if short else piece))
         return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
