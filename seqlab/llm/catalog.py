@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from seqlab.llm import chat, decontaminate, fingerprint, langid, mixing
+from seqlab.llm import chat, decontaminate, fingerprint, langid, mixing, neardup
 
 QUERIES = {
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_fingerprint": fingerprint.op6_fingerprint,
     "op7_language_id": langid.op7_language_id,
+    "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_chat_windows": chat.op9_chat_windows,
     "op10_mix_sources": mixing.op10_mix_sources,
 }
