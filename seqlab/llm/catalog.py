@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from seqlab.llm import chat, decontaminate, fingerprint, langid, mixing, neardup
+from seqlab.llm import chat, decontaminate, fingerprint, langid, lmscore, mixing, neardup
 
 QUERIES = {
+    "op1_lm_score": lmscore.op1_lm_score,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_fingerprint": fingerprint.op6_fingerprint,
     "op7_language_id": langid.op7_language_id,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_lm_score": lmscore.OP1_SQL,
     "op9_chat_windows": chat.OP9_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
 }
