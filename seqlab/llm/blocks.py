@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 from seqlab.llm.common import checkpointed, shuffle_partitions, slices, text_bytes
 
 BLOCK_BYTES = 4 << 20
-BLOCK = "block long, ids array<long>, lens array<int>, raw long, payload binary"
+BLOCK = "block long, ids array<long>, lens array<int>, raw long, payload binary, extra binary"
 
 
-def blocked(docs: DataFrame) -> DataFrame:
-    """Rows (block, ids, lens, raw, payload): consecutive documents of a partition,
-    their ids, byte lengths and zstandard-packed texts (null: empty)."""
+def blocked(docs: DataFrame, extra: bool = False) -> DataFrame:
+    """Rows (block, ids, lens, raw, payload, extra): consecutive documents of a
+    partition, their ids, byte lengths and zstandard-packed texts (null: empty);
+    ``extra``, if asked for, has all columns but the text as an Arrow stream."""
+    docs = docs if extra else docs.select("doc_id", "text")
 
     def cut(batches):
         seq = TaskContext.get().partitionId() << 32
@@ -35,11 +37,23 @@ def blocked(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([seq]), pa.array([part.column("doc_id").cast(pa.int64()).to_pylist()], pa.list_(pa.int64())),
                      pa.array([np.diff(offs).astype(np.int32)], pa.list_(pa.int32())), pa.array([len(raw)]),
-                     pa.array([zs.ZstdCompressor(level=3).compress(raw.tobytes())], pa.binary())],
-                    ["block", "ids", "lens", "raw", "payload"])
+                     pa.array([zs.ZstdCompressor(level=3).compress(raw.tobytes())], pa.binary()),
+                     pa.array([_stream(part.drop_columns(["text"])) if extra else None], pa.binary())],
+                    ["block", "ids", "lens", "raw", "payload", "extra"])
                 seq += 1
 
-    return checkpointed(docs.select("doc_id", "text").mapInArrow(cut, BLOCK))
+    return checkpointed(docs.mapInArrow(cut, BLOCK))
+
+
+def _stream(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as w:
+        w.write_batch(batch)
+    return zs.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
+
+
+def extra_of(row: dict) -> pa.RecordBatch:
+    return pa.ipc.open_stream(zs.ZstdDecompressor().decompress(row["extra"])).read_next_batch()
 
 
 def opened(row: dict) -> tuple[list, np.ndarray, np.ndarray]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from seqlab.llm import chat, decontaminate, fingerprint, langid, lmscore, mixing, neardup
+from seqlab.llm import chat, decontaminate, fingerprint, langid, lmscore, mixing, neardup, passages
 
 QUERIES = {
     "op1_lm_score": lmscore.op1_lm_score,
+    "op3_repeated_passages": passages.op3_repeated_passages,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_fingerprint": fingerprint.op6_fingerprint,
     "op7_language_id": langid.op7_language_id,
