@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from seqlab.llm import chat, decontaminate, fingerprint, langid, lmscore, mixing, neardup, passages
+from seqlab.llm import (
+    chat, decontaminate, fingerprint, fixity, langid, lmscore, mixing, neardup, passages, tokencount,
+)
 
 QUERIES = {
     "op1_lm_score": lmscore.op1_lm_score,
+    "op2_fixity_audit": fixity.op2_fixity_audit,
+    "op4_token_counts": tokencount.op4_token_counts,
     "op3_repeated_passages": passages.op3_repeated_passages,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_fingerprint": fingerprint.op6_fingerprint,
@@ -17,6 +21,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_lm_score": lmscore.OP1_SQL,
+    "op2_fixity_audit": fixity.OP2_SQL,
     "op9_chat_windows": chat.OP9_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
 }
