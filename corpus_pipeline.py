@@ -8,10 +8,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seqlab.llm.decontaminate import stage_decontaminate
+from seqlab.llm.langid import stage_language
 from seqlab.llm.mixing import stage_mix
+from seqlab.llm.neardup import stage_near_duplicates
+from seqlab.llm.passages import stage_passages
 from seqlab.session import scratch_path
 
 STAGES = [
+    ("language_id", stage_language),
+    ("near_duplicates", stage_near_duplicates),
+    ("repeated_passages", stage_passages),
+    ("decontaminate", stage_decontaminate),
     ("mix_sources", stage_mix),
 ]
 
