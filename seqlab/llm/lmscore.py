@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlab.llm.blocks import blocked, cuts, n_buckets, opened, pack, pack_sorted, rows_of, unpack, unpack_sorted
-from seqlab.llm.common import chain, checkpointed, table, words
+from seqlab.llm.common import chain, checkpointed, in_fold, table, words
 
 ORDER = 2
 MU = 3000.0
@@ -209,7 +209,7 @@ class Automaton:
         first = at[:-1][text] + k * piece
         end = np.minimum(first + piece, at[1:][text])
         lead = np.minimum(early, first - at[:-1][text])                 # words read again to reach the state
-        state = np.where(first - lead == at[:-1][text], 1, 0)           # a text's start is known
+        state = np.where(first - lead == at[:-1][text], int(self.order > 1), 0)     # a text's start is known
         pos, total = first - lead, np.zeros(len(text))
         order = np.argsort(-(end - pos), kind="stable")
         pos, end, lead, state = pos[order], end[order], lead[order], state[order]
@@ -231,10 +231,7 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, mod: int = HELD_M
     replies = checkpointed(asked.groupBy("bucket").applyInPandas(lambda g: _answer(g), _REPLY))
     corpus = {k: v or 0 for k, v in replies.agg(*[F.sum(c).alias(c) for c in ("types", "tokens", "once", "twice")]).first().asDict().items()}
 
-    def trained(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: int((~held_out(x, mod, fold)).sum()))
-
-    corpus["docs"] = blocks.select(F.pandas_udf(trained, "long")("ids").alias("n")).agg(F.sum("n")).first()[0] or 0
+    corpus["docs"] = blocks.select(F.explode("ids").alias("id")).filter(~in_fold(F.col("id"), mod, fold)).count()
     joined = blocks.join(replies.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "reply"))).alias("replies")),
                          "block")
 
