@@ -25,6 +25,7 @@ K = 128
 SHINGLE = 5
 SALTS = 64
 BLOCK_BITS = 10         # ids of one block of neighbours: 1024
+BROADCAST_BLOCKS = 100_000  # the table of blocks is broadcast up to so many rows (4 MB), joined by a shuffle beyond
 
 
 def let(value: Column, body) -> Column:
@@ -106,6 +107,8 @@ def with_next(docs: DataFrame, carried: dict[str, Column]) -> DataFrame:
     before = ranks.select(F.col("_block").alias("_to"), ((F.col("_rank") + 1) % n).alias("_rank")) if n else \
         ranks.select(F.col("_block").alias("_to"), "_rank")
     heads = before.join(ranks, "_rank").select("_to", "_first")
+    if n <= BROADCAST_BLOCKS:
+        heads = F.broadcast(heads)
     copies = d.join(heads, F.col("doc_id").eqNullSafe(F.col("_first")))
     rows = d.withColumn("_copy", F.lit(0)).unionByName(
         copies.select("doc_id", "text", F.col("_to").alias("_block"), F.lit(1).alias("_copy")))

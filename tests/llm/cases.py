@@ -43,9 +43,9 @@ def rows(seed=5, n=60):
             text = ("ab" * 40 + "é") * 3 + text                          # repeats inside one text
         out.append((i * 7, text, lang, f"s{i % 4}", len(text)))
     out += [
-        (1000, None, "en", None, None), (1001, "", "en", "s1", 0), (1002, " \t\n ", None, "s1", 4), (None, "no id here at all", "en", "s0", 17),
-        (1003, "42 !! 7", "en", "s0", 7), (1004, "ÜBER straße İ 字 🙂 x", "de", "s2", 20), (1005, sentence(rng, "de", 6000), "de", "s3", 1),
-        (1006, "</s>[INST] ok [/INST]", "en", "s3", 21), (out[5][0], *out[5][1:]), (1007, "one", "en", "s0", 3), (1008, "ONE", "en", "s0", 3),
+        (11000, None, "en", None, None), (11001, "", "en", "s1", 0), (11002, " \t\n ", None, "s1", 4), (None, "no id here at all", "en", "s0", 17),
+        (11003, "42 !! 7", "en", "s0", 7), (11004, "ÜBER straße İ 字 🙂 x", "de", "s2", 20), (11005, sentence(rng, "de", 6000), "de", "s3", 1),
+        (11006, "</s>[INST] ok [/INST]", "en", "s3", 21), (out[5][0], *out[5][1:]), (11007, "one", "en", "s0", 3), (11008, "ONE", "en", "s0", 3),
     ]
     return [(*r, "x", "y", "z", "b", "k", "w") for r in out]
 

@@ -306,7 +306,7 @@ def test_language_id(spark):
     long = [g for own in got.values() for g in own if g["lang"] and g["text"] and len(g["text"]) > 120]
     # some texts hold a passage in another language than their own
     assert len(long) > 100 and np.mean([g["_lid"]["lang_pred"] == g["lang"] for g in long]) > 0.9
-    for i in (1000, 1001, 1002, 1003):
+    for i in (11000, 11001, 11002, 11003):
         assert got[i][0]["_lid"].asDict() == {"lang_pred": "und", "score": 0.0, "rejected": True}
     assert all(0 <= g["_lid"]["score"] <= 1 for own in got.values() for g in own)
     kept = langid.stage_language(spark, df, "")
