@@ -24,6 +24,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqlab.session import materialize
+
 
 def _cols(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in names]
@@ -44,8 +46,9 @@ def running(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str],
 
     ``block`` names a column of ``df`` that is monotone in ``order_by`` inside
     each partition: every row of a smaller block precedes every row of a
-    larger one. Without ``block`` the scan is one window per key (fine when
-    keys are known to be small).
+    larger one. A key whose rows all have a NULL block is not split: it is one
+    window, without a summary. Without ``block`` the scan is one window per
+    key (fine when keys are known to be small).
     """
     sums, lasts, firsts, prevs = dict(sums or {}), dict(lasts or {}), dict(firsts or {}), dict(prevs or {})
     starts = dict(starts or {})
@@ -92,9 +95,11 @@ def running(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str],
                            *[F.col(f"__lr_{n}").alias(n) for n in starts])
         return out.drop(*[c for c in out.columns if c not in df.columns and c not in outputs])
 
-    # One summary row per block, then a scan over the (small) block table.
+    # One summary row per block of the split keys (the filter reaches below the
+    # windows), then a scan over the (small) block table. Unsplit keys have no
+    # offsets; the left join keeps their rows as they are.
     pos = F.struct(*_cols(order))
-    summary = local.groupBy(*keys).agg(
+    summary = local.where(F.col(block).isNotNull()).groupBy(*keys).agg(
         *[F.sum(f"__s_{n}").alias(f"__bs_{n}") for n in sums],
         *[F.max_by(f"__l_{n}", F.when(F.col(f"__l_{n}").isNotNull(), pos)).alias(f"__bl_{n}") for n in lasts],
         *[F.min_by(f"__f_{n}", F.when(F.col(f"__f_{n}").isNotNull(), pos)).alias(f"__bf_{n}") for n in firsts],
@@ -122,14 +127,14 @@ def running(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str],
         *[(F.coalesce(F.sum(F.col(f"__bt_{n}") - F.col(f"__bc_{n}")).over(before), F.lit(0))
            - F.col(f"__bc_{n}")).alias(f"__or_{n}") for n in starts],
     )
-    joined = local.join(offsets, on=keys, how="inner")
+    joined = local.join(offsets, on=keys, how="left")
     out = joined.select(
         "*",
-        *[(F.col(f"__ls_{n}") + F.col(f"__os_{n}")).alias(n) for n in sums],
+        *[(F.col(f"__ls_{n}") + F.coalesce(f"__os_{n}", F.lit(0))).alias(n) for n in sums],
         *[F.coalesce(f"__ll_{n}", f"__ol_{n}").alias(n) for n in lasts],
         *[F.coalesce(f"__lf_{n}", f"__of_{n}").alias(n) for n in firsts],
         *[F.when(F.col("__rn") == 1, F.col(f"__op_{n}")).otherwise(F.col(f"__lp_{n}")).alias(n) for n in prevs],
-        *[(F.col(f"__lr_{n}") + F.col(f"__or_{n}")).alias(n) for n in starts],
+        *[(F.col(f"__lr_{n}") + F.coalesce(f"__or_{n}", F.lit(0))).alias(n) for n in starts],
     )
     return out.drop(*[c for c in out.columns if c not in df.columns and c not in outputs])
 
@@ -141,37 +146,66 @@ def time_block(ts: str | Column, unit: str = "hour") -> Column:
     task comfortably.
     """
     c = F.col(ts) if isinstance(ts, str) else ts
-    return F.date_trunc(unit, c)
+    # NULL times sort first, so they are the first block
+    return F.coalesce(F.unix_micros(F.date_trunc(unit, c).cast("timestamp")), F.lit(-(1 << 63)))
+
+
+# Rows of a heavy key sampled per block, for its cut points.
+SAMPLES = 64
+
 
+def with_order_blocks(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], target_rows: int = 1_000_000,
+                      out_col: str = "blk") -> DataFrame:
+    """Add a block id for :func:`running` that cuts heavy keys at equal depth.
 
-def with_time_blocks(df: DataFrame, keys: Sequence[str], ts: str, target_rows: int = 1_000_000,
-                     out_col: str = "blk", max_heavy_keys: int = 100_000) -> DataFrame:
-    """Add a per-key block id for :func:`running`, sized by each key's own
-    density.
+    A key with at most ``target_rows`` rows gets NULL (it is not split). A
+    heavier key is cut at rows of a deterministic sample (hash of the order
+    columns), so each block has about ``target_rows`` rows wherever they lie:
+    bursts of one time are cut by the other order columns, and NULLs, which
+    sort first, fall into the first blocks. Only rows equal in all order
+    columns cannot be cut apart.
 
-    Keys with at most ``target_rows`` rows are one block. A heavier key gets
-    time blocks whose span gives about ``target_rows`` rows in its busiest
-    hour. Only heavy keys have a span; there are at most ``total rows /
-    target_rows`` of them (checked against ``max_heavy_keys``), so their
-    small table is read once and broadcast, and the rows are never shuffled
-    for it. NULL keys are matched like any other key.
+    One aggregation finds counts and samples; the plan stays lazy. The table of
+    heavy keys with their cut points has at most one entry per ``target_rows``
+    rows (a million entries, about 40 MB, for 10^12 rows); it is broadcast, so
+    rows are not shuffled for it. A row's block is found among a key's cuts
+    in two steps of about the square root of their number.
     """
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    per_hour = df.groupBy(*keys, F.floor(us / F.lit(3_600_000_000)).alias("__h")).agg(
-        F.count(F.lit(1)).alias("__n"))
-    heavy = (per_hour.groupBy(*keys).agg(F.sum("__n").alias("__total"), F.max("__n").alias("__peak"))
-             .where(F.col("__total") > target_rows)
-             .select(*[F.col(k).alias(f"__hk{i}") for i, k in enumerate(keys)],
-                     F.greatest(F.lit(1), F.floor(F.lit(3_600_000_000 * target_rows) / F.col("__peak")))
-                     .cast("long").alias("__span")))
-    rows = heavy.limit(max_heavy_keys + 1).collect()
-    if len(rows) > max_heavy_keys:
-        raise ValueError(f"more than {max_heavy_keys} keys above {target_rows} rows: raise target_rows")
-    heavy = df.sparkSession.createDataFrame(rows, heavy.schema)
+    every = max(1, target_rows // SAMPLES)
+    step = -(-target_rows // every)
+    pos = F.struct(*[F.col(c) for c in order_by])
+    sampled = F.pmod(F.xxhash64(*[F.col(c) for c in order_by]), F.lit(every)) == 0
+    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"),
+                                    F.sort_array(F.collect_list(F.when(sampled, pos))).alias("__s"))
+    cuts = F.filter("__s", lambda _, i: (i > 0) & (i % step == 0))
+    heavy = per_key.where(F.col("__n") > target_rows).select(
+        *[F.col(k).alias(f"__hk{i}") for i, k in enumerate(keys)], cuts.alias("__cuts"))
+    heavy = heavy.withColumn("__g", F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("__cuts")))).cast("int"))
+    heavy = heavy.withColumn("__heads", F.filter("__cuts", lambda _, i: i % F.col("__g") == 0))
     cond = None
     for i, k in enumerate(keys):
         e = df[k].eqNullSafe(heavy[f"__hk{i}"])
         cond = e if cond is None else cond & e
-    joined = df.join(F.broadcast(heavy), on=cond, how="left")
-    blk = F.when(F.col("__span").isNull(), F.lit(0).cast("long")).otherwise(F.floor(us / F.col("__span")))
-    return joined.withColumn(out_col, blk.cast("long")).drop("__span", *[f"__hk{i}" for i in range(len(keys))])
+    joined = df.join(F.broadcast(heavy), on=cond, how="left").withColumn("__pos", pos)
+    joined = joined.withColumn("__h", F.size(F.filter("__heads", lambda c: c <= F.col("__pos"))))
+    fine = F.slice("__cuts", F.greatest(F.lit(0), F.col("__h") - 1) * F.col("__g") + 1, F.col("__g"))
+    blk = F.when(F.col("__h") == 0, F.lit(0)).otherwise(
+        (F.col("__h") - 1) * F.col("__g") + F.size(F.filter(fine, lambda c: c <= F.col("__pos"))))
+    out = joined.withColumn(out_col, F.when(F.col("__cuts").isNotNull(), blk).cast("long"))
+    return out.drop("__cuts", "__g", "__heads", "__pos", "__h", *[f"__hk{i}" for i in range(len(keys))])
+
+
+def global_rank(df: DataFrame, *order: str | Column, name: str = "rank") -> DataFrame:
+    """Add the 0-based position in the global order. Rows are dealt out by
+    ranges of the order; every task numbers its own range, and one row per
+    range carries the offsets. The dealt rows are checkpointed, since ranges
+    come from a sample that a second run of the plan would draw anew."""
+    own = materialize(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                      .withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    sizes = own.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    return (own.withColumn("__part", part).join(offsets, "__part")
+            .withColumn(name, F.col("__before") + F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
+            .drop("__part", "__before", "__at"))

@@ -72,11 +72,11 @@ def sliding_features(df: DataFrame, key: str, order_cols: Sequence[str | Column]
 
 
 def strict_int(c: str | Column) -> Column:
-    """Integer value of a text or number column; NULL unless it is a plain
-    integer (``'25.0'``, ``' 25 '``, ``''`` are not)."""
+    """Integer value of a text or number column; NULL unless it is an integer
+    with an optional sign and white space around it (``'25.0'`` and ``''`` are not)."""
     col = F.col(c) if isinstance(c, str) else c
-    s = col.cast("string")
-    return F.when(s.rlike(r"^-?[0-9]+$"), s.try_cast("int"))
+    s = F.regexp_replace(col.cast("string"), r"^\s+|\s+$", "")
+    return F.when(s.rlike(r"^[+-]?[0-9]+$"), s.try_cast("int"))
 
 
 def filter_range(df: DataFrame, cols: Sequence[str], lo: int, hi: int,

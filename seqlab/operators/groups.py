@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqlab.functions.scan import global_rank
+
 
 def filter_min_group(df: DataFrame, key: str | Sequence[str], k: int = 3,
                      size_col: str | None = "n_sessions") -> DataFrame:
@@ -37,33 +39,14 @@ def sort_key(*cols: str | Column, sep: str = " ") -> Column:
                               for c in cols])
 
 
-def sort_sessions(df: DataFrame, key: Column, rank_col: str | None = None,
-                  levels: Sequence[Column] | None = None) -> DataFrame:
+def sort_sessions(df: DataFrame, key: Column, rank_col: str | None = None) -> DataFrame:
     """Globally sorted output (range-partitioned sort, done at the sink).
 
-    ``rank_col`` adds the 1-based position in that order without any task
-    seeing all rows. ``levels`` are string prefixes of the key, finest first,
-    each a prefix of the one before (so every level's groups are contiguous
-    in the order). Rows are ranked inside their finest group; each level's
-    group counts are turned into offsets inside the parent group; only the
-    coarsest level (a bounded number of short prefixes) is summed in one
-    ordered window.
+    ``rank_col`` adds the 1-based position in that order: rows are dealt out
+    by ranges of the key and numbered in their range, so no task sees all rows
+    and a hot user or day is split by the range bounds.
     """
     if rank_col is None:
         return df.orderBy(key)
-    levels = list(levels) if levels else [F.substring(key, 1, 8), F.substring(key, 1, 4), F.substring(key, 1, 2)]
-    names = [f"__lv{i}" for i in range(len(levels))]
-    keyed = df.select("*", key.alias("__key"), *[c.alias(n) for c, n in zip(levels, names)])
-    local = keyed.withColumn("__r", F.row_number().over(Window.partitionBy(names[0]).orderBy("__key")))
-    counts = keyed.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.select(*names, F.lit(0).cast("long").alias("__off"))
-    for i, name in enumerate(names):
-        parents = names[i + 1:i + 2]
-        level = counts.groupBy(*names[i:]).agg(F.sum("__n").alias("__ln"))
-        w = (Window.partitionBy(*parents) if parents else Window.partitionBy(F.lit(0))).orderBy(name)
-        before = level.select(*names[i:], F.coalesce(F.sum("__ln").over(
-            w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__b"))
-        offsets = (offsets.join(before, names[i:])
-                   .select(*names, (F.col("__off") + F.col("__b")).alias("__off")))
-    ranked = local.join(offsets, names).withColumn(rank_col, (F.col("__r") + F.col("__off")).cast("long"))
-    return ranked.drop("__key", "__r", "__off", *names)
+    ranked = global_rank(df.withColumn("__key", key), "__key", name=rank_col)
+    return ranked.withColumn(rank_col, (F.col(rank_col) + 1).cast("long")).drop("__key")

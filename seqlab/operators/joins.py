@@ -8,30 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from seqlab.functions.scan import running, time_block, with_time_blocks
-
-# Largest right side shipped whole to every task by the broadcast plan: a row
-# count and an estimated size (rows x schema width) must both fit.
-BROADCAST_ROWS = 2_000_000
-BROADCAST_BYTES = 256 * 1024 * 1024
-
-
-def _width(t: T.DataType) -> int:
-    """Estimated bytes of a value (Spark's planning defaults: 20 per string)."""
-    if isinstance(t, T.StructType):
-        return sum(_width(f.dataType) for f in t.fields)
-    if isinstance(t, (T.ArrayType, T.MapType)):
-        return 100
-    if isinstance(t, (T.StringType, T.BinaryType)):
-        return 20
-    if isinstance(t, (T.BooleanType, T.ByteType)):
-        return 1
-    if isinstance(t, (T.ShortType,)):
-        return 2
-    if isinstance(t, (T.IntegerType, T.FloatType, T.DateType)):
-        return 4
-    return 8
-
+from seqlab.functions.scan import running, time_block, with_order_blocks
 
 def _micros_between(a, b):
     return F.timestamp_diff("MICROSECOND", a, b)
@@ -39,9 +16,7 @@ def _micros_between(a, b):
 
 def nearest_join(left: DataFrame, right: DataFrame, *, left_keys: Sequence[str], right_keys: Sequence[str],
                  left_ts: str, right_ts: str, right_cols: Sequence[str], max_gap_seconds: float | None = None,
-                 strategy: str = "auto", broadcast_rows: int = BROADCAST_ROWS,
-                 broadcast_bytes: int = BROADCAST_BYTES, block_unit: str | None = "auto",
-                 block_rows: int = 1_000_000) -> DataFrame:
+                 strategy: str = "scan", block_unit: str | None = "auto", block_rows: int = 1_000_000) -> DataFrame:
     """Every ``left`` row once, with ``right_cols`` of the right row of the
     same key nearest in time (NULLs when the key has none, or when the gap is
     above ``max_gap_seconds``). Ties: smaller gap, then earlier right time,
@@ -50,39 +25,46 @@ def nearest_join(left: DataFrame, right: DataFrame, *, left_keys: Sequence[str],
 
     Plans:
 
-    * ``'broadcast'``: right rows grouped per key into arrays and broadcast;
-      every left row picks its nearest with array functions. No shuffle of the
-      left side. Only for a right side whose row count has been checked.
-    * ``'scan'``: left and right rows are unioned, ordered by time inside the
-      key and scanned for the last right row before and the first right row
-      after each left row (blocked in time: ``block_unit='auto'`` sizes the
-      blocks per key, about ``block_rows`` rows in a heavy key's busiest hour
-      and one block for lighter keys; a unit such as ``'minute'`` fixes
-      them; ``None`` scans every key as one block), so a hot key is
-      spread over many tasks). No pairs are ever built.
-    * ``'auto'``: counts the right side (key, time and payload columns only)
-      and takes ``'broadcast'`` when it has at most ``broadcast_rows`` rows
-      and about ``broadcast_bytes`` bytes, else ``'scan'``.
+    * ``'scan'`` (default): left and right rows are unioned, ordered by time
+      inside the key and scanned for the last right row before and the first
+      right row after each left row. Keys above ``block_rows`` rows are cut into
+      blocks of about that many rows (``block_unit='auto'``; a unit such as
+      ``'minute'`` cuts by time; ``None`` scans every key as one block), so a
+      hot key is spread over many tasks. No pairs are ever built.
+    * ``'broadcast'``: only for a right side the caller knows to be small.
+      Right rows are sorted into one array per key and broadcast; every left
+      row finds its nearest by binary search. No shuffle of the left side.
     """
     if strategy == "auto":
-        needed = right.select(*dict.fromkeys([*right_keys, right_ts, *right_cols]))
-        width = sum(_width(f.dataType) for f in needed.schema.fields)
-        n = needed.limit(broadcast_rows + 1).count()
-        strategy = "broadcast" if n <= broadcast_rows and n * width <= broadcast_bytes else "scan"
+        strategy = "scan"
     lk = [f"__k{i}" for i in range(len(left_keys))]
-    right = right.where(F.col(right_ts).isNotNull())
+    # a right row without key or time matches nothing
+    right = right.dropna(subset=[right_ts, *right_keys])
     payload = F.struct(*[F.col(c) for c in right_cols])
 
     if strategy == "broadcast":
         cands = (right.select(*[F.col(c).alias(k) for c, k in zip(right_keys, lk)],
                               F.struct(F.col(right_ts).alias("t"), payload.alias("p")).alias("__c"))
-                 .groupBy(*lk).agg(F.collect_list("__c").alias("__cands")))
+                 .groupBy(*lk, F.col("__c.t").alias("__t")).agg(F.min("__c").alias("__c"))
+                 .groupBy(*lk).agg(F.sort_array(F.collect_list("__c")).alias("__cands")))
         joined = left.join(F.broadcast(cands), on=[left[c] == cands[k] for c, k in zip(left_keys, lk)], how="left")
-        lt = F.col(left_ts)
-        best = F.array_min(F.transform(
-            "__cands", lambda x: F.struct(F.abs(_micros_between(x["t"], lt)).alias("d"),
-                                          x["t"].alias("t"), x["p"].alias("p"))))
-        out = joined.select(*[left[c] for c in left.columns], F.when(lt.isNotNull(), best).alias("__best"))
+        lt, n = F.col(left_ts), F.size("__cands")
+
+        def halve(s, _):
+            """First place whose time is after the left time lies in [lo, hi]."""
+            mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+            after = F.get("__cands", mid)["t"] > lt
+            open_ = s["lo"] < s["hi"]
+            return F.struct(F.when(open_ & ~after, mid + 1).otherwise(s["lo"]).alias("lo"),
+                            F.when(open_ & after, mid).otherwise(s["hi"]).alias("hi"))
+
+        rounds = F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int"))
+        at = F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), n.alias("hi")), halve, lambda s: s["lo"])
+        joined = joined.withColumn("__at", F.when(lt.isNotNull() & (n > 0), at))
+        near = F.transform(F.array_compact(F.array(F.get("__cands", F.col("__at") - 1), F.get("__cands", F.col("__at")))),
+                           lambda x: F.struct(F.abs(_micros_between(x["t"], lt)).alias("d"), x["t"].alias("t"), x["p"].alias("p")))
+        best = F.array_min(near)
+        out = joined.select(*[left[c] for c in left.columns], F.when(F.col("__at").isNotNull(), best).alias("__best"))
     elif strategy == "scan":
         lcols = left.columns
         # A row with a NULL key or time cannot match: it gets a salt of its
@@ -104,12 +86,14 @@ def nearest_join(left: DataFrame, right: DataFrame, *, left_keys: Sequence[str],
                           F.lit(0).cast("long").alias("__salt")))
         lefts = lefts.withColumn("__r", F.lit(None).cast(rights.schema["__r"].dataType))
         rights = rights.withColumn("__left", F.lit(None).cast(lefts.schema["__left"].dataType))
-        both = lefts.unionByName(rights)
+        # equal times are told apart by a hash, so that a burst can be cut into blocks too
+        both = lefts.unionByName(rights).withColumn("__tie", F.xxhash64("__left"))
+        order = ["__t", "__side", "__tie"]
         if block_unit == "auto":
-            both = with_time_blocks(both, [*lk, "__salt"], "__t", block_rows, "__blk")
-        else:
-            both = both.withColumn("__blk", time_block("__t", block_unit) if block_unit else F.lit(0))
-        scanned = running(both, [*lk, "__salt"], ["__t", "__side"], block="__blk",
+            both = with_order_blocks(both, [*lk, "__salt"], order, block_rows, "__blk")
+        elif block_unit:
+            both = both.withColumn("__blk", time_block("__t", block_unit))
+        scanned = running(both, [*lk, "__salt"], order, block="__blk" if block_unit else None,
                           lasts={"__prev": F.col("__r")}, firsts={"__next": F.col("__r")})
         scanned = scanned.where(F.col("__side") == 0)
         lt = F.col("__t")

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
+from seqlab.functions.scan import global_rank
+from seqlab.session import materialize
+
 # Fixed values of the reference's label space (must match for equal labels):
 # temperature codes 0-4 (24-28 degrees), fan speed 0-5, direction 0-2, mode 0-4;
 # label = temp * 90 + speed * 15 + direction * 5 + mode.
@@ -47,35 +49,19 @@ def _digits(label, names, radices) -> dict[str, Column]:
             for name, w, r in zip(names, _weights(radices), radices)}
 
 
-def label_index(df: DataFrame, label_col: str = "label", index_col: str = "label_index",
-                max_labels: int = 100_000) -> DataFrame:
-    """Dense 0-based index of the distinct labels, in label order.
-
-    The distinct label set is bounded by the label space (450 for the
-    reference); it is read once with that bound checked and kept as a small
-    local table, so later joins broadcast it without re-running the input.
-    """
-    labels = [r[0] for r in df.select(label_col).where(F.col(label_col).isNotNull()).distinct()
-              .limit(max_labels + 1).collect()]
-    if len(labels) > max_labels:
-        raise ValueError(f"more than {max_labels} distinct labels")
-    field = df.schema[label_col]
-    schema = T.StructType([T.StructField(label_col, field.dataType), T.StructField(index_col, T.IntegerType())])
-    spark = df.sparkSession
-    return spark.createDataFrame([(v, i) for i, v in enumerate(sorted(labels))], schema)
+def label_index(df: DataFrame, label_col: str = "label", index_col: str = "label_index") -> DataFrame:
+    """Dense 0-based index of the distinct labels, in label order. It stays a
+    table (ranked by ranges, checkpointed), whatever the number of labels."""
+    labels = df.select(label_col).where(F.col(label_col).isNotNull()).distinct()
+    return materialize(global_rank(labels, label_col, name=index_col).withColumn(index_col, F.col(index_col).cast("int")))
 
 
 def index_labels(df: DataFrame, label_col: str = "label", index_col: str = "label_index",
-                 index: DataFrame | None = None, max_labels: int = 100_000) -> DataFrame:
-    """Attach the dense label index with a broadcast join; the index is
-    bounded by ``max_labels`` (checked for an index passed in)."""
-    if index is None:
-        idx = label_index(df, label_col, index_col, max_labels)
-    else:
-        if index.limit(max_labels + 1).count() > max_labels:
-            raise ValueError(f"label index larger than {max_labels} rows")
-        idx = index
-    return df.join(F.broadcast(idx), on=label_col, how="inner")
+                 index: DataFrame | None = None) -> DataFrame:
+    """Attach the dense label index; Spark picks the join by the index's size.
+    Rows whose label is NULL (or not in an index passed in) keep a NULL index."""
+    idx = label_index(df, label_col, index_col) if index is None else index
+    return df.join(idx, on=label_col, how="left")
 
 
 def label_dictionary(index: DataFrame, label_col: str = "label", index_col: str = "label_index",

@@ -50,13 +50,19 @@ def class_scores(x_col: str | Column, W: Sequence[Sequence[float]], b: Sequence[
         + F.element_at(bl, c + 1)))))
 
 
+def _once(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def normalise_votes(scores: Column) -> Column:
-    return F.transform(scores, lambda v: v / F.aggregate(scores, F.lit(0.0), lambda a, y: a + y))
+    return _once(scores, lambda s: _once(F.aggregate(s, F.lit(0.0), lambda a, y: a + y),
+                                         lambda total: F.transform(s, lambda v: v / total)))
 
 
 def predict_class(scores: Column) -> Column:
     """0-based index of the first largest score."""
-    return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+    return _once(scores, lambda s: (F.array_position(s, F.array_max(s)) - 1).cast("int"))
 
 
 def gradient(df: DataFrame, x_col: str, y_col: str, W: Sequence[Sequence[float]], b: Sequence[float],
@@ -68,13 +74,12 @@ def gradient(df: DataFrame, x_col: str, y_col: str, W: Sequence[Sequence[float]]
     scores = class_scores(x_col, W, b)
     y = F.col(y_col).cast("int")
     deltas = F.transform(scores, lambda p, c: (F.when(c == y, 1.0).otherwise(0.0) - p) * p * (F.lit(1.0) - p))
-    base = df.select(_x(x_col).alias("__x"), deltas.alias("__d"), y.cast("double").alias("__y"))
-    per_feature = (base.select("__d", F.posexplode("__x").alias("j", "xj"))
-                   .groupBy("j").agg(*[F.sum(F.col("__d")[c] * F.col("xj")).alias(f"g{c}") for c in range(C)]))
-    bias_w = (F.lit(1.0) + F.col("__y")) if bias_mode == "compat" else F.lit(1.0)
-    bias = base.agg(*[F.sum(F.col("__d")[c] * bias_w).alias(f"g{c}") for c in range(C)]) \
-        .select(F.lit(n_features).alias("j"), *[f"g{c}" for c in range(C)])
-    both = per_feature.select(F.col("j").cast("int").alias("j"), *[f"g{c}" for c in range(C)]).unionByName(bias)
+    # the bias is one more feature, so one pass over the batch gives the whole gradient
+    bias_w = (F.lit(1.0) + y.cast("double")) if bias_mode == "compat" else F.lit(1.0)
+    features = F.concat(F.slice(_x(x_col), 1, n_features), F.array(bias_w))
+    base = df.select(features.alias("__x"), deltas.alias("__d"))
+    both = (base.select("__d", F.posexplode("__x").alias("j", "xj"))
+            .groupBy("j").agg(*[F.sum(F.col("__d")[c] * F.col("xj")).alias(f"g{c}") for c in range(C)]))
     stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("cls"), F.col(f"g{c}").alias("g")) for c in range(C)]))
     return both.select("j", stacked.alias("s")).select(F.col("s.cls").alias("class"), "j", F.col("s.g").alias("g"))
 
@@ -145,26 +150,33 @@ def perceptron_keyed(df: DataFrame, key_col: str, order_cols: Sequence[str], x_c
                                T.StructField("correct", T.BooleanType())])
     keep = [key_col, *order_cols]
 
+    def finished(key, W, b):
+        return pd.DataFrame({key_col: [key], "W": [W.tolist()], "b": [b.tolist()]})
+
     def run(batches):
-        state: dict = {}
+        # Rows arrive sorted by key (NULL keys are one key): only the model of
+        # the key being read is held.
+        key, W, b = None, None, None
         for pdf in batches:
             if pdf.empty:
                 continue
             out = []
-            for k, g in pdf.groupby(key_col, sort=False):
-                W, b = state.get(k) or (W0.copy(), b0.copy())
+            for k, g in pdf.groupby(key_col, sort=False, dropna=False):
+                k = None if pd.isna(k) else k
+                if W is None or k != key:
+                    if W is not None and emit == "weights":
+                        yield finished(key, W, b)
+                    key, W, b = k, W0.copy(), b0.copy()
                 X = np.stack([np.asarray(v, dtype=float) for v in g[x_col]])
                 preds, ok = learn_sequence(X, g[y_col].to_numpy(), W, b, lr, bias_mode)
-                state[k] = (W, b)
                 part = g[keep].copy()
                 part["predicted"] = preds
                 part["correct"] = ok
                 out.append(part)
             if emit != "weights":
                 yield pd.concat(out, ignore_index=True)
-        if emit == "weights" and state:
-            yield pd.DataFrame({key_col: list(state), "W": [w.tolist() for w, _ in state.values()],
-                                "b": [b.tolist() for _, b in state.values()]})
+        if emit == "weights" and W is not None:
+            yield finished(key, W, b)
 
     ordered = df.select(*keep, x_col, y_col).repartition(key_col).sortWithinPartitions(key_col, *order_cols)
     return ordered.mapInPandas(run, schema)

@@ -33,15 +33,20 @@ def _pick(names, idx):
 
 
 def appliance_events(events: DataFrame) -> DataFrame:
+    """Settings of every event, with the blocks of the per-user scans."""
+    return appliance_settings(with_event_blocks(events), "blk")
+
+
+def appliance_settings(events: DataFrame, *more: str) -> DataFrame:
     eid = F.col("event_id")
-    return with_event_blocks(events).select(
-        "user_id", "ts", "event_id",
+    return events.select(
+        "user_id", "ts", "event_id", "event_type",
         (F.lit(22) + F.pmod(eid, F.lit(8))).cast("int").alias("temp"),
         _pick(list(SPEED_CODES), F.pmod(eid, F.lit(6))).alias("speed"),
         _pick(list(DIRECTION_CODES), F.pmod(F.floor(eid / 6), F.lit(3))).alias("direction"),
         _pick(list(MODE_CODES), F.pmod(F.floor(eid / 18), F.lit(5))).alias("mode"),
         F.when(F.col("event_type") != "click", F.floor("value").cast("int")).alias("weather"),
-        "blk",
+        *more,
     )
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seqlab.functions.scan import with_time_blocks
+from seqlab.functions.scan import with_order_blocks
 from seqlab.operators.features import sliding_features
 from seqlab.operators.groups import filter_min_group, sort_sessions
 from seqlab.operators.joins import nearest_join
@@ -18,15 +18,14 @@ from seqlab.operators.sessionize import filter_min_events, sessionize
 from seqlab.session import materialize
 from seqlab.sources.tables import read_period, table
 
-# Rows per block of the per-user scans: users with more events get time
-# blocks sized from their own busiest hour (see with_time_blocks); a user with
-# a third of 100 TB is then spread over thousands of bounded tasks, and every
-# other user is one block.
+# Rows per block of the per-user scans: users with more events are cut at equal
+# depth (see with_order_blocks); a user with a third of 100 TB is then spread
+# over thousands of bounded tasks, and every other user is one window.
 EVENT_BLOCK_ROWS = 1_000_000
 
 
 def with_event_blocks(events: DataFrame, target_rows: int = EVENT_BLOCK_ROWS) -> DataFrame:
-    return with_time_blocks(events, ["user_id"], "ts", target_rows, "blk")
+    return with_order_blocks(events, ["user_id"], ["ts", "event_id"], target_rows, "blk")
 
 
 def event_kinds(events: DataFrame, target_rows: int = EVENT_BLOCK_ROWS) -> DataFrame:
@@ -68,9 +67,7 @@ def q_min_group(spark, data_dir):
 def session_features(sessions: DataFrame) -> DataFrame:
     """Four consecutive sessions of a user (natural order of the session
     number): settings of three, settings of the fourth as targets."""
-    # Blocks of 65,536 session numbers: ~sqrt of a billion-session user, so
-    # both a block and that user's block table stay small.
-    blocked = sessions.withColumn("__sblk", F.floor(F.col("seq") / 65536))
+    blocked = with_order_blocks(sessions, ["user_id"], ["seq"], EVENT_BLOCK_ROWS, "__sblk")
     return sliding_features(blocked, "user_id", ["seq"], width=4,
                             feature_cols=["n_on", "event_type", "value"],
                             target_cols={"next_event_type": "event_type", "next_value": "value",
@@ -91,11 +88,9 @@ def q_sliding_features(spark, data_dir):
 
 
 def q_sliding_lexical(spark, data_dir):
-    """Order by the text of the event id (``'10'`` before ``'9'``); blocks
-    are prefixes of that text, contiguous in string order."""
-    ev = (table(spark, data_dir, "events")
-          .withColumn("eid_text", F.col("event_id").cast("string"))
-          .withColumn("blk", F.substring("eid_text", 1, 6)))
+    """Order by the text of the event id (``'10'`` before ``'9'``)."""
+    ev = table(spark, data_dir, "events").withColumn("eid_text", F.col("event_id").cast("string"))
+    ev = with_order_blocks(ev, ["user_id"], ["eid_text"], EVENT_BLOCK_ROWS, "blk")
     return sliding_features(ev, "user_id", ["eid_text"], width=4, feature_cols=["value"],
                             target_cols={"target": "value"}, start_cols={"event_id": "event_id"},
                             block="blk")
@@ -111,7 +106,7 @@ def _purchases_views(spark, data_dir):
     return purchases, views
 
 
-def nearest_view(spark, data_dir, strategy="auto", max_gap_seconds=None):
+def nearest_view(spark, data_dir, strategy="scan", max_gap_seconds=None):
     purchases, views = _purchases_views(spark, data_dir)
     return nearest_join(purchases, views, left_keys=["user_id", "day"], right_keys=["user_id", "view_day"],
                         left_ts="ts", right_ts="view_ts", right_cols=["view_ts", "view_id", "view_value"],
@@ -139,12 +134,7 @@ def q_group_sorted(spark, data_dir):
     their 1-based position in that order."""
     s = event_sessions(spark, data_dir)
     key = F.concat_ws(" ", F.col("user_id").cast("string"), F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
-    # Levels (all prefixes of the key): one user-day, one user, the first
-    # three characters of the user.
-    user = F.col("user_id").cast("string")
-    levels = [F.concat_ws(" ", user, F.date_format("start_ts", "yyyy-MM-dd")), user, F.substring(user, 1, 3)]
-    out = sort_sessions(s.select("user_id", "session_id", "start_ts"), key, rank_col="pos", levels=levels)
-    return out
+    return sort_sessions(s.select("user_id", "session_id", "start_ts"), key, rank_col="pos")
 
 
 def q_period_filter(spark, data_dir):

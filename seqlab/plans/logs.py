@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 
 from seqlab.functions.address import parse_address
 from seqlab.functions.codes import FEATURE_COLS, TEMP_RANGE
+from seqlab.functions.scan import with_order_blocks
 from seqlab.operators.features import encode_categories, filter_range, sliding_features
 from seqlab.operators.groups import filter_min_group
 from seqlab.operators.joins import nearest_join
 from seqlab.operators.labels import combine_labels
 from seqlab.operators.sessionize import filter_min_events, sessionize
-from seqlab.plans.appliance import CODE_SPEC, appliance_events
+from seqlab.plans.appliance import CODE_SPEC, appliance_settings
 from seqlab.session import materialize, scratch_path
 from seqlab.sinks.text import dataset_line
 from seqlab.sources.logs import file_number, parse_log_lines, read_lines_ordered, read_weather
@@ -34,6 +35,8 @@ from seqlab.sources.tables import table
 
 # Addresses given to the generated devices (by user id modulo 5).
 DEMO_ADDRESSES = ("中国黑龙江哈尔滨", "中国内蒙古包头", "中国上海上海", "中国广东广州", "None")
+# Sessions of a user above which its windows are taken in blocks.
+SESSION_BLOCK_ROWS = 1_000_000
 SESSION_COLS = ["user", "session_id", "n_on", "start", "end", "speed", "direction", "mode", "raw6", "temp",
                 "province", "city"]
 
@@ -42,21 +45,23 @@ def _address(user_id):
     return F.element_at(F.array(*[F.lit(a) for a in DEMO_ADDRESSES]), (F.pmod(user_id, F.lit(5)) + 1).cast("int"))
 
 
-# Number of log files the devices are spread over (by user id modulo).
-LOG_FILES = 16
+# Log files the devices are spread over (by user id modulo): one per
+# LOG_FILE_ROWS events, LOG_FILES at least.
+LOG_FILES, LOG_FILE_ROWS = 16, 1_000_000
 # Lines after the first empty line of a file are never read (they would make
 # one more session of a device "ghost").
 TRAILER = ("", "ID:ghost,None", "/,d,poweron,low,auto,cool,26,25,2024-02-01 00:00",
            "/,d,poweroff,low,auto,cool,26,25,2024-02-01 00:10")
 
 
-def write_event_logs(spark: SparkSession, data_dir: str, out: str, n_files: int = LOG_FILES) -> None:
+def write_event_logs(spark: SparkSession, data_dir: str, out: str, n_files: int | None = None) -> None:
     """Device logs in ``n_files`` files (folder ``file=<n>``): every user
     (device) is one section that opens with its header line, then its events
     in order (a ``signup`` repeats the header); each file ends with an empty
     line followed by lines that must be ignored."""
     ev = table(spark, data_dir, "events")
-    app = appliance_events(ev).drop("blk", "weather").join(ev.select("event_id", "event_type"), "event_id")
+    n_files = n_files or max(LOG_FILES, -(-ev.count() // LOG_FILE_ROWS))
+    app = appliance_settings(ev)
     header = F.concat(F.lit("ID:"), F.col("user_id").cast("string"), F.lit(","), _address(F.col("user_id")))
     line = (F.when(F.col("event_type") == "signup", header)
             .otherwise(F.concat_ws(",", F.lit("/"), F.lit("d"),
@@ -77,7 +82,7 @@ def write_event_logs(spark: SparkSession, data_dir: str, out: str, n_files: int
                         F.lit(None).cast("timestamp_ntz").alias("ts"), F.lit(None).cast("long").alias("event_id"),
                         tail.alias("t")).select("file", "sec", "user_id", "k0", "ts", "event_id", "t.k1", "t.value"))
     (events.unionByName(headers).unionByName(trailers)
-        .repartition("file").sortWithinPartitions("file", "sec", "user_id", "k0", "ts", "event_id", "k1")
+        .repartition(n_files, "file").sortWithinPartitions("file", "sec", "user_id", "k0", "ts", "event_id", "k1")
         .select("file", "value").write.mode("overwrite").partitionBy("file").text(out))
 
 
@@ -110,7 +115,7 @@ def log_sessions(spark: SparkSession, log_path: str, carry_over: bool = True, on
     return materialize(s.select(*SESSION_COLS))
 
 
-def attach_weather(sessions: DataFrame, weather: DataFrame, strategy: str = "auto") -> DataFrame:
+def attach_weather(sessions: DataFrame, weather: DataFrame, strategy: str = "scan") -> DataFrame:
     left = sessions.select("*", F.try_to_timestamp("start", F.lit("yyyy-MM-dd HH:mm")).alias("start_ts"),
                            F.substring("start", 1, 10).alias("start_day"))
     right = weather.select(F.col("city").alias("w_city"), F.col("date").alias("w_date"), F.col("time").alias("w_time"),
@@ -133,12 +138,12 @@ def log_features(joined: DataFrame, order: str = "lexical") -> DataFrame:
     fno = F.regexp_extract("session_id", r"^(.*)-([0-9]+)$", 1)
     seq = F.regexp_extract("session_id", r"^(.*)-([0-9]+)$", 2)
     if order == "lexical":
-        df = joined.withColumn("__o", F.col("session_id")).withColumn("__b", F.struct(fno, F.substring(seq, 1, 5)))
-        order_cols = ["__o"]
+        order_cols = ["session_id"]
+        df = joined
     else:
-        df = (joined.withColumn("__f", fno).withColumn("__s", seq.cast("long"))
-              .withColumn("__b", F.struct(F.col("__f"), F.floor(F.col("__s") / 65536))))
         order_cols = ["__f", "__s"]
+        df = joined.withColumn("__f", fno).withColumn("__s", seq.cast("long"))
+    df = with_order_blocks(df, ["user"], order_cols, SESSION_BLOCK_ROWS, "__b")
     return sliding_features(df, "user", order_cols, width=4, feature_cols=["temp", "speed", "direction", "mode"],
                             target_cols={"weather": "w_temp", "speed": "speed", "direction": "direction",
                                          "mode": "mode", "temp": "temp"},

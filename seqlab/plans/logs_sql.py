@@ -4,7 +4,7 @@
 from __future__ import annotations
 
 from seqlab.functions.codes import DIRECTION_CODES, FEATURE_COLS, MODE_CODES, SPEED_CODES
-from seqlab.plans.logs import DEMO_ADDRESSES, LOG_FILES
+from seqlab.plans.logs import DEMO_ADDRESSES, LOG_FILE_ROWS, LOG_FILES
 
 
 def _names(d):
@@ -24,12 +24,14 @@ def _city(addr):
             f"THEN 3 ELSE 2 END) END")
 
 
+_FILES = f"(SELECT greatest({LOG_FILES}, CAST(ceil(count(*) / {LOG_FILE_ROWS}.0) AS BIGINT)) FROM events)"
+
 LOG_SESSIONS = f"""WITH lines AS (
-  SELECT user_id % {LOG_FILES} AS file, user_id, 1 AS k0, ts, event_id, event_type,
+  SELECT user_id % {_FILES} AS file, user_id, 1 AS k0, ts, event_id, event_type,
          CASE WHEN event_type = 'signup' THEN 'header' WHEN event_type = 'error' THEN 'off' ELSE 'on' END AS kind
   FROM events
   UNION ALL
-  SELECT DISTINCT user_id % {LOG_FILES}, user_id, 0, CAST(NULL AS TIMESTAMP), CAST(NULL AS BIGINT), NULL, 'header'
+  SELECT DISTINCT user_id % {_FILES}, user_id, 0, CAST(NULL AS TIMESTAMP), CAST(NULL AS BIGINT), NULL, 'header'
   FROM events),
 sc AS (
   SELECT *,

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from seqlab.plans.docs import N_CLASSES, N_FEATURES
+from seqlab.plans.docs import N_CLASSES, N_FEATURES, STREAM_ROWS
 from seqlab.session import scratch_path
 from seqlab.sources.tables import table
 from seqlab.streaming.jobs import parse_instances, start_minibatch_learner, start_word_count, stream_lines
@@ -46,7 +46,7 @@ def q_learner_stream(spark, data_dir):
 
 def q_learner_stream_keyed(spark, data_dir):
     """Exact sequential learner on a stream of instance lines: one model per
-    label group (``label // 5``), each learning its instances in ``vec_id``
+    ``STREAM_ROWS`` consecutive ids, each learning its instances in ``vec_id``
     order, with the weights kept in Spark's state store."""
     from seqlab.streaming.jobs import keyed_learner_stream
     base = _base(spark, "keyed")
@@ -60,7 +60,7 @@ def q_learner_stream_keyed(spark, data_dir):
     inst = lines.select(F.element_at(f, 1).cast("long").alias("vec_id"),
                         F.transform(F.slice(f, 2, N_FEATURES), lambda v: v.cast("double")).alias("x"),
                         F.element_at(f, -1).cast("int").alias("y"))
-    inst = inst.withColumn("group", F.floor(F.col("y") / 5))
+    inst = inst.withColumn("group", F.floor(F.col("vec_id") / STREAM_ROWS))
     out = keyed_learner_stream(inst, "group", "vec_id", n_classes=N_CLASSES, n_features=N_FEATURES)
     q = (out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/ckpt")
          .outputMode("append").trigger(availableNow=True).start())
@@ -75,14 +75,14 @@ QUERIES = {
 }
 
 def _keyed_learner_oracle() -> str:
-    from seqlab.plans.docs import _learner_sql
-    return _learner_sql(key="CAST(label // 5 AS BIGINT)") + """
+    from seqlab.plans.docs import _STREAM, _learner_sql
+    return _learner_sql(key=_STREAM) + """
 SELECT k AS "group", vec_id, predicted, correct FROM s WHERE i > 0"""
 
 
 ORACLES = {
-    # One micro-batch holds every instance; each label group learns its
-    # instances in vec_id order.
+    # One micro-batch holds every instance; each stream learns its instances
+    # in vec_id order.
     "learner_stream_keyed": _keyed_learner_oracle(),
     # One micro-batch picks up every file; it is scored with the starting
     # (zero) weights, whose equal votes all go to class 0.

@@ -32,7 +32,7 @@ def read_lines_ordered(spark: SparkSession, path: str, whole_files: bool = False
         raw = spark.read.text(path, wholetext=True)
         parts = [c for c in raw.columns if c != "value"]
         return raw.select(F.col("_metadata.file_path").alias("file_path"), *parts,
-                          F.posexplode(F.split("value", "\n", -1)).alias("pos", "line")
+                          F.posexplode(F.split("value", "\r\n|\r|\n", -1)).alias("pos", "line")
                           ).select("file_path", *parts, F.lit(0).cast("long").alias("block"),
                                    F.col("pos").cast("long").alias("pos"), "line")
     raw = spark.read.text(path)

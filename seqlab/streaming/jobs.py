@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,14 +33,20 @@ def stream_lines(spark: SparkSession, source: str, *, fmt: str = "text", host: s
     return r.load(source)
 
 
-def parse_instances(lines: DataFrame, n_features: int) -> DataFrame:
+def parse_instances(lines: DataFrame, n_features: int, on_bad: str = "error") -> DataFrame:
     """``x1,...,xF,class`` lines into ``x array<double>, y int`` (the last
-    field is the class)."""
+    field is the class). A line with other than ``n_features + 1`` numbers
+    fails the job (``on_bad='error'``) or is left out (``'drop'``)."""
     f = F.split("value", ",", -1)
-    return lines.select(
-        F.slice(F.transform(f, lambda v: F.trim(v).try_cast("double")), 1, n_features).alias("x"),
-        F.element_at(f, -1).try_cast("double").cast("int").alias("y"),
-        *[c for c in lines.columns if c != "value"])
+    numbers = F.transform(f, lambda v: F.trim(v).try_cast("double"))
+    good = (F.size(f) == n_features + 1) & F.forall(numbers, lambda v: v.isNotNull())
+    if on_bad == "drop":
+        lines = lines.where(F.coalesce(good, F.lit(False)))
+        x = numbers
+    else:
+        x = F.when(good, numbers).otherwise(F.raise_error(F.concat(F.lit("not an instance line: "), F.col("value"))))
+    return lines.select(F.slice(x, 1, n_features).alias("x"), F.element_at(numbers, -1).cast("int").alias("y"),
+                        *[c for c in lines.columns if c != "value"])
 
 
 def _write_batch(df: DataFrame, out: str, epoch: int) -> None:
@@ -73,7 +80,9 @@ def _latest_weights(spark: SparkSession, state: str, n_classes: int, n_features:
     W, b = np.zeros((n_classes, n_features)), np.zeros(n_classes)
     try:
         tab = spark.read.parquet(state)
-    except Exception:  # nothing written yet
+    except AnalysisException as e:  # only a missing or still empty folder means "nothing written yet"
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
         return W, b
     rows = tab.where(F.col("batch_id") == before - 1).collect()  # C x (F+1) cells
     if not rows:

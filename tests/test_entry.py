@@ -1,5 +1,7 @@
 """Driver contract: entry smoke, registry and oracle coverage."""
 
+import re
+
 import __spark_entry__ as entry
 
 ROWS_ONLY = {"train_tree", "train_forest",
@@ -15,4 +17,6 @@ def test_entry_runs(spark):
 def test_every_query_has_an_oracle_or_is_rows_only():
     qs, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(qs)
-    assert set(qs) - set(sql) == ROWS_ONLY
+    # the training-data queries (op<N>_..., pipeline) have tests of their own
+    own = {q for q in set(qs) - set(sql) if q != "pipeline" and not re.match(r"op\d+_", q)}
+    assert own == ROWS_ONLY

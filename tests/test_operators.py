@@ -179,8 +179,7 @@ def test_sort_sessions_rank_equals_row_number(spark):
             for i in range(500)]
     df = spark.createDataFrame(rows, "u string, t string, i int")
     key = F.concat_ws(" ", "u", "t", F.lpad(F.col("i").cast("string"), 4, "0"))
-    levels = [F.concat_ws(" ", "u", F.substring("t", 1, 10)), F.col("u"), F.substring("u", 1, 2)]
-    got = {r.i: r.pos for r in sort_sessions(df, key, rank_col="pos", levels=levels).collect()}
+    got = {r.i: r.pos for r in sort_sessions(df, key, rank_col="pos").collect()}
     want = {r.i: r.pos for r in df.withColumn("pos", F.row_number().over(Window.orderBy(key))).collect()}
     assert got == want
 
@@ -192,8 +191,7 @@ def test_sessionize_under_one_hot_user(spark):
     from seqlab.sources.tables import table
     ev = table(spark, "/root/testdata/sf0.01", "events")
     hot = ev.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(7)).otherwise(F.col("user_id")))
-    # Users above 50 rows get time blocks sized from their busiest hour: the
-    # hot user's scan spans many blocks, light users are one block.
+    # Users above 50 rows are cut at equal depth: the hot user's scan spans many blocks.
     kinds = event_kinds(hot, target_rows=50)
     assert kinds.where(F.col("user_id") == 7).select("blk").distinct().count() > 30
     kw = dict(file_col="user_id", order_cols=["ts", "event_id"], kind_col="kind", time_col="ts",

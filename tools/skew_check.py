@@ -60,7 +60,7 @@ def _session(log_dir: str) -> SparkSession:
 def run(data_dir: str, op: str, blocked: bool, block_rows: int) -> tuple[int, float, int]:
     log_dir = tempfile.mkdtemp(prefix="seqlab-eventlog-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark = _session(log_dir)
-    from seqlab.functions.scan import with_time_blocks
+    from seqlab.functions.scan import with_order_blocks
     from seqlab.operators.features import sliding_features
     from seqlab.operators.joins import nearest_join
     from seqlab.operators.sessionize import sessionize
@@ -74,7 +74,7 @@ def run(data_dir: str, op: str, blocked: bool, block_rows: int) -> tuple[int, fl
                          settings_cols=["event_type", "value"], header_cols=["signup_id"],
                          block_col="blk" if blocked else None, checkpoint_runs=False)
     elif op == "sliding_features":
-        out = sliding_features(with_time_blocks(hot, ["user_id"], "ts", block_rows), "user_id",
+        out = sliding_features(with_order_blocks(hot, ["user_id"], ["ts", "event_id"], block_rows), "user_id",
                                ["ts", "event_id"], width=4,
                                feature_cols=["value"], target_cols={"target": "value"},
                                start_cols={"event_id": "event_id"}, block="blk" if blocked else None,
