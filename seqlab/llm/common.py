@@ -135,13 +135,27 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return g
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of every word (A-Z lowered) and the word offset of every row, and
-    the byte position where each word starts."""
+WORDS_AT_ONCE = 1 << 19     # bytes whose words are hashed at once
+
+
+def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word (A-Z lowered) and the word offset of every row. Rows
+    are taken a few hundred KB at a time, so that the arrays over bytes stay small."""
+    hashes, at, i = [], [np.zeros(1, np.int64)], 0
+    while i + 1 < len(offs):
+        j = max(i + 1, int(np.searchsorted(offs, offs[i] + WORDS_AT_ONCE, "right")) - 1)
+        h, own = _words(data[offs[i]:offs[j]], offs[i:j + 1] - offs[i])
+        hashes.append(h)
+        at.append(own[1:] + at[-1][-1])
+        i = j
+    return (np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)), np.concatenate(at)
+
+
+def _words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(data)
     at = np.zeros(len(offs), np.int64)
     if n == 0:
-        return np.zeros(0, np.uint64), at, np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), at
     low = _LOW[data]
     ok = ~_SPACE[low]
     row = offs[:-1][offs[:-1] < n]
@@ -156,7 +170,7 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     g = prefix_hash(low)
     _, down = powers(n + 1)
     h = mix((g[end] - g[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return h, np.searchsorted(start, offs), start
+    return h, np.searchsorted(start, offs)
 
 
 def chain(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -191,28 +205,39 @@ def shingles(h: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndar
 
 # ---------------------------------------------------------------- components
 
+EDGES_A_PART = 50_000
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """A checkpointed table of a few numbers a row, broadcast in joins if it has
+    at most ``BROADCAST_ROWS`` rows (about 40 MB); Spark shuffles a larger one."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp) for every node of an edge list; comp is the least node that
     can be reached. Alternating star contraction: each round hangs a node's
     larger and smaller neighbours on its least one, so no pairs inside a
     component are made and chains shrink geometrically. Every round is
-    checkpointed; only one number per round comes to the driver.
+    checkpointed, in as many partitions as its edges need; only their number
+    and a checksum come to the driver.
     """
     e = checkpointed(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
                      .filter("u <> v").distinct())
-    digest = None
-    while True:
+    digest, n = None, e.count()
+    while n:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         big = (both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-               .filter("u <> v").distinct())
+               .filter("u <> v"))
         low = big.groupBy("u").agg(F.min("v").alias("m"))
         small = (big.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"),
                                            F.col("m").alias("v")).filter("u <> v").distinct())
-        e = checkpointed(small)
-        now = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if digest == tuple(now):
+        e = checkpointed(small.coalesce(max(1, -(-n // EDGES_A_PART))))
+        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if digest == now:
             break
-        digest = tuple(now)
+        digest, n = now, now[0]
     return (e.select(F.col("u").alias("node"), F.col("v").alias("comp"))
             .union(e.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct())

@@ -16,7 +16,7 @@ Links, without making the pairs of a bucket:
    The share of equal registers, corrected by the chance that different minima
    fall on one register, estimates the likeness; estimates below ``ESTIMATE``
    (6 standard errors under 0.8) are let go. Each class first verifies its best
-   such pair on the full sets, then, where the classes are still apart, the rest.
+   such pair on the full sets, then the pairs that these links do not join.
 3. Buckets whose other members still fall into several components are grouped
    into families. A family's largest component needs no further look inside;
    each member outside it is compared, on full sets and by an inverted index,
@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlab.llm.common import chain, checkpointed, components, mix, shingles, slices, table, text_bytes, words
+from seqlab.llm.common import chain, checkpointed, components, mix, shingles, sized, slices, table, text_bytes, words
 
 BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
@@ -55,7 +55,7 @@ _SIG = "doc_id long, n_shingles long, d1 long, d2 long, regs binary"
 
 def shingle_sets(part: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of every row, sorted within the row, and row offsets."""
-    h, at, _ = words(*text_bytes(part.column("text")))
+    h, at = words(*text_bytes(part.column("text")))
     s, off = shingles(h, at, k)
     sets = [np.unique(s[a:b]) for a, b in zip(off[:-1], off[1:])]
     n = np.array([len(x) for x in sets], np.int64)
@@ -120,11 +120,8 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             for part in slices(batch, "text"):
                 s, off = shingle_sets(part, k)
                 regs = registers(s, off)
-                sums = [np.concatenate(([0], np.cumsum(mix(s ^ np.uint64(c)), dtype=np.uint64))) for c in (0x51, 0xA7)]
-                n = np.diff(off)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.array(n),
-                     *[pa.array((c[off[1:]] - c[off[:-1]]).view(np.int64)) for c in sums],
+                    [part.column("doc_id").cast(pa.int64()), pa.array(np.diff(off)), *map(pa.array, digests(s, off)),
                      pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "n_shingles", "d1", "d2", "regs"])
 
     return docs.select("doc_id", "text").mapInArrow(sign, _SIG)
@@ -147,27 +144,43 @@ def _bands(classes: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, set) of the documents whose id is in ``ids``; of rows with one id, the first's."""
+    """(id, set, best) of the documents in ``ids`` (id, d1, d2, best); of an id's
+    texts, the one with the digest d1, d2."""
 
     def sets(batches):
         for batch in batches:
             for part in slices(batch, "text"):
                 s, off = shingle_sets(part, k)
+                d1, d2 = digests(s, off)
+                fit = pa.array((d1 == part.column("d1").to_numpy()) & (d2 == part.column("d2").to_numpy()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(s.view(np.int64)))],
-                    ["id", "set"])
+                    [part.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(s.view(np.int64))),
+                     part.column("best")], ["id", "set", "best"]).filter(fit)
 
-    wanted = docs.select("doc_id", "text").join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    return wanted.mapInArrow(sets, "id long, set array<long>").dropDuplicates(["id"])
+    wanted = docs.select("doc_id", "text").join(sized(ids).withColumnRenamed("id", "doc_id"), "doc_id")
+    return wanted.mapInArrow(sets, "id long, set array<long>, best long")
 
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough."""
-    a = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
-    b = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
+def digests(s: np.ndarray, off: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit sums over each set, in any order of its hashes."""
+    zero = np.zeros(1, np.uint64)
+    sums = [np.concatenate((zero, np.cumsum(mix(s ^ np.uint64(c)), dtype=np.uint64))) for c in (0x51, 0xA7)]
+    return [(c[off[1:]] - c[off[:-1]]).view(np.int64) for c in sums]
+
+
+def _near(pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b, sa, sb) whose full sets are alike enough."""
     same = F.size(F.array_intersect("sa", "sb"))
     near = 100 * F.col("same") >= PERCENT * (F.size("sa") + F.size("sb") - F.col("same"))
-    return pairs.join(a, "a").join(b, "b").withColumn("same", same).filter(near).select("a", "b")
+    return pairs.withColumn("same", same).filter(near).select("a", "b")
+
+
+def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The checkpointed pairs (a, b) whose full sets are alike enough."""
+    ids = sized(checkpointed(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+    own = sets.join(ids, "id", "left_semi")
+    return _near(sized(pairs).join(own.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
+                 .join(own.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b"))
 
 
 def _compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -208,10 +221,15 @@ def _family_links(open_members: DataFrame, sets: DataFrame) -> DataFrame:
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = m.select("family", "id", "comp", own.alias("mb"), every.alias("qb"), F.lit(False).alias("query")).unionByName(
         m.filter("comp <> kernel").select("family", "id", "comp", own.alias("qb"), every.alias("mb"), F.lit(True).alias("query")))
-    return (rows.join(sets, "id").groupBy("family", "mb", "qb")
+    rows = checkpointed(rows)
+    return (sized(rows).join(sets.select("id", "set"), "id").groupBy("family", "mb", "qb")
             .applyInPandas(lambda g: _compare(g), "a long, b long"))
 
 
+def _likeness(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+    return pd.Series([estimate(*t) for t in zip(x, y, n, m)], dtype="float64")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
     sig = checkpointed(signatures(docs, k))
@@ -220,42 +238,48 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     bands = _bands(classes)
     heads = bands.groupBy("bucket").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = checkpointed(bands.join(heads, "bucket").filter("rep <> head").select("bucket", "rep", "head", "n"))
-    stars = shared.select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
-    sketch = classes.groupBy("rep").agg(F.first("regs").alias("regs"), F.first("n_shingles").alias("n"))
-
-    @F.pandas_udf("double")
-    def likeness(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-        return pd.Series([estimate(*t) for t in zip(x, y, n, m)], dtype="float64")
-
-    stars = (stars.join(sketch.select(F.col("rep").alias("a"), F.col("regs").alias("ra"), F.col("n").alias("na")), "a")
-             .join(sketch.select(F.col("rep").alias("b"), F.col("regs").alias("rb"), F.col("n").alias("nb")), "b")
+    pairs = sized(checkpointed(shared.select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()))
+    # of an id with several texts, one text stands for it
+    own = classes.groupBy("rep").agg(F.min(F.struct("d1", "d2", "n_shingles", "regs")).alias("c")).select("rep", "c.*")
+    likeness = F.pandas_udf(_likeness, "double")
+    stars = (pairs.join(own.select(F.col("rep").alias("a"), F.col("regs").alias("ra"), F.col("n_shingles").alias("na")), "a")
+             .join(own.select(F.col("rep").alias("b"), F.col("regs").alias("rb"), F.col("n_shingles").alias("nb")), "b")
              .select("a", "b", likeness("ra", "rb", "na", "nb").alias("near")).filter(F.col("near") >= ESTIMATE))
     stars = checkpointed(stars)
-    best = stars.groupBy("a").agg(F.max_by("b", F.struct("near", -F.col("b"))).alias("b"))
+    best = stars.groupBy("a").agg(F.max_by("b", F.struct("near", -F.col("b"))).alias("best"))
     ids = (stars.select(F.col("a").alias("id")).union(stars.select("b"))
            .union(shared.filter("n > 2").select("rep"))).distinct()
+    ids = checkpointed(ids.join(best.withColumnRenamed("a", "id"), "id", "left")
+                       .join(own.select(F.col("rep").alias("id"), "d1", "d2"), "id"))
     sets = checkpointed(_sets(docs, ids, k))
-    links = checkpointed(_linked(best, sets))
-    comp = components(links)
-
-    def labelled(df, column):
-        c = comp.select(F.col("node").alias(column), F.col("comp").alias(f"{column}_comp"))
-        return df.join(c, column, "left").withColumn(f"{column}_comp", F.coalesce(f"{column}_comp", column))
-
-    rest = labelled(labelled(stars.select("a", "b"), "a"), "b").filter("a_comp <> b_comp").select("a", "b")
-    links = checkpointed(links.union(_linked(rest, sets)))
-    comp = checkpointed(components(links))
-    members = labelled(shared.filter("n > 2").select("bucket", F.col("rep").alias("id")), "id").withColumnRenamed("id_comp", "comp")
+    leaders = sets.join(sized(checkpointed(best.select(F.col("best").alias("id")).distinct())), "id", "left_semi")
+    first = checkpointed(_near(sets.filter("best is not null").select(F.col("id").alias("a"), F.col("best").alias("b"), F.col("set").alias("sa"))
+                               .join(leaders.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")))
+    # where two steps along the first links lead; pairs that meet there need no look
+    up = first.groupBy("a").agg(F.min("b").alias("b"))
+    for _ in range(2):
+        over = up.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        up = checkpointed(up.join(over, "b", "left").select("a", F.coalesce("c", "b").alias("b")))
+    rest = stars.select("a", "b")
+    for c in ("a", "b"):
+        rest = rest.join(sized(up).select(F.col("a").alias(c), F.col("b").alias(f"{c}_up")), c, "left")
+    rest = checkpointed(rest.filter(F.coalesce("a_up", "a") != F.coalesce("b_up", "b")).select("a", "b"))
+    comp = checkpointed(components(first.union(_linked(rest, sets))))
+    members = (shared.filter("n > 2").select("bucket", F.col("rep").alias("id"))
+               .join(sized(comp).select(F.col("node").alias("id"), "comp"), "id", "left")
+               .select("bucket", "id", F.coalesce("comp", "id").alias("comp")))
     undecided = members.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
     open_members = checkpointed(members.join(undecided.select("bucket"), "bucket"))
-    comp = components(links.union(_family_links(open_members, sets)))
+    if not open_members.isEmpty():
+        # links of whole components: theirs are known, the families' are new
+        comp = components(comp.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(_family_links(open_members, sets)))
     label = classes.select("d1", "d2", "n_shingles", "rep").join(
         comp.select(F.col("node").alias("rep"), "comp"), "rep", "left")
     # rows of one id are one document: it belongs to the least component of its rows
-    own = (sig.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "d1", "d2", "n_shingles")
+    found = (sig.filter("n_shingles > 0 and doc_id is not null").select("doc_id", "d1", "d2", "n_shingles")
            .join(label, ["d1", "d2", "n_shingles"]).groupBy("doc_id")
            .agg(F.min(F.coalesce("comp", "rep")).alias("component_id")))
-    out = sig.select("doc_id", "n_shingles").join(own, "doc_id", "left")
+    out = sig.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
@@ -268,5 +292,5 @@ def op8_near_duplicates(spark, sf_dir):
 def stage_near_duplicates(spark, docs, sf_dir):
     """Pipeline stage: the least id of every group of near copies stays (five-word shingles)."""
     found = near_duplicates(docs, k=5)
-    gone = found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    gone = sized(checkpointed(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()))
     return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
