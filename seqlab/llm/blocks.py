@@ -20,14 +20,16 @@ from pyspark.sql import functions as F
 from seqlab.llm.common import checkpointed, shuffle_partitions, slices, text_bytes
 
 BLOCK_BYTES = 4 << 20
-BLOCK = "block long, ids array<long>, lens array<int>, raw long, payload binary, extra binary"
+BLOCKS_A_BUCKET = 8
+BLOCK = "block long, ids array<long>, lens array<int>, raw long, payload binary, extra binary, flags array<boolean>"
 
 
-def blocked(docs: DataFrame, extra: bool = False) -> DataFrame:
-    """Rows (block, ids, lens, raw, payload, extra): consecutive documents of a
-    partition, their ids, byte lengths and zstandard-packed texts (null: empty);
-    ``extra``, if asked for, has all columns but the text as an Arrow stream."""
-    docs = docs if extra else docs.select("doc_id", "text")
+def blocked(docs: DataFrame, extra: bool = False, flag: str | None = None) -> DataFrame:
+    """Rows (block, ids, lens, raw, payload, extra, flags): consecutive documents of
+    a partition, their ids, byte lengths and zstandard-packed texts (null: empty);
+    ``extra``, if asked for, has all other columns as an Arrow stream; ``flags`` has
+    the boolean column ``flag``."""
+    docs = docs if extra else docs.select("doc_id", "text", *[flag] * bool(flag))
 
     def cut(batches):
         seq = TaskContext.get().partitionId() << 32
@@ -38,8 +40,9 @@ def blocked(docs: DataFrame, extra: bool = False) -> DataFrame:
                     [pa.array([seq]), pa.array([part.column("doc_id").cast(pa.int64()).to_pylist()], pa.list_(pa.int64())),
                      pa.array([np.diff(offs).astype(np.int32)], pa.list_(pa.int32())), pa.array([len(raw)]),
                      pa.array([zs.ZstdCompressor(level=3).compress(raw.tobytes())], pa.binary()),
-                     pa.array([_stream(part.drop_columns(["text"])) if extra else None], pa.binary())],
-                    ["block", "ids", "lens", "raw", "payload", "extra"])
+                     pa.array([_stream(part.drop_columns(["text", *[flag] * bool(flag)])) if extra else None], pa.binary()),
+                     pa.array([part.column(flag).to_pylist() if flag else None], pa.list_(pa.bool_()))],
+                    ["block", "ids", "lens", "raw", "payload", "extra", "flags"])
                 seq += 1
 
     return checkpointed(docs.mapInArrow(cut, BLOCK))
@@ -70,9 +73,10 @@ def rows_of(batches):
 
 
 def n_buckets(blocks: DataFrame) -> int:
-    """Hash ranges: as many as blocks, so that bucket and block tasks hold alike much."""
+    """Hash ranges: one for the keys of ``BLOCKS_A_BUCKET`` blocks, so that a range
+    holds a few million keys whatever the number of blocks."""
     n = blocks.agg(F.count(F.lit(1))).first()[0]
-    return max(n, 2 * shuffle_partitions(blocks.sparkSession))
+    return max(-(-n // BLOCKS_A_BUCKET), 2 * shuffle_partitions(blocks.sparkSession))
 
 
 def cuts(keys: np.ndarray, n: int) -> np.ndarray:

@@ -58,7 +58,7 @@ class Index:
     def __init__(self, items: list[tuple[object, str | None]], span: int = SPAN):
         self.ids = [i for i, _ in items]
         raw, offs = text_bytes(pa.array([t for _, t in items], pa.large_string()))
-        self.h, self.at, _ = words(raw, offs)
+        self.h, self.at = words(raw, offs)
         n = np.diff(self.at)
         self.span = span
         self.masks = [(m, span) for m in masks(span)]
@@ -143,7 +143,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             index = shared.value
             for batch in batches:
                 for part in slices(batch, "text"):
-                    h, at, _ = words(*text_bytes(part.column("text")))
+                    h, at = words(*text_bytes(part.column("text")))
                     best: dict[tuple[int, int], tuple] = {}
                     for row, item, *span in index.overlaps(h, at):
                         best[row, item] = max(best.get((row, item), (0, 0)), (span[1], -span[0], *span))
@@ -167,7 +167,7 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def keep(batches, shared=shared):
             for batch in batches:
                 for part in slices(batch, "text"):
-                    h, at, _ = words(*text_bytes(part.column("text")))
+                    h, at = words(*text_bytes(part.column("text")))
                     ok = np.ones(part.num_rows, bool)
                     ok[[row for row, *_ in shared.value.overlaps(h, at)]] = False
                     yield part.filter(pa.array(ok))

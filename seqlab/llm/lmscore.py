@@ -55,7 +55,7 @@ class Grams:
     (sorted), the key of each position, and which positions have one."""
 
     def __init__(self, data: np.ndarray, offs: np.ndarray, order: int = ORDER):
-        h, at, _ = words(data, offs)
+        h, at = words(data, offs)
         n = len(offs) - 1
         self.at = at + np.arange(n + 1)
         self.tok = np.empty(len(h) + n, np.uint64)
