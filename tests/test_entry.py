@@ -4,8 +4,7 @@ import re
 
 import __spark_entry__ as entry
 
-ROWS_ONLY = {"train_tree", "train_forest",
-             "train_logistic", "train_logistic_onehot", "train_forest_libsvm", "train_gbt", "tree_rules", "tree_rules_text", "score_rules"}
+ROWS_ONLY = {"tree_rules", "tree_rules_text"}
 
 
 def test_entry_runs(spark):
