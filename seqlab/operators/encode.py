@@ -4,31 +4,61 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqlab.functions.scan import global_rank
+from seqlab.session import materialize
+
+
+# Category tables up to this many rows are broadcast; larger ones are joined by a shuffle.
+BROADCAST_CATEGORIES = 1_000_000
+
+
+def category_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``(column, value, idx)``: the index of every category of each column, most
+    frequent first, ties in alphabetical order. One pass over ``df``; the
+    categories stay a table and are ranked by ranges."""
+    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+                                          for c in cols])).alias("p")).select("p.*")
+    counts = pairs.where(F.col("value").isNotNull()).groupBy("column", "value").count()
+    ranked = global_rank(counts, "column", F.desc("count"), "value", name="__r")
+    first = ranked.groupBy("column").agg(F.min("__r").alias("__first"))  # a row per column
+    return materialize(ranked.join(F.broadcast(first), "column")
+                       .select("column", "value", (F.col("__r") - F.col("__first")).cast("int").alias("idx")))
+
+
+def _indexed(df: DataFrame, cols: Sequence[str], suffix: str) -> tuple[DataFrame, dict[str, int]]:
+    """``df`` with the index columns, and the number of categories of each column."""
+    categories = category_table(df, cols)
+    sizes = {r["column"]: r["n"] for r in categories.groupBy("column").agg(F.count(F.lit(1)).alias("n")).collect()}
+    for c in cols:
+        own = categories.where(F.col("column") == c).select(F.col("value").alias("__v"), F.col("idx").alias("__i"))
+        if sizes.get(c, 0) <= BROADCAST_CATEGORIES:
+            own = F.broadcast(own)
+        missing = F.raise_error(F.concat(F.lit(f"no category in {c}: "), F.coalesce(F.col(c).cast("string"), F.lit("NULL"))))
+        df = (df.join(own, F.col(c).cast("string") == F.col("__v"), "left")
+              .withColumn(c + suffix, F.coalesce("__i", missing.cast("int"))).drop("__v", "__i"))
+    return df, sizes
+
 
 def category_index(df: DataFrame, cols: Sequence[str], suffix: str = "_idx") -> DataFrame:
     """Index of each category per column, most frequent first, ties in
-    alphabetical order (``StringIndexer`` with one fit over all columns)."""
-    model = StringIndexer(inputCols=list(cols), outputCols=[c + suffix for c in cols],
-                          stringOrderType="frequencyDesc", handleInvalid="error").fit(df)
-    out = model.transform(df)
-    return out.select(*df.columns, *[F.col(c + suffix).cast("int").alias(c + suffix) for c in cols])
+    alphabetical order; a NULL fails the job."""
+    return _indexed(df, cols, suffix)[0]
 
 
 def one_hot(df: DataFrame, cols: Sequence[str], drop_last: bool = False, suffix: str = "_vec") -> DataFrame:
-    """Index then one-hot encode ``cols`` (vector columns ``<c>_vec``).
+    """Index then one-hot encode ``cols`` (sparse vector columns ``<c>_vec``).
     ``drop_last=False`` keeps every category as the reference's dataset does.
-    The indexer's category metadata is kept, so the encoder needs no pass
-    over the data of its own."""
-    idx = StringIndexer(inputCols=list(cols), outputCols=[c + "_idx" for c in cols],
-                        stringOrderType="frequencyDesc", handleInvalid="error").fit(df).transform(df)
+    The encoder is fitted on the number of categories alone."""
+    out, sizes = _indexed(df, cols, "_idx")
+    top = df.sparkSession.createDataFrame([tuple(float(max(1, sizes.get(c, 1)) - 1) for c in cols)], [c + "_idx" for c in cols])
     enc = OneHotEncoder(inputCols=[c + "_idx" for c in cols], outputCols=[c + suffix for c in cols],
-                        dropLast=drop_last).fit(idx)
-    return enc.transform(idx).drop(*[c + "_idx" for c in cols])
+                        dropLast=drop_last).fit(top)
+    return enc.transform(out).drop(*[c + "_idx" for c in cols])
 
 
 def vector_values(c: str | Column) -> Column:

@@ -21,6 +21,6 @@ def word_count(df: DataFrame, text_col: str = "text") -> DataFrame:
             .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
 
 
-def contains_count(df: DataFrame, text_col: str, needle: str) -> Column:
+def contains_count(text_col: str, needle: str) -> Column:
     """Number of texts containing ``needle`` (an aggregate expression)."""
     return F.count_if(F.col(text_col).contains(needle))

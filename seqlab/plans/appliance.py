@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from seqlab.functions.codes import (DIRECTION_CODES, FEATURE_COLS, MODE_CODES, NOMINAL_FEATURES,
                                     SPEED_CODES, TARGET_COLS, TEMP_OFFSET, TEMP_RANGE)
 from seqlab.plans.events import with_event_blocks
-from seqlab.operators.encode import assemble, category_index, hash_split, one_hot, one_hot_dataset, vector_values
+from seqlab.operators.encode import assemble, category_table, hash_split, one_hot, one_hot_dataset, vector_values
 from seqlab.operators.features import encode_categories, filter_range, sliding_features
 from seqlab.operators.labels import class_count, combine_labels, index_labels, label_dictionary, label_index, \
     split_label
@@ -126,8 +126,9 @@ def q_format_libsvm(spark, data_dir):
 
 def q_category_index(spark, data_dir):
     ev = table(spark, data_dir, "events").select("event_type")
-    return category_index(ev, ["event_type"]).groupBy("event_type", "event_type_idx") \
-        .agg(F.count(F.lit(1)).alias("n"))
+    counts = ev.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    index = category_table(ev, ["event_type"]).select(F.col("value").alias("event_type"), F.col("idx").alias("event_type_idx"))
+    return index.join(counts, "event_type")
 
 
 def q_one_hot(spark, data_dir):
@@ -145,7 +146,7 @@ def q_one_hot_drop_last(spark, data_dir):
 def q_one_hot_dataset(spark, data_dir):
     """Every coded feature one-hot (categories by frequency), then the four
     target codes (``speed, direction, mode, temp``)."""
-    coded = q_encode_categories(spark, data_dir)
+    coded = materialize(q_encode_categories(spark, data_dir))
     enc = one_hot(coded, list(FEATURE_COLS), drop_last=False)
     return one_hot_dataset(enc, [f"{c}_vec" for c in FEATURE_COLS], list(TARGET_COLS)).select("event_id", "values")
 
@@ -153,7 +154,7 @@ def q_one_hot_dataset(spark, data_dir):
 def q_assemble_row(spark, data_dir):
     """Seven numeric features and six one-hot vectors (direction and mode
     lags) in one vector, label = temperature code."""
-    coded = q_encode_categories(spark, data_dir)
+    coded = materialize(q_encode_categories(spark, data_dir))
     nominal = [c for c in NOMINAL_FEATURES]
     enc = one_hot(coded, nominal, drop_last=False)
     numeric = ["temp1", "temp2", "temp3", "speed1", "speed2", "speed3", "weather"]

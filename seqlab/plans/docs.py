@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seqlab.operators.online import (class_scores, gradient, holdout_accuracy, normalise_votes, perceptron_keyed,
                                      predict_class, prequential_accuracy)
-from seqlab.operators.text import word_count
+from seqlab.operators.text import contains_count, word_count
 from seqlab.sources.tables import table
 
 N_CLASSES = 10
@@ -23,8 +23,7 @@ def q_word_count(spark, data_dir):
 def q_contains_count(spark, data_dir):
     """Lines of all documents containing ``a`` and containing ``b``."""
     lines = table(spark, data_dir, "documents").select(F.explode(F.split("text", "\n", -1)).alias("line"))
-    return lines.agg(F.count_if(F.col("line").contains("a")).alias("lines_a"),
-                     F.count_if(F.col("line").contains("b")).alias("lines_b"))
+    return lines.agg(contains_count("line", "a").alias("lines_a"), contains_count("line", "b").alias("lines_b"))
 
 
 def q_error_rate(spark, data_dir):
