@@ -104,6 +104,14 @@ def hash_split(key: str | Column, train_percent: int = 70, mult: int = 7919, add
     return F.pmod(F.pmod(k.cast("long"), F.lit(100)) * F.lit(mult) + F.lit(add), F.lit(100)) < F.lit(train_percent)
 
 
+def holdout_split(key: str | Column, train_percent: int = 70, seed: int = 0) -> Column:
+    """Seeded random-order hold-out: a mixed hash (MD5 of seed and id) decides,
+    so ids with any structure split evenly and a rerun gives the same split."""
+    k = F.col(key) if isinstance(key, str) else key
+    h = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit(str(seed)), k.cast("string")).cast("binary")), 1, 8), 16, 10)
+    return F.pmod(h.cast("long"), F.lit(100)) < F.lit(train_percent)
+
+
 def split(df: DataFrame, key: str, train_percent: int = 70) -> tuple[DataFrame, DataFrame]:
     flag = hash_split(key, train_percent)
     return df.where(flag), df.where(~flag)

@@ -3,7 +3,7 @@ and of their DuckDB oracles (name -> SQL)."""
 
 from __future__ import annotations
 
-from seqlab.plans import appliance, appliance_sql, docs, events, events_sql, logs, logs_sql, models, models_sql, streams
+from seqlab.plans import appliance, appliance_sql, docs, events, events_sql, files, logs, logs_sql, models, models_sql, streams
 
 QUERIES = {
     "sessionize": events.q_sessionize,
@@ -25,6 +25,7 @@ QUERIES.update(docs.QUERIES)
 QUERIES.update(models.QUERIES)
 QUERIES.update(logs.QUERIES)
 QUERIES.update(streams.QUERIES)
+QUERIES.update(files.QUERIES)
 
 ORACLES = {**events_sql.ORACLES, **appliance_sql.ORACLES, **docs.ORACLES, **logs_sql.ORACLES, **models_sql.ORACLES,
-           **streams.ORACLES}
+           **streams.ORACLES, **files.ORACLES}
