@@ -17,24 +17,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlab.llm.common import checkpointed, shuffle_partitions, slices, text_bytes
+from seqlab.llm.common import checkpointed, shuffle_partitions, slices, small_batches, text_bytes, tidy
 
 BLOCK_BYTES = 4 << 20
 BLOCKS_A_BUCKET = 8
 BLOCK = "block long, ids array<long>, lens array<int>, raw long, payload binary, extra binary, flags array<boolean>"
 
 
-def blocked(docs: DataFrame, extra: bool = False, flag: str | None = None) -> DataFrame:
+def blocked(docs: DataFrame, extra: bool = False, flag: str | None = None, size: int = BLOCK_BYTES) -> DataFrame:
     """Rows (block, ids, lens, raw, payload, extra, flags): consecutive documents of
     a partition, their ids, byte lengths and zstandard-packed texts (null: empty);
     ``extra``, if asked for, has all other columns as an Arrow stream; ``flags`` has
     the boolean column ``flag``."""
+    small_batches(docs.sparkSession)
     docs = docs if extra else docs.select("doc_id", "text", *[flag] * bool(flag))
 
     def cut(batches):
         seq = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part in slices(batch, "text", BLOCK_BYTES):
+            for part in slices(batch, "text", size):
                 raw, offs = text_bytes(part.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([seq]), pa.array([part.column("doc_id").cast(pa.int64()).to_pylist()], pa.list_(pa.int64())),
@@ -70,6 +71,7 @@ def rows_of(batches):
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]
+            tidy()
 
 
 def n_buckets(blocks: DataFrame) -> int:

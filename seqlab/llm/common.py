@@ -3,6 +3,8 @@ Arrow buffers, block tables with request/reply messages, components."""
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,7 @@ UPPER, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -116,6 +119,26 @@ def text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
+ARROW_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Documents are long rows: 10,000 of them, Spark's default Arrow batch, are
+    tens of MB outside the heap for each task. Left alone if the session sets it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
+def tidy() -> None:
+    """Gives freed memory back to the system; an idle Python worker would keep it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
     """Row slices of a batch with about ``most`` bytes of text each (one row at least)."""
     raw, offs = text_bytes(batch.column(column))
@@ -125,6 +148,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 2 << 20):
         j = max(i + 1, int(np.searchsorted(offs, offs[i] + most, "right")) - 1)
         yield batch.slice(i, j - i)
         i = j
+    tidy()
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:

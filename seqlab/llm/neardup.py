@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlab.llm.common import chain, checkpointed, components, mix, shingles, sized, slices, table, text_bytes, words
+from seqlab.llm.common import chain, checkpointed, components, mix, shingles, sized, slices, small_batches, table, text_bytes, words
 
 BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
@@ -232,6 +232,7 @@ def _likeness(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Seri
 
 def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
+    small_batches(docs.sparkSession)
     sig = checkpointed(signatures(docs, k))
     classes = checkpointed(sig.filter("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2", "n_shingles")
                            .agg(F.min("doc_id").alias("rep"), F.first("regs").alias("regs")))
