@@ -119,15 +119,16 @@ def text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
-ARROW_ROWS = 2000
+ARROW_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Documents are long rows: 10,000 of them, Spark's default Arrow batch, are
-    tens of MB outside the heap for each task. Left alone if the session sets it."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, str(ARROW_ROWS))
+    """Documents and blocks of them are long rows: Spark's default Arrow batch of
+    64 MB is held outside the heap, by each task and its Python worker. Left alone
+    if the session sets it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, str(ARROW_BYTES))
 
 
 def tidy() -> None:

@@ -23,13 +23,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqlab.llm.common import in_fold, table
+from seqlab.llm.common import in_fold, small_batches, table
 
 SAMPLE_DOCS = 256
 SAMPLE_CHARS = 1024
@@ -122,15 +122,16 @@ def classify(docs: DataFrame, dictionaries: list[tuple[str, bytes]]) -> DataFram
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)  # MAX_LANGS * DICT_BYTES at most
     made: dict[str, Coder] = {}
 
-    @F.pandas_udf(schema)
-    def predict(texts: pd.Series) -> pd.DataFrame:
+    def predict(texts: pa.Array) -> pa.Array:
         if "coder" not in made:
             made["coder"] = Coder(shared.value)
-        out = [made["coder"].predict(t) for t in texts]
-        return pd.DataFrame([(p, s, p == UND or s < REJECT_MARGIN) for p, s in out],
-                            columns=["lang_pred", "score", "rejected"])
+        out = [made["coder"].predict(t) for t in texts.to_pylist()]
+        return pa.StructArray.from_arrays(
+            [pa.array([p for p, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64()),
+             pa.array([p == UND or s < REJECT_MARGIN for p, s in out], pa.bool_())], ["lang_pred", "score", "rejected"])
 
-    return docs.withColumn("_lid", predict(F.col("text")))
+    small_batches(docs.sparkSession)
+    return docs.withColumn("_lid", F.arrow_udf(predict, schema)(F.col("text")))
 
 
 def op7_language_id(spark, sf_dir):

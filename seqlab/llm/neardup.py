@@ -36,7 +36,6 @@ import math
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -183,20 +182,22 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                  .join(own.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b"))
 
 
-def _compare(group: pd.DataFrame) -> pd.DataFrame:
+def _compare(group: pa.Table) -> pa.Table:
     """Links of a family block's queries with its members of other components."""
-    members, queries = group[~group["query"]], group[group["query"]]
-    none = pd.DataFrame({"a": pd.Series([], dtype="int64"), "b": pd.Series([], dtype="int64")})
-    if members.empty or queries.empty:
-        return none
-    size = members["set"].map(len).to_numpy()
-    keys = np.concatenate(members["set"].to_list())
+    rows = list(zip(*(group.column(c).to_pylist() for c in ("query", "id", "comp"))))
+    sets = [group.column("set")[i].values.to_numpy() for i in range(len(rows))]
+    members = [i for i, r in enumerate(rows) if not r[0]]
+    queries = [i for i, r in enumerate(rows) if r[0]]
+    if not members or not queries:
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    size = np.array([len(sets[i]) for i in members])
+    keys = np.concatenate([sets[i] for i in members])
     owner = np.repeat(np.arange(len(size)), size)
     order = np.argsort(keys, kind="stable")
     keys, owner = keys[order], owner[order]
-    ids, comps = members["id"].to_numpy(), members["comp"].to_numpy()
+    ids, comps = np.array([rows[i][1] for i in members]), np.array([rows[i][2] for i in members])
     out = []
-    for q, comp, s in zip(queries["id"], queries["comp"], queries["set"]):
+    for q, comp, s in ((rows[i][1], rows[i][2], sets[i]) for i in queries):
         lo, hi = np.searchsorted(keys, s, "left"), np.searchsorted(keys, s, "right")
         c = hi - lo
         pick = np.repeat(lo - np.concatenate(([0], np.cumsum(c)[:-1])), c) + np.arange(c.sum())
@@ -204,8 +205,8 @@ def _compare(group: pd.DataFrame) -> pd.DataFrame:
         near = (100 * same >= PERCENT * (size + len(s) - same)) & (comps != comp)
         # one link to each component is enough to join it
         for other in np.unique(comps[near]):
-            out.append((q, ids[near & (comps == other)].min()))
-    return pd.DataFrame(out, columns=["a", "b"]) if out else none
+            out.append((q, int(ids[near & (comps == other)].min())))
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
 
 def _family_links(open_members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -223,11 +224,11 @@ def _family_links(open_members: DataFrame, sets: DataFrame) -> DataFrame:
         m.filter("comp <> kernel").select("family", "id", "comp", own.alias("qb"), every.alias("mb"), F.lit(True).alias("query")))
     rows = checkpointed(rows)
     return (sized(rows).join(sets.select("id", "set"), "id").groupBy("family", "mb", "qb")
-            .applyInPandas(lambda g: _compare(g), "a long, b long"))
+            .applyInArrow(lambda g: _compare(g), "a long, b long"))
 
 
-def _likeness(x: pd.Series, y: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
-    return pd.Series([estimate(*t) for t in zip(x, y, n, m)], dtype="float64")
+def _likeness(x: pa.Array, y: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
+    return pa.array([estimate(*t) for t in zip(*(c.to_pylist() for c in (x, y, n, m)))], pa.float64())
 
 
 def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -242,7 +243,7 @@ def near_duplicates(docs: DataFrame, k: int = 5) -> DataFrame:
     pairs = sized(checkpointed(shared.select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()))
     # of an id with several texts, one text stands for it
     own = classes.groupBy("rep").agg(F.min(F.struct("d1", "d2", "n_shingles", "regs")).alias("c")).select("rep", "c.*")
-    likeness = F.pandas_udf(_likeness, "double")
+    likeness = F.arrow_udf(_likeness, "double")
     stars = (pairs.join(own.select(F.col("rep").alias("a"), F.col("regs").alias("ra"), F.col("n_shingles").alias("na")), "a")
              .join(own.select(F.col("rep").alias("b"), F.col("regs").alias("rb"), F.col("n_shingles").alias("nb")), "b")
              .select("a", "b", likeness("ra", "rb", "na", "nb").alias("near")).filter(F.col("near") >= ESTIMATE))
