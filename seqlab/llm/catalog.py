@@ -20,7 +20,7 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op1_lm_score": lmscore.OP1_SQL,
+    "op1_lm_score": lmscore.OP1_SQL_3,
     "op2_fixity_audit": fixity.OP2_SQL,
     "op9_chat_windows": chat.OP9_SQL,
     "op10_mix_sources": mixing.OP10_SQL,

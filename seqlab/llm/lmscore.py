@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from seqlab.llm.blocks import blocked, cuts, n_buckets, opened, pack, pack_sorted, rows_of, unpack, unpack_sorted
 from seqlab.llm.common import chain, checkpointed, in_fold, table, words
 
-ORDER = 2
+ORDER = 3
 MU = 3000.0
 HELD_MOD, HELD_FOLD = 7, 2
 PIECE = 512             # tokens of a text read in one run
@@ -288,3 +288,32 @@ SELECT doc_id, any_value(held) AS held_out, count(*) AS n_tokens, count(*) FILTE
   sum(log10((coalesce(c2, 0) + {MU} * p) / (coalesce(ch, 0) + {MU}))) AS score
 FROM s GROUP BY doc_id
 """
+
+# The same with two words of context (three-word counts smoothed by the level above).
+OP1_SQL_3 = rf"""
+WITH d AS (
+  SELECT doc_id, {crc32_sql("CAST(doc_id AS VARCHAR)")} % {HELD_MOD} = {HELD_FOLD} AS held,
+    list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[^\x20\x09-\x0D]+'), ' ') AS toks FROM documents),
+t AS (SELECT doc_id, held, w, i, CASE WHEN i = 1 THEN '  ' ELSE toks[i - 1] END AS h,
+        CASE WHEN i = 2 THEN '  ' WHEN i > 2 THEN toks[i - 2] END AS hh
+      FROM (SELECT *, unnest(toks) AS w, generate_subscripts(toks, 1) AS i FROM d)),
+uni AS (SELECT w, count(*) AS c FROM t WHERE NOT held GROUP BY w),
+bi AS (SELECT h, w, count(*) AS c FROM t WHERE NOT held GROUP BY h, w),
+tri AS (SELECT hh, h, w, count(*) AS c FROM t WHERE NOT held AND i > 1 GROUP BY hh, h, w),
+ctx AS (SELECT h, sum(c) AS c FROM bi GROUP BY h),
+ctx2 AS (SELECT hh, h, sum(c) AS c FROM tri GROUP BY hh, h),
+g AS (SELECT sum(c) AS n, count(*) AS v, count(*) FILTER (c = 1) AS n1, count(*) FILTER (c = 2) AS n2 FROM uni),
+k AS (SELECT n::DOUBLE AS n, v::DOUBLE AS v, least(0.9, greatest(0.1, n1::DOUBLE / (n1 + 2 * n2))) AS d FROM g),
+s AS (
+  SELECT t.doc_id, t.held, coalesce(uni.c, 0) AS c,
+    log10((coalesce(uni.c, 0) + 1) / (k.n + k.v + 1)) AS base,
+    CASE WHEN uni.c IS NOT NULL THEN (uni.c - k.d) / k.n ELSE k.d * k.v / k.n END AS p,
+    (coalesce(bi.c, 0) + {MU} * p) / (coalesce(ctx.c, 0) + {MU}) AS p2, tri.c AS c3, ctx2.c AS chh
+  FROM t CROSS JOIN k LEFT JOIN uni ON uni.w = t.w LEFT JOIN bi ON bi.h = t.h AND bi.w = t.w LEFT JOIN ctx ON ctx.h = t.h
+  LEFT JOIN tri ON tri.hh = t.hh AND tri.h = t.h AND tri.w = t.w LEFT JOIN ctx2 ON ctx2.hh = t.hh AND ctx2.h = t.h)
+SELECT doc_id, any_value(held) AS held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known,
+  (SELECT CAST(n AS BIGINT) FROM k) AS train_tokens, sum(base) AS base_score,
+  sum(log10((coalesce(c3, 0) + {MU} * p2) / (coalesce(chh, 0) + {MU}))) AS score
+FROM s GROUP BY doc_id
+"""

@@ -67,6 +67,14 @@ def test_lm_pieces_of_a_long_text_do_not_change_its_score():
     assert np.allclose(whole, model.score(grams.of[0], grams.at, piece=7))
 
 
+def test_lm_registered_query_reads_two_words_of_context(spark, tmp_dir):
+    cases.frame(spark).select("doc_id", "text").write.parquet(f"{tmp_dir}/documents.parquet")
+    got = by_id(lmscore.op1_lm_score(spark, tmp_dir).collect())
+    scores = lambda rows: {i: sorted(round(r["score"], 6) for r in own) for i, own in rows.items()}
+    assert scores(got) == scores(by_id(lmscore.score(cases.frame(spark), order=3).collect()))
+    assert scores(got) != scores(by_id(lmscore.score(cases.frame(spark), order=2).collect()))
+
+
 def test_lm_empty(spark):
     assert lmscore.score(cases.empty(spark)).collect() == []
 
