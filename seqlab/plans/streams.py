@@ -3,15 +3,19 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
 
+from seqlab.functions.scan import global_rank
 from seqlab.plans.docs import N_CLASSES, N_FEATURES, STREAM_ROWS
 from seqlab.session import scratch_path
 from seqlab.sources.tables import table
 from seqlab.streaming.jobs import parse_instances, start_minibatch_learner, start_word_count, stream_lines
 
+FILE_ROWS = 100_000     # instances of a file; a range of more is several files
+
 
 def _base(spark, name):
     return scratch_path(spark, f"stream-{name}-{uuid.uuid4().hex[:8]}")
@@ -28,20 +32,36 @@ def q_word_count_stream(spark, data_dir):
     return spark.read.parquet(f"{base}/out").select(F.col("batch_id").cast("int").alias("batch_id"), "word", "n")
 
 
-def q_learner_stream(spark, data_dir):
+def learner_batches(rows: int) -> int:
+    """Batches of the learner's stream: their number and their size both grow
+    with the square root of the row count."""
+    return math.ceil(math.sqrt(rows) / 8)
+
+
+def q_learner_stream(spark, data_dir, batches: int | None = None):
     """Embeddings as instance lines (64 numbers, then the class), learned by
-    the mini-batch stream learner; returns the per-batch accuracy report."""
+    the mini-batch stream learner in ordered ranges of ``vec_id``, one range a
+    micro-batch; returns every batch's accuracy and the weights after it:
+    ``batch_id, accuracy, n, class, j, w`` (``j = 64``: the bias)."""
     base = _base(spark, "learn")
     emb = table(spark, data_dir, "embeddings")
-    line = F.concat_ws(",", F.array_join(F.transform("embedding", lambda v: v.cast("string")), ","),
+    rows = emb.count()
+    batches = batches or learner_batches(rows)
+    line = F.concat_ws(",", F.array_join(F.transform("embedding", lambda v: v.cast("double").cast("string")), ","),
                        F.col("label").cast("string"))
-    emb.select(line.alias("value")).write.mode("overwrite").text(f"{base}/in")
-    inst = parse_instances(stream_lines(spark, f"{base}/in"), N_FEATURES)
+    ranked = global_rank(emb.select("vec_id", line.alias("value")), "vec_id", "value")
+    ranked = ranked.select("value", F.floor(F.col("rank") * batches / rows).alias("range"))
+    ranked.repartition("range").write.partitionBy("range").text(f"{base}/ranges")
+    files = -(-rows // max(1, batches) // FILE_ROWS) or 1
+    for k in range(batches):  # the file source takes the oldest files first, of one age by path
+        spark.read.text(f"{base}/ranges/range={k}").repartition(files).write.text(f"{base}/in/{k:09d}")
+    inst = parse_instances(stream_lines(spark, f"{base}/in/*", max_files_per_trigger=files), N_FEATURES)
     q = start_minibatch_learner(inst, f"{base}/state", f"{base}/report", f"{base}/ckpt", n_classes=N_CLASSES,
                                 n_features=N_FEATURES, trigger={"availableNow": True})
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/report").select(F.col("batch_id").cast("int").alias("batch_id"),
-                                                       "accuracy", "n")
+    report, state = spark.read.parquet(f"{base}/report"), spark.read.parquet(f"{base}/state")
+    return report.join(state, "batch_id").select(F.col("batch_id").cast("int").alias("batch_id"), "accuracy", "n",
+                                                 "class", "j", "w")
 
 
 def q_learner_stream_keyed(spark, data_dir):
@@ -80,15 +100,41 @@ def _keyed_learner_oracle() -> str:
 SELECT k AS "group", vec_id, predicted, correct FROM s WHERE i > 0"""
 
 
+# All instances as one micro-batch: scored with the starting (zero) weights,
+# whose equal votes all go to class 0.
+ONE_BATCH_SQL = """SELECT 0 AS batch_id,
+  CAST(100.0 * AVG(CASE WHEN label = 0 THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS accuracy, COUNT(*) AS n
+FROM embeddings"""
+
+
+def _learner_stream_oracle() -> str:
+    """Batch by batch: scored with the weights so far, then the summed gradient added."""
+    return f"""WITH RECURSIVE e AS (
+  SELECT CAST(embedding AS DOUBLE[]) AS x, label AS y, ROW_NUMBER() OVER (ORDER BY vec_id) - 1 AS i, COUNT(*) OVER () AS n
+  FROM embeddings),
+r AS (SELECT i * CAST(ceil(sqrt(n) / 8) AS BIGINT) // n AS k, list(x ORDER BY i) AS X, list(y ORDER BY i) AS Y FROM e GROUP BY k),
+s(k, W, acc, n) AS (
+  SELECT -1::BIGINT, list_transform(range({N_CLASSES}), lambda c: list_transform(range({N_FEATURES + 1}), lambda j: 0.0::DOUBLE)),
+         NULL::DOUBLE, NULL::BIGINT
+  UNION ALL
+  SELECT r.k,
+         list_transform(s.W, lambda w, c: list_transform(w, lambda v, j: v + list_sum(list_transform(pp.P, lambda p, i:
+           ((CASE WHEN r.Y[i] = c - 1 THEN 1.0 ELSE 0.0 END) - p[c]) * p[c] * (1.0 - p[c])
+           * CASE WHEN j > {N_FEATURES} THEN 1.0 ELSE r.X[i][j] END)))),
+         100.0 * list_avg(list_transform(pp.P, lambda p, i: CASE WHEN list_position(p, list_max(p)) - 1 = r.Y[i] THEN 1.0 ELSE 0.0 END)),
+         len(r.Y)
+  FROM s JOIN r ON r.k = s.k + 1,
+  LATERAL (SELECT list_transform(r.X, lambda x: list_transform(s.W, lambda w:
+             1.0 / (1.0 + exp(-(list_dot_product(w[1:{N_FEATURES}], x) + w[{N_FEATURES + 1}]))))) AS P) AS pp)
+SELECT CAST(k AS INTEGER) AS batch_id, acc AS accuracy, n, CAST(c AS INTEGER) AS class, CAST(j AS INTEGER) AS j, W[c + 1][j + 1] AS w
+FROM s, range({N_CLASSES}) AS cs(c), range({N_FEATURES + 1}) AS js(j) WHERE k >= 0"""
+
+
 ORACLES = {
     # One micro-batch holds every instance; each stream learns its instances
     # in vec_id order.
     "learner_stream_keyed": _keyed_learner_oracle(),
-    # One micro-batch picks up every file; it is scored with the starting
-    # (zero) weights, whose equal votes all go to class 0.
-    "learner_stream": """SELECT 0 AS batch_id,
-  CAST(100.0 * AVG(CASE WHEN label = 0 THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS accuracy, COUNT(*) AS n
-FROM embeddings""",
+    "learner_stream": _learner_stream_oracle(),
     "word_count_stream": """SELECT 0 AS batch_id, word, COUNT(*) AS n FROM (
   SELECT unnest(string_split(line, ' ')) AS word
   FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) l) w GROUP BY word""",

@@ -107,3 +107,26 @@ def test_holdout_weights_equal_numpy(spark):
     p = 1 / (1 + np.exp(-(np.array([r[2] for r in rows[40:]]) @ W.T + b)))
     expect = 100.0 * np.mean(np.argmax(p / p.sum(axis=1, keepdims=True), axis=1) == np.array([r[3] for r in rows[40:]]))
     assert abs(acc.accuracy - expect) < 1e-9 and acc.n == 20
+
+
+def test_learner_stream_scores_later_batches_with_learned_weights(spark, tmp_dir):
+    from seqlab.plans import streams
+    rng = np.random.default_rng(8)
+    X, y = rng.normal(size=(300, 64)).astype(np.float32) / 8, rng.integers(0, 10, 300)
+    spark.createDataFrame([(i, X[i].tolist(), int(y[i])) for i in rng.permutation(300).tolist()],
+                          "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_dir}/embeddings.parquet")
+    got = streams.q_learner_stream(spark, tmp_dir).collect()
+    batches = streams.learner_batches(300)
+    assert batches > 2 and len(got) == batches * 10 * 65
+    W = np.zeros((10, 65))
+    Z = np.hstack([X.astype(float), np.ones((300, 1))])
+    for k in range(batches):
+        own = np.arange(300) * batches // 300 == k
+        p = 1 / (1 + np.exp(-(Z[own] @ W.T)))
+        right = 100.0 * np.mean(np.argmax(p, axis=1) == y[own])
+        W = W + ((np.eye(10)[y[own]] - p) * p * (1 - p)).T @ Z[own]
+        rows = [r for r in got if r["batch_id"] == k]
+        assert {(round(r["accuracy"], 9), r["n"]) for r in rows} == {(round(right, 9), int(own.sum()))}
+        assert all(abs(r["w"] - W[r["class"], r["j"]]) < 1e-6 for r in rows)
+    one = {(r["batch_id"], r["accuracy"], r["n"]) for r in streams.q_learner_stream(spark, tmp_dir, batches=1).collect()}
+    assert one == {(0, 100.0 * float(np.mean(y == 0)), 300)}     # ONE_BATCH_SQL
