@@ -19,6 +19,7 @@ and an empty table give no rows; repeated rows and null ids are counted each.
 from __future__ import annotations
 
 import base64
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqlab.llm.common import checkpointed, slices, table
+from seqlab.llm.common import checkpointed, shuffle_partitions, slices, small_batches, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # fixed value: how the vocabulary's public tokenizer splits a text before merging
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEPARATOR = 50256
 BLOCK_TOKENS = 1 << 16
+SPAN_BLOCKS = 4096      # blocks whose summaries one task scans
+TASK_BYTES = 128 << 20  # of flat files read by one task
 
 
 def encoder(path: str):
@@ -80,14 +83,38 @@ def write_flat(docs: DataFrame, vocabulary: str = VOCABULARY, block_tokens: int
             manifest.select("file", (F.col("first") + F.col("at")).alias("ordinal"), "doc_id"))
 
 
-def flat_files(spark, path: str, block_bytes: int = 2 * BLOCK_TOKENS) -> DataFrame:
+def flat_files(spark, path: str, block_bytes: int = 2 * BLOCK_TOKENS, opener=None) -> DataFrame:
     """Blocks (file, block, data) of existing flat files in a folder; the path of a
-    file is its key."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
-    n = F.ceil(F.length("content") / block_bytes).cast("int")
-    return files.filter(F.length("content") > 0).select("file", "content", F.explode(F.sequence(F.lit(0), n - 1)).alias("b")).select(
-        "file", F.col("b").cast("long").alias("block"),
-        F.substring("content", F.col("b") * block_bytes + 1, F.lit(block_bytes)).alias("data"))
+    file is its key. Only names and lengths are listed; a task seeks to the byte
+    ranges it was dealt, so a file of any length is read by many tasks.
+
+    ``opener(path)`` gives a file object with ``seek`` and ``read``; files of the
+    scheme ``file`` (every executor has the folder mounted) need none. In another
+    store without an opener, Spark reads each file whole, which fails beyond 2 GiB."""
+    small_batches(spark)
+    listed = spark.read.format("binaryFile").load(path).filter("length > 0")
+    first = listed.select("path").first()
+    ranges = listed.select(F.col("path").alias("file"), F.explode(F.sequence(
+        F.lit(0).cast("long"), F.floor((F.col("length") - 1) / block_bytes))).alias("block"))
+    if opener is None and first and urlsplit(first["path"]).scheme not in ("", "file"):
+        whole = listed.select(F.col("path").alias("file"), "content").join(ranges, "file")
+        return whole.select("file", "block", F.expr(f"substring(content, cast(block * {block_bytes} + 1 as int), {block_bytes})").alias("data"))
+    n = ranges.count() * block_bytes // TASK_BYTES
+
+    def read(batches):
+        for batch in batches:
+            for file, block in zip(batch.column("file").to_pylist(), batch.column("block").to_pylist()):
+                with (opener or _local)(file) as f:
+                    f.seek(block * block_bytes)
+                    data = f.read(block_bytes)
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([block], pa.int64()), pa.array([data], pa.binary())],
+                                                 ["file", "block", "data"])
+
+    return ranges.repartition(max(n, shuffle_partitions(spark))).mapInArrow(read, "file string, block long, data binary")
+
+
+def _local(path: str):
+    return open(unquote(urlsplit(path).path) if path.startswith("file:") else path, "rb")
 
 
 def scan(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
@@ -108,19 +135,32 @@ def scan(blocks: DataFrame, separator: int = SEPARATOR) -> DataFrame:
                 ["file", "block", "size", "seps"])
 
     found = checkpointed(blocks.mapInArrow(find, f"file {kind}, block long, size long, seps array<long>"))
-    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    # the scan's state: tokens and separators so far, and the place after the last separator
-    state = found.withColumn("base", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
-    state = (state.withColumn("n", F.size("seps"))
-             .withColumn("after", F.when(F.col("n") > 0, F.col("base") + F.element_at("seps", -1) + 1))
-             .withColumn("ordinal", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
-             .withColumn("open", F.coalesce(F.max("after").over(earlier), F.lit(0))))
-    closed = state.select("file", "ordinal", "base", "open", "seps", F.posexplode("seps").alias("i", "at"))
+    # The scan's state is tokens and separators so far and the place after the last
+    # separator. It runs over summaries without the separators: inside spans of
+    # blocks, then over a row per span, so no task holds a file.
+    blocks_ = found.select("file", "block", "size", F.size("seps").alias("n"), F.try_element_at("seps", F.lit(-1)).alias("last"),
+                           F.floor(F.col("block") / SPAN_BLOCKS).alias("span"))
+    inside = Window.partitionBy("file", "span").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    own = blocks_.withColumn("base", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    own = (own.withColumn("after", F.col("base") + F.col("last") + 1)
+           .withColumn("ordinal", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+           .withColumn("open", F.max("after").over(inside)))
+    spans = own.groupBy("file", "span").agg(F.sum("size").alias("size"), F.sum("n").alias("n"), F.max("after").alias("after"))
+    earlier = Window.partitionBy("file").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = checkpointed(spans.withColumn("base0", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
+                         .withColumn("after", F.col("base0") + F.col("after"))
+                         .withColumn("ordinal0", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+                         .withColumn("open0", F.coalesce(F.max("after").over(earlier), F.lit(0))))
+    state = own.join(spans.select("file", "span", "base0", "ordinal0", "open0"), ["file", "span"]).select(
+        "file", "block", (F.col("base0") + F.col("base")).alias("base"), (F.col("ordinal0") + F.col("ordinal")).alias("ordinal"),
+        F.coalesce(F.col("base0") + F.col("open"), "open0").alias("open"))
+    closed = found.filter(F.size("seps") > 0).select("file", "block", "seps").join(state, ["file", "block"])
+    closed = closed.select("file", "ordinal", "base", "open", "seps", F.posexplode("seps").alias("i", "at"))
     before = F.when(F.col("i") == 0, F.col("open")).otherwise(F.col("base") + F.get("seps", F.col("i") - 1) + 1)
     closed = closed.select("file", (F.col("ordinal") + F.col("i")).alias("ordinal"),
                            (F.col("base") + F.col("at") - before).alias("n_tokens"), F.lit(True).alias("closed"))
-    ends = found.withColumn("n", F.size("seps")).join(state.select("file", "block", "base", "after"), ["file", "block"]).groupBy("file").agg(
-        F.sum("n").alias("ordinal"), (F.max(F.col("base") + F.col("size")) - F.coalesce(F.max("after"), F.lit(0))).alias("n_tokens"))
+    ends = spans.groupBy("file").agg(F.sum("n").alias("ordinal"),
+                                     (F.sum("size") - F.coalesce(F.max("after"), F.lit(0))).alias("n_tokens"))
     return closed.union(ends.filter("n_tokens > 0").select("file", "ordinal", "n_tokens", F.lit(False)))
 
 

@@ -186,6 +186,19 @@ def test_token_scan_of_flat_files_on_disk(spark, tmp_dir):
             ("a.bin", 0, 2, True), ("a.bin", 1, 0, True), ("a.bin", 2, 3, True), ("a.bin", 3, 2, False), ("b.bin", 0, 0, True)]
 
 
+def test_token_scan_of_one_long_file(spark, tmp_dir, monkeypatch):
+    e, n = tokencount.SEPARATOR, (1 << 30) + 5                          # 2 GiB and 10 bytes, nearly all a hole
+    at = [0, 7, 70_000_000, 70_000_001, 900_000_000, n - 2]
+    with open(f"{tmp_dir}/long file.bin", "wb") as f:
+        f.truncate(2 * n)
+        for i in at:
+            f.seek(2 * i)
+            f.write(np.array([e], np.uint16).tobytes())
+    monkeypatch.setattr(tokencount, "SPAN_BLOCKS", 3)                   # states pass between spans
+    got = sorted(tuple(r)[1:] for r in tokencount.scan(tokencount.flat_files(spark, tmp_dir, 1 << 24)).collect())
+    assert got == [(k, b - a - 1, True) for k, (a, b) in enumerate(zip([-1, *at], at))] + [(6, 1, False)]
+
+
 def test_token_counts_empty(spark):
     blocks, _ = tokencount.write_flat(cases.empty(spark))
     assert tokencount.scan(blocks).collect() == []
