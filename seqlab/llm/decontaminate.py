@@ -14,9 +14,9 @@ are broadcast (about 20 MB at most), and each further block is another map over
 the documents, so any size of benchmark works and no pairs are made.
 
 Defined cases: words are split at ASCII white space, A-Z lowered; null and empty
-texts (documents or items) match nothing; an item of 5 to 12 words matches only
-as a whole and exactly, one with fewer than 5 words never; equal items are each
-reported; repeated documents each give their rows; null ids are passed on.
+texts (documents or items) match nothing; an item of 5 to 12 words is one window of
+its own length, with masks for the misses that ``LIKENESS`` allows at that length;
+one with fewer than 5 words never matches; equal items are each reported; repeated documents each give their rows; null ids are passed on.
 """
 
 from __future__ import annotations
@@ -44,6 +44,11 @@ def masks(span: int = SPAN, misses: int = MISSES) -> list[tuple[int, ...]]:
     return [tuple(int(i) for b in keep for i in b) for keep in combinations(blocks, 3)]
 
 
+def needed(width: int) -> int:
+    """Words of a window that must agree."""
+    return -(-int(round(LIKENESS * 100)) * width // 100)
+
+
 def _seeds(h: np.ndarray, mask: tuple[int, ...], n: int) -> np.ndarray:
     """Hash of the masked words at each of the first n positions."""
     s = np.full(n, np.uint64(len(mask)), np.uint64)
@@ -62,7 +67,7 @@ class Index:
         n = np.diff(self.at)
         self.span = span
         self.masks = [(m, span) for m in masks(span)]
-        self.masks += [(tuple(range(k)), k) for k in sorted({int(k) for k in n if LEAST_WORDS <= k < span})]
+        self.masks += [(m, k) for k in sorted({int(k) for k in n if LEAST_WORDS <= k < span}) for m in masks(k, k - needed(k))]
         self.tables = []
         for mask, width in self.masks:
             use = n >= span if width == span else n == width
@@ -73,8 +78,8 @@ class Index:
             if len(s):
                 ok = use[item] & (off <= n[item] - width)
             order = np.argsort(s[ok], kind="stable")
-            bits = np.zeros(1 << 20, bool)
-            bits[(s[ok] & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+            bits = np.zeros(1 << (20 if width == span else 17), bool)
+            bits[(s[ok] & np.uint64(len(bits) - 1)).astype(np.int64)] = True
             self.tables.append((s[ok][order], item[ok][order], off[ok][order], bits))
 
     def hits(self, h: np.ndarray, at: np.ndarray) -> set[tuple[int, int, int]]:
@@ -85,7 +90,7 @@ class Index:
             if n <= 0 or not len(key):
                 continue
             s = _seeds(h, mask, n)
-            pos = np.flatnonzero(bits[(s & np.uint64((1 << 20) - 1)).astype(np.int64)])
+            pos = np.flatnonzero(bits[(s & np.uint64(len(bits) - 1)).astype(np.int64)])
             lo, hi = np.searchsorted(key, s[pos], "left"), np.searchsorted(key, s[pos], "right")
             pos, lo, hi = pos[hi > lo], lo[hi > lo], hi[hi > lo]
             row = np.searchsorted(at, pos, "right") - 1
@@ -105,7 +110,7 @@ class Index:
             first, end = max(0, shift), min(len(a), shift + len(b))
             same = a[first:end] == b[first - shift:end - shift]
             width = min(self.span, len(b))
-            need = width if len(b) < self.span else -(-int(round(LIKENESS * 100)) * width // 100)
+            need = needed(width)
             c = np.concatenate(([0], np.cumsum(same)))
             good = np.flatnonzero(c[width:] - c[:-width] >= need) if len(same) >= width else ()
             if len(good):

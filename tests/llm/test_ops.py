@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -241,6 +242,20 @@ def test_contaminated_documents_are_found_and_clean_ones_left(spark):
     assert got[2, 100]["n_equal"] == 11
 
 
+def test_short_items_allow_the_substitutions_of_their_length(spark):
+    docs, items, want = [], [], set()
+    for k in range(decontaminate.LEAST_WORDS, decontaminate.SPAN):
+        item = [f"q{k}w{i}" for i in range(k)]
+        items.append((k, " ".join(item)))
+        for gone in itertools.combinations(range(k), k - math.ceil(0.8 * k)):
+            want.add((len(docs), k))
+            docs.append(" ".join(["pre", *(f"{w}," if i in gone else w for i, w in enumerate(item)), "post"]))
+        docs.append(" ".join(["pre", *(f"{w}," if i <= k - math.ceil(0.8 * k) else w for i, w in enumerate(item)), "post"]))
+    got, left = overlapping(spark, [(i, t, "s", "t") for i, t in enumerate(docs)], items)
+    assert set(got) == want and left == set(range(len(docs))) - {d for d, _ in want}
+    assert all((r["n_words"], r["n_equal"]) == (k, math.ceil(0.8 * k)) for (_, k), r in got.items())
+
+
 def test_benchmark_in_several_blocks_gives_the_same(spark, monkeypatch):
     rng = np.random.default_rng(2)
     items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 500, 20))) for i in range(40)]
