@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from seqlab.llm import (
-    chat, decontaminate, fingerprint, fixity, langid, lmscore, mixing, neardup, passages, tokencount, veccodes,
+    chat, decontaminate, fingerprint, fixity, langid, lmscore, mixing, neardup, passages, reshard, tokencount, veccodes,
 )
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_chat_windows": chat.op9_chat_windows,
     "op10_mix_sources": mixing.op10_mix_sources,
+    "op11_reshard": reshard.op11_reshard,
     "op13_vector_codes": veccodes.op13_vector_codes,
 }
 
@@ -25,5 +26,6 @@ ORACLES = {
     "op2_fixity_audit": fixity.OP2_SQL,
     "op9_chat_windows": chat.OP9_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
+    "op11_reshard": reshard.OP11_SQL,
     "op13_vector_codes": veccodes.OP13_SQL,
 }
