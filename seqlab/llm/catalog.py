@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from seqlab.llm import (
-    chat, decontaminate, fingerprint, fixity, langid, lmscore, mixing, neardup, passages, reshard, tokencount, veccodes,
+    chat, collocations, decontaminate, fingerprint, fixity, langid, lmscore, mixing, neardup, passages, reshard, tokencount, veccodes,
 )
 
 QUERIES = {
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_chat_windows": chat.op9_chat_windows,
     "op10_mix_sources": mixing.op10_mix_sources,
     "op11_reshard": reshard.op11_reshard,
+    "op12_collocations": collocations.op12_collocations,
     "op13_vector_codes": veccodes.op13_vector_codes,
 }
 
@@ -27,5 +28,6 @@ ORACLES = {
     "op9_chat_windows": chat.OP9_SQL,
     "op10_mix_sources": mixing.OP10_SQL,
     "op11_reshard": reshard.OP11_SQL,
+    "op12_collocations": collocations.OP12_SQL,
     "op13_vector_codes": veccodes.OP13_SQL,
 }
