@@ -203,7 +203,7 @@ def next_hot(numbers: DataFrame, hot: list[np.ndarray], least: int) -> list[tupl
         for row in rows_of(batches):
             w = suffixes(row, d + 1)
             *_, place = hot_places(w, hot)
-            on = (place >= 0) & (w[:, d] > 0)
+            on = (place >= 0) & (_place(hot[0], w[:, d]) >= 0)      # a hot prefix has hot words only
             code, count = np.unique((place[on] << SHIFT) + w[on, d], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(code, pa.int64()), pa.array(count, pa.int64())], ["code", "c"])
 
