@@ -6,6 +6,7 @@ from pyspark import StorageLevel
 from pyspark.ml.classification import (DecisionTreeClassificationModel, DecisionTreeClassifier, GBTClassifier,
                                        LogisticRegression, LogisticRegressionModel, OneVsRest, OneVsRestModel,
                                        RandomForestClassificationModel, RandomForestClassifier)
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +86,17 @@ def evaluate(model, test: DataFrame, label_col: str = "label", forest_vote: str
     return pred.agg(error_rate(label_col).alias("e")).first()["e"]
 
 
+def loss_gradient(scored: DataFrame) -> DataFrame:
+    """``k, j, g, scale``: the gradient of the mean multinomial log-loss by class and feature,
+    mean((p_k - [label = k]) * x_j), and the feature's mean size, at the weights that gave
+    ``probability``. One aggregation over (row, class)."""
+    rows = scored.select(F.col("label").cast("int").alias("y"), vector_to_array("features").alias("x"),
+                         F.posexplode(vector_to_array("probability")).alias("k", "p"))
+    off = F.col("p") - (F.col("y") == F.col("k")).cast("double")
+    per = rows.select("k", F.posexplode(F.transform("x", lambda v: F.struct((off * v).alias("g"), F.abs(v).alias("s")))).alias("j", "e"))
+    return per.groupBy("k", "j").agg(F.avg("e.g").alias("g"), F.greatest(F.avg("e.s"), F.lit(1e-12)).alias("scale"))
+
+
 def metrics_row(spark: SparkSession, *, algorithm: str, dataset: str, n_classes: int, test_error: float | None,
                 n_train: int, n_test: int, n_trees: int | None = None, model_summary: str = "") -> DataFrame:
     """One report row (dataset name, class count, tree count, error, model

@@ -1,10 +1,11 @@
-"""Saved tree models as rule tables, and scoring a DataFrame with rules.
+"""Tree models as node tables, rule tables, nested documents and expressions.
 
 A saved tree (``<model>/data`` Parquet) is a node table: ``id, prediction,
 leftChild, rightChild, split{featureIndex, leftCategoriesOrThreshold,
-numCategories}`` (a forest adds ``treeID`` around ``nodeData``). A rule is the
-list of conditions on the path from the root to one leaf, built with a
-recursive CTE over the node table; nothing is parsed from model text.
+numCategories}`` (a forest adds ``treeID`` around ``nodeData``). The printed
+form of a model gives the same table (``text_nodes``). A rule is the list of
+conditions on the path from the root to one leaf, built with a recursive CTE
+over the node table; rules become one SQL expression a tree (``rule_expression``).
 
 Condition codes (fixed values of the rule text format): ``>=`` 0, ``<=`` 1,
 ``>`` 2, ``<`` 3, ``in`` 4, ``not in`` 5. Continuous splits send
@@ -16,11 +17,12 @@ from __future__ import annotations
 
 import uuid
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seqlab.operators.models import majority_vote
+from seqlab.session import materialize
+
 # Operator codes and texts of the rule format.
 OP_CODES = {">=": 0, "<=": 1, ">": 2, "<": 3, "in": 4, "not in": 5}
 OP_TEXT = {v: k for k, v in OP_CODES.items()}
@@ -44,6 +46,66 @@ def tree_nodes(spark: SparkSession, model_path: str) -> DataFrame:
         F.col("split.numCategories").cast("int").alias("num_categories"))
 
 
+NODE_LINE = r"^(If|Else|Predict)\b"
+
+
+def text_nodes(lines: DataFrame) -> DataFrame:
+    """Node table (as ``tree_nodes``, without internal predictions) of printed models.
+
+    ``lines`` has ``file_path, block, pos, line`` (``read_lines_ordered``), a model a file.
+    A line ``If (...)`` is a node, the line after it its left child, the line after
+    the matching ``Else`` (the last earlier ``If`` of the same indent is its node) its
+    right one; ``Predict`` lines are leaves. Lines stand in the order of the node ids.
+    ``num_categories`` is 0 for a categorical split, since the text does not name it.
+    All steps are windows and joins over the lines of a tree; forests part by tree.
+    """
+    in_file = Window.partitionBy("file_path").orderBy("block", "pos")
+    body = F.ltrim("line")
+    all_lines = lines.select("file_path", "block", "pos", body.alias("body"), (F.length("line") - F.length(body)).alias("indent"),
+                             F.greatest(F.lit(1), F.sum(body.rlike(r"^Tree \d+").cast("int")).over(in_file)).cast("int").alias("tree"))
+    in_tree = Window.partitionBy("file_path", "tree").orderBy("block", "pos")
+    rows = (all_lines.where(body_kind(F.col("body")) != "").withColumn("kind", body_kind(F.col("body")))
+            .withColumn("n", F.row_number().over(in_tree)))
+    same_indent = Window.partitionBy("file_path", "tree", "indent").orderBy("n")
+    owner = F.when(F.col("kind") != "Predict", F.last(F.when(F.col("kind") == "If", F.col("n")), ignorenulls=True).over(same_indent))
+    by_n = Window.partitionBy("file_path", "tree").orderBy("n")
+    rows = (rows.withColumn("owner", owner)
+            .select("*", F.lag("owner").over(by_n).alias("parent"), F.lag("kind").over(by_n).alias("side"))
+            .where("kind <> 'Else'").withColumn("id", F.row_number().over(by_n) - 1))
+    children = (rows.where("parent IS NOT NULL").groupBy("file_path", "tree", F.col("parent").alias("n"))
+                .agg(F.max(F.when(F.col("side") == "If", F.col("id"))).alias("left"),
+                     F.max(F.when(F.col("side") == "Else", F.col("id"))).alias("right")))
+    cond = F.regexp_extract("body", r"feature (\d+) (<=|in) \{?([^{}]*?)\}?\)$", 2)
+    part = lambda i: F.regexp_extract("body", r"feature (\d+) (<=|in) \{?([^{}]*?)\}?\)$", i)
+    inner = F.col("kind") == "If"
+    return rows.join(children, ["file_path", "tree", "n"], "left").select(
+        "file_path", "tree", F.col("id").cast("int").alias("id"),
+        F.when(~inner, F.regexp_extract("body", r"Predict: (.*)$", 1).cast("double")).alias("prediction"),
+        F.coalesce("left", F.lit(-1)).cast("int").alias("left"), F.coalesce("right", F.lit(-1)).cast("int").alias("right"),
+        F.when(inner, part(1).cast("int")).otherwise(-1).alias("feature"),
+        F.when(inner, F.filter(F.split(part(3), ","), lambda v: v != "").cast("array<double>")).otherwise(F.array().cast("array<double>")).alias("values"),
+        F.when(inner & (cond == "in"), 0).otherwise(-1).alias("num_categories"))
+
+
+def body_kind(body: Column) -> Column:
+    """``If``, ``Else`` or ``Predict`` of a node line, else empty."""
+    return F.regexp_extract(body, NODE_LINE, 1)
+
+
+def node_differences(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("tree",)) -> DataFrame:
+    """Per tree the number of nodes that one table lacks or that differ: children, feature,
+    kind of split, threshold or categories (in any order), prediction of leaves."""
+    def told(df):
+        leaf = F.col("left") < 0
+        return df.select(*keys, "id", F.struct(
+            "left", "right", F.when(~leaf, F.col("feature")).alias("feature"),
+            F.when(~leaf, F.col("num_categories") >= 0).alias("categorical"),
+            F.when(~leaf, F.array_sort("values")).alias("values"), F.when(leaf, F.col("prediction")).alias("prediction")).alias("node"))
+    on = [*keys, "id"]
+    both = told(a).join(told(b).withColumnRenamed("node", "other"), on, "full_outer")
+    return both.groupBy(*keys).agg(F.sum((~F.col("node").eqNullSafe(F.col("other"))).cast("long")).alias("differences"))
+
+
 _COND = "struct<feature:int,op:int,vals:array<double>>"
 
 
@@ -109,124 +171,169 @@ def rule_text(rules: DataFrame) -> DataFrame:
     return rules.select("*", F.array_join(parts, " -> ").alias("text"))
 
 
-def _collect_rules(rules: DataFrame, max_rules: int) -> list[dict]:
-    """The rule table on the driver: it is a model, bounded by ``max_rules``
-    (checked with one bounded read, the table is evaluated once)."""
-    rows = rules.select("tree", "conds", "prediction").limit(max_rules + 1).collect()
-    if len(rows) > max_rules:
-        raise ValueError(f"more than {max_rules} rules")
-    return [r.asDict(recursive=True) for r in rows]
-
-
-def _flatten(rules: list[dict]) -> dict[str, list]:
-    """Rebuild one tree's node arrays from its root-to-leaf rules: at every
-    node the rules sharing the next condition go left, the rest (its
-    complement) go right. Node 0 is the root."""
-    nodes = {"feature": [], "op": [], "vals": [], "left": [], "right": [], "pred": []}
-
-    def add(rs: list[dict], depth: int) -> int:
-        i = len(nodes["feature"])
-        for k in nodes:
-            nodes[k].append(None)
-        if len(rs) == 1 and len(rs[0]["conds"]) <= depth:
-            nodes["pred"][i] = float(rs[0]["prediction"])
-            nodes["left"][i] = nodes["right"][i] = -1
-            return i
-        pivot = rs[0]["conds"][depth]
-        left = [r for r in rs if r["conds"][depth] == pivot]
-        right = [r for r in rs if r["conds"][depth] != pivot]
-        if not right:  # a condition every rule here shares: skip it
-            nodes["feature"].pop(), nodes["op"].pop(), nodes["vals"].pop()
-            nodes["left"].pop(), nodes["right"].pop(), nodes["pred"].pop()
-            return add(left, depth + 1)
-        nodes["feature"][i], nodes["op"][i] = int(pivot["feature"]), int(pivot["op"])
-        nodes["vals"][i] = [float(v) for v in pivot["vals"]]
-        nodes["left"][i] = add(left, depth + 1)
-        nodes["right"][i] = add(right, depth + 1)
-        return i
-
-    add(rules, 0)
-    return nodes
-
-
-def _tree_arrays(rules: list[dict]) -> dict[str, np.ndarray]:
-    """Numpy node arrays of one tree (model-sized); category sets become a
-    membership matrix over the (small, integral) category codes."""
-    n = _flatten(rules)
-    size = len(n["feature"])
-    codes = [int(v) for vs in n["vals"] if vs for v in vs if float(v).is_integer() and v >= 0]
-    width = (max(codes) + 1) if codes else 1
-    member = np.zeros((size, width), dtype=bool)
-    thr = np.zeros(size)
-    for i, (op, vs) in enumerate(zip(n["op"], n["vals"])):
-        if op in (OP_CODES["in"], OP_CODES["not in"]):
-            for v in vs:
-                if float(v).is_integer() and v >= 0:
-                    member[i, int(v)] = True
-        elif vs:
-            thr[i] = vs[0]
-    return {"feature": np.array([f or 0 for f in n["feature"]]), "op": np.array([-1 if o is None else o for o in n["op"]]),
-            "thr": thr, "member": member, "left": np.array(n["left"]), "right": np.array(n["right"]),
-            "pred": np.array([np.nan if p is None else p for p in n["pred"]]),
-            "depth": max(len(r["conds"]) for r in rules) + 1}
-
-
-def _walk(t: dict[str, np.ndarray], X: np.ndarray) -> np.ndarray:
-    """Leaf prediction of every row of ``X``: all rows step down together."""
-    rows = np.arange(len(X))
-    node = np.zeros(len(X), dtype=np.int64)
-    for _ in range(t["depth"]):
-        leaf = t["left"][node] < 0
-        if leaf.all():
-            break
-        v = X[rows, t["feature"][node]]
-        op = t["op"][node]
-        th = t["thr"][node]
-        iv = np.where(np.isfinite(v) & (v >= 0) & (v == np.floor(v)), v, -1).astype(np.int64)
-        inside = (iv >= 0) & (iv < t["member"].shape[1])
-        mem = np.zeros(len(X), dtype=bool)
-        mem[inside] = t["member"][node[inside], iv[inside]]
-        go_left = np.select([op == 0, op == 1, op == 2, op == 3, op == 4], [v >= th, v <= th, v > th, v < th, mem], ~mem)
-        node = np.where(leaf, node, np.where(go_left, t["left"][node], t["right"][node]))
-    return t["pred"][node]
-
-
-def majority(P: np.ndarray) -> np.ndarray:
-    """Most frequent value per row of ``P`` (rows x trees); ties to the smaller."""
-    counts = (P[:, :, None] == P[:, None, :]).sum(axis=2)
-    span = np.nanmax(np.abs(P)) + 1 if P.size else 1
-    best = np.argmax(counts * (4 * span) - P, axis=1)
-    return P[np.arange(len(P)), best]
-
-
-def score_rules(df: DataFrame, rules: DataFrame, features: str = "x", max_rules: int = 100_000) -> DataFrame:
+# A condition and its complement; the expression tests the first one.
+_COMPLEMENT = {">": "<=", "not in": "in", ">=": "<"}
+
+
+def _condition_sql(features: str, cond) -> tuple[str, bool]:
+    """SQL of a condition (or of its complement) and whether it is the condition itself."""
+    op = OP_TEXT[cond["op"]]
+    base = _COMPLEMENT.get(op, op)
+    x = f"{features}[{int(cond['feature'])}]"
+    vals = [f"{float(v)!r}D" for v in cond["vals"]]
+    if base == "in":
+        sql = f"{x} IN ({', '.join(vals)})" if vals else "false"
+    else:
+        sql = f"{x} {base} {vals[0]}"
+    return sql, base == op
+
+
+def rule_expression(rules: list, features: str = "x", depth: int = 0) -> str:
+    """SQL expression (nested CASE) of one tree's rules over the array column ``features``.
+
+    At every level the rules that share the first one's condition form one branch, the rest
+    its complement. A missing or NaN value takes the branch of the unmet condition."""
+    if len(rules) == 1 and len(rules[0]["conds"]) <= depth:
+        return f"{float(rules[0]['prediction'])!r}D"
+    pivot = rules[0]["conds"][depth]
+    told = (pivot["op"], pivot["feature"], tuple(pivot["vals"]))
+    same = [r for r in rules if (r["conds"][depth]["op"], r["conds"][depth]["feature"], tuple(r["conds"][depth]["vals"])) == told]
+    other = [r for r in rules if not any(r is s for s in same)] if len(same) < len(rules) else []
+    if not other:  # a condition every rule here shares
+        return rule_expression(same, features, depth + 1)
+    sql, direct = _condition_sql(features, pivot)
+    yes, no = (same, other) if direct else (other, same)
+    return (f"CASE WHEN {sql} THEN {rule_expression(yes, features, depth + 1)} "
+            f"ELSE {rule_expression(no, features, depth + 1)} END")
+
+
+def tree_expressions(rules: DataFrame, features: str = "x") -> list[str]:
+    """One SQL expression a tree, in the order of the trees. Rules are a model: as many as
+    the trees have leaves, whatever the number of rows they score."""
+    by_tree: dict[int, list] = {}
+    for r in rules.select("tree", "conds", "prediction").toLocalIterator():
+        by_tree.setdefault(r["tree"], []).append(r)
+    return [rule_expression(rs, features) for _, rs in sorted(by_tree.items())]
+
+
+def score_rules(df: DataFrame, rules: DataFrame, features: str = "x") -> DataFrame:
     """Prediction of every row by a rule table: per tree the rule whose
     conditions hold, then the majority of the trees (ties to the smaller
     class). ``features`` is an ``array<double>`` column.
 
-    The rule table (a model: its size is checked) is turned into per-tree
-    node arrays; a vectorised Arrow UDF walks every batch of rows down all
-    trees at once (at most ``depth`` numpy steps per tree). Rows are scored
-    where they are: no join, no shuffle.
+    Every tree is one SQL expression, so rows are scored in the JVM where they
+    are: no join, no shuffle, no Python worker.
     """
-    by_tree: dict[int, list[dict]] = {}
-    for r in _collect_rules(rules, max_rules):
-        by_tree.setdefault(r["tree"], []).append(r)
-    trees = [_tree_arrays(rs) for _, rs in sorted(by_tree.items())]
-
-    @F.pandas_udf("double")
-    def vote(xs: pd.Series) -> pd.Series:
-        if len(xs) == 0:
-            return pd.Series([], dtype=float)
-        X = np.stack([np.asarray(v, dtype=float) for v in xs])
-        P = np.stack([_walk(t, X) for t in trees], axis=1)
-        return pd.Series(majority(P))
-
-    return df.select("*", F.lit(len(trees)).alias("n_trees"), vote(F.col(features)).alias("prediction"))
+    trees = tree_expressions(rules, features)
+    names = [f"__tree{i}" for i in range(len(trees))]
+    voted = df.select("*", *[F.expr(t).alias(n) for t, n in zip(trees, names)])
+    return voted.select(*[F.col(f"`{c}`") for c in df.columns], F.lit(len(trees)).alias("n_trees"),
+                        majority_vote([F.col(n) for n in names]).alias("prediction"))
+
+
+def rules_met(df: DataFrame, rules: DataFrame, features: str = "x") -> DataFrame:
+    """Every row with every tree: ``tree, n_met`` (rules whose conditions all hold) and the
+    prediction of the first one. The rules of a tree travel as one array, a broadcast model."""
+    def holds(c):
+        x = F.element_at(F.col(features), c["feature"] + 1)
+        t = F.element_at(c["vals"], 1)
+        return (F.when(c["op"] == OP_CODES[">="], x >= t).when(c["op"] == OP_CODES["<="], x <= t).when(c["op"] == OP_CODES[">"], x > t)
+                .when(c["op"] == OP_CODES["<"], x < t).when(c["op"] == OP_CODES["in"], F.array_contains(c["vals"], x))
+                .otherwise(~F.array_contains(c["vals"], x)))
+
+    trees = rules.groupBy("tree").agg(F.collect_list(F.struct("conds", "prediction")).alias("__rules"))
+    model = trees.agg(F.collect_list(F.struct("tree", "__rules")).alias("__trees")).withColumn("__one", F.lit(1))
+    rows = df.withColumn("__one", F.lit(1)).join(F.broadcast(model), "__one")
+    rows = rows.select("*", F.explode("__trees").alias("__t"))
+    rows = rows.withColumn("__met", F.filter("__t.__rules", lambda r: F.forall(r["conds"], holds)))
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], F.col("__t.tree").alias("tree"), F.size("__met").alias("n_met"),
+                       F.get("__met", F.lit(0))["prediction"].alias("prediction"))
+
+
+# ---------------------------------------------------------------- nested documents
+
+def node_condition(left: bool) -> Column:
+    """Text of the branch of a node: ``feature 0 <= 0.5``, ``feature 6 not in {1.0,2.0}``."""
+    categories = F.concat(F.lit("{"), F.array_join(F.col("values").cast("array<string>"), ","), F.lit("}"))
+    split = F.when(F.col("num_categories") >= 0, F.concat(F.lit("in " if left else "not in "), categories)).otherwise(
+        F.concat(F.lit("<= " if left else "> "), F.element_at("values", 1).cast("string")))
+    return F.concat(F.lit("feature "), F.col("feature").cast("string"), F.lit(" "), split)
+
+
+def _with_depth(nodes: DataFrame) -> DataFrame:
+    tag = uuid.uuid4().hex[:8]
+    nodes.createOrReplaceTempView(f"depth_nodes_{tag}")
+    return nodes.sparkSession.sql(f"""
+        WITH RECURSIVE at(tree, id, depth) AS (
+          SELECT tree, id, 0 FROM depth_nodes_{tag} WHERE id = 0
+          UNION ALL
+          SELECT n.tree, c.id, a.depth + 1 FROM at a
+          JOIN depth_nodes_{tag} n ON n.tree = a.tree AND n.id = a.id AND n.left >= 0
+          JOIN depth_nodes_{tag} c ON c.tree = n.tree AND (c.id = n.left OR c.id = n.right))
+        SELECT n.*, a.depth FROM depth_nodes_{tag} n JOIN at a ON a.tree = n.tree AND a.id = n.id""")
+
+
+def tree_documents(nodes: DataFrame) -> DataFrame:
+    """One nested JSON document a tree, ``{"name": "Root", "children": [...]}``: a node's two
+    branches are objects with the branch's condition and its children, a leaf is
+    ``{"name": "Predict: 1.0"}``. Documents are folded level by level from the deepest
+    one, one join a level; whole trees meet in one row only at the root."""
+    nodes = materialize(_with_depth(nodes))
+    deepest = nodes.agg(F.max("depth")).first()[0]
+    leaf = F.to_json(F.array(F.struct(F.concat(F.lit("Predict: "), F.col("prediction").cast("string")).alias("name"))))
+    below = None
+    for depth in range(deepest if deepest is not None else -1, -1, -1):
+        own = nodes.where(F.col("depth") == depth)
+        done = own.where("left < 0").select("tree", "id", leaf.alias("doc"))
+        if below is not None:
+            def child(side):
+                return below.select("tree", F.col("id").alias(side), F.col("doc").alias(f"{side}_doc"))
+
+            def branch(side):
+                name = F.to_json(F.struct(node_condition(side == "left").alias("name")))
+                return F.concat(F.substring(name, F.lit(1), F.length(name) - 1), F.lit(',"children":'), F.col(f"{side}_doc"), F.lit("}"))
+            inner = own.where("left >= 0").join(child("left"), ["tree", "left"]).join(child("right"), ["tree", "right"])
+            done = done.union(inner.select("tree", "id", F.concat(F.lit("["), branch("left"), F.lit(","), branch("right"), F.lit("]"))))
+        below = materialize(done)
+    if below is None:
+        return nodes.select("tree", F.lit("").alias("json"))
+    return below.select("tree", F.concat(F.lit('{"name":"Root","children":'), F.col("doc"), F.lit("}")).alias("json"))
+
+
+def document_nodes(documents: DataFrame) -> DataFrame:
+    """The node table back from ``tree_documents``; ids are given in the order in which a
+    document names its nodes. Documents are opened level by level."""
+    kids = "array<string>"
+    level = documents.select("tree", F.array().cast("array<int>").alias("path"), F.get_json_object("json", "$.children").alias("doc"))
+    found = None
+    while True:
+        level = materialize(level)
+        node = F.from_json("doc", kids)
+        opened = level.select("tree", "path", node.alias("b")).withColumn("name", F.get_json_object(F.col("b")[0], "$.name"))
+        own = opened.select("tree", "path", "name", (F.size("b") == 2).alias("inner"))
+        found = own if found is None else found.union(own)
+        level = opened.where(F.size("b") == 2).select("tree", "path", F.posexplode("b").alias("side", "c")).select(
+            "tree", F.concat("path", F.array("side")).alias("path"), F.get_json_object("c", "$.children").alias("doc"))
+        if level.isEmpty():
+            break
+    # a path is before all longer ones that begin with it: the order of the ids
+    found = materialize(found.withColumn("id", F.row_number().over(Window.partitionBy("tree").orderBy("path")) - 1))
+    up = found.where(F.size("path") > 0).select("tree", F.slice("path", F.lit(1), F.size("path") - 1).alias("path"),
+                                                F.element_at("path", -1).alias("side"), F.col("id").alias("child"))
+    up = up.groupBy("tree", "path").agg(F.max(F.when(F.col("side") == 0, F.col("child"))).alias("left"),
+                                        F.max(F.when(F.col("side") == 1, F.col("child"))).alias("right"))
+    part = lambda i: F.regexp_extract("name", r"feature (\d+) (<=|in) \{?([^{}]*)\}?$", i)
+    return found.join(up, ["tree", "path"], "left").select(
+        "tree", F.col("id").cast("int").alias("id"),
+        F.when(~F.col("inner"), F.regexp_extract("name", r"Predict: (.*)$", 1).cast("double")).alias("prediction"),
+        F.coalesce("left", F.lit(-1)).cast("int").alias("left"), F.coalesce("right", F.lit(-1)).cast("int").alias("right"),
+        F.when(F.col("inner"), part(1).cast("int")).otherwise(-1).alias("feature"),
+        F.when(F.col("inner"), F.filter(F.split(part(3), ","), lambda v: v != "").cast("array<double>"))
+        .otherwise(F.array().cast("array<double>")).alias("values"),
+        F.when(F.col("inner") & (part(2) == "in"), 0).otherwise(-1).alias("num_categories"))
 
 
 def nodes_json(nodes: DataFrame) -> DataFrame:
-    """Tree as JSON: one JSON object per node (``tree, id, prediction,
-    left, right, feature, values, num_categories``) instead of one nested
-    document, so a forest of any size is written by the executors."""
+    """One JSON object per node (``tree, id, prediction, left, right, feature, values,
+    num_categories``), so a forest of any size is written by the executors."""
     return nodes.select("tree", "id", F.to_json(F.struct(*nodes.columns)).alias("json"))
