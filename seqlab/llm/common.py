@@ -33,6 +33,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores after it if a column has it already."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name
+
+
 def in_fold(id_col, mod: int, fold: int):
     """crc32(id as text) mod ``mod`` is ``fold``; a null id counts as the text ''."""
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(mod)) == fold
