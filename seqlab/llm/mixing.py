@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from seqlab.llm.common import WORD, checkpointed, numbered, running_sum, table
+from seqlab.llm.common import WORD, checkpointed, free_name, numbered, running_sum, table
 
 WEIGHTS = (3, 1, 2)     # by source in code-point order, repeating
 SHARE = 1.5             # total budget as a share of all words
@@ -121,13 +121,6 @@ def op10_mix_sources(spark, sf_dir):
     return mixture(table(spark, sf_dir, "documents"))
 
 
-def _free(name: str, taken: list[str]) -> str:
-    """``name``, with underscores after it if a column has it already."""
-    while name.lower() in {c.lower() for c in taken}:
-        name += "_"
-    return name
-
-
 def stage_mix(spark, docs, sf_dir):
     """Pipeline stage: one row per copy taken, in the columns of the documents
     plus ``copy``, ``mix_start`` and ``mix_words`` (underscores follow where the
@@ -136,25 +129,28 @@ def stage_mix(spark, docs, sf_dir):
     cols = docs.columns
     sizes = checkpointed(with_sizes(docs))
     targets = checkpointed(source_targets(sizes))
-    new = {c: _free(c, cols) for c in ("copy", "mix_start", "mix_words")}
+    new = {c: free_name(c, cols) for c in ("copy", "mix_start", "mix_words")}
+
+    own_key, own_words, own_row = (free_name(c, cols) for c in ("_key", "_words", "_row"))
+    key, nth_copy = (free_name(c, [*cols, own_key, own_words, own_row]) for c in ("_of", "_nth"))
 
-    def key(size):
+    def text_key(size):
         return F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit("/"), size.cast("string"),
                         F.lit("/"), F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("null")))
 
     # rows alike in id, source and size are told apart by their order, here as in the queue
-    nth = Window.partitionBy("_key", "copy").orderBy("mix_start")
-    copies = fair_queue(sizes, targets).withColumn("_key", key(F.col("size"))).withColumn("_nth", F.row_number().over(nth))
-    copies = copies.select("_key", "_nth", *[F.col(c).alias(new[n]) for c, n in (
+    nth = Window.partitionBy(key, "copy").orderBy("mix_start")
+    copies = fair_queue(sizes, targets).withColumn(key, text_key(F.col("size"))).withColumn(nth_copy, F.row_number().over(nth))
+    copies = copies.select(key, nth_copy, *[F.col(c).alias(new[n]) for c, n in (
         ("copy", "copy"), ("mix_start", "mix_start"), ("words", "mix_words"))])
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0))
-    own = docs.withColumn("_words", words).withColumn("_key", key(F.col("_words"))).withColumn(
-        "_row", F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("text"))))
+    own = docs.withColumn(own_words, words).withColumn(own_key, text_key(F.col(own_words))).withColumn(
+        own_row, F.row_number().over(Window.partitionBy(own_key).orderBy(F.xxhash64("text"))))
     pieces = F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1))
     cut = F.array_join(F.slice(pieces, F.lit(1), F.col(new["mix_words"]).cast("int")), "")
     # the difference keeps the row number out of the join's keys: one shuffle serves window and join
-    return (own.join(copies, (own["_key"] == copies["_key"]) & (F.col("_row") - F.col("_nth") == 0))
-            .withColumn("text", F.when(F.col(new["mix_words"]) >= F.col("_words"), F.col("text")).otherwise(cut))
+    return (own.join(copies, (F.col(own_key) == F.col(key)) & (F.col(own_row) - F.col(nth_copy) == 0))
+            .withColumn("text", F.when(F.col(new["mix_words"]) >= F.col(own_words), F.col("text")).otherwise(cut))
             .select(*[f"`{c}`" for c in cols], *[new[c] for c in ("copy", "mix_start", "mix_words")]))
 
 

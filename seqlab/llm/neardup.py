@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seqlab.llm.common import chain, checkpointed, components, mix, shingles, sized, slices, small_batches, table, text_bytes, words
+from seqlab.llm.common import chain, checkpointed, components, free_name, mix, shingles, sized, slices, small_batches, table, text_bytes, words
 
 BANDS, ROWS = 40, 5
 REGISTERS = BANDS * ROWS
@@ -294,5 +294,6 @@ def op8_near_duplicates(spark, sf_dir):
 def stage_near_duplicates(spark, docs, sf_dir):
     """Pipeline stage: the least id of every group of near copies stays (five-word shingles)."""
     found = near_duplicates(docs, k=5)
-    gone = sized(checkpointed(found.filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = free_name("_gone", docs.columns)
+    gone = sized(checkpointed(found.filter(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()))
+    return docs.join(gone, F.col("doc_id") == F.col(name), "left_anti")
