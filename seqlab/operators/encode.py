@@ -112,6 +112,50 @@ def holdout_split(key: str | Column, train_percent: int = 70, seed: int = 0) ->
     return F.pmod(h.cast("long"), F.lit(100)) < F.lit(train_percent)
 
 
+DIGITS = 12     # bits of a value that one histogram tells apart
+
+
+def kth_smallest(df: DataFrame, col: str, k: int, bits: int = 60) -> tuple[int, int, int]:
+    """(value, taken, equal): the ``k``-th smallest (from 1) of a column of integers of
+    ``bits`` bits, how many of its equals are among the ``k`` smallest, and how many equals it
+    has. Each round is one aggregation into at most 4096 counts of the rows that agree with
+    the bits found so far, so nothing is sorted and no row reaches the driver."""
+    found, shift = 0, bits
+    while True:
+        step = min(DIGITS, shift)
+        shift -= step
+        inside = df.where(F.shiftright(col, shift + step) == found) if shift + step < bits else df
+        digit = F.shiftright(col, shift).bitwiseAND(F.lit((1 << step) - 1))
+        counts = sorted((r["d"], r["n"]) for r in inside.groupBy(digit.alias("d")).agg(F.count(F.lit(1)).alias("n")).collect())
+        for d, n in counts:
+            if k <= n:
+                break
+            k -= n
+        found = (found << step) | int(d)
+        if shift == 0:
+            return found, k, n
+
+
+def exact_split(df: DataFrame, key: str | Column, train_percent: int = 70, seed: int = 0, name: str = "is_train") -> DataFrame:
+    """Random-order split cut at exactly floor(n * percent / 100) rows: a row trains if its place
+    in the order of the seeded hash of its key is before the cut. Rows of one key (and keys of
+    one hash) are told apart by their place in the checkpointed rows, which is as many as needed
+    of them. Null keys are one key; an empty table stays empty."""
+    k = F.col(key) if isinstance(key, str) else key
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}/"), F.coalesce(k.cast("string"), F.lit(""))).cast("binary")), 1, 15), 16, 10)
+    rows = materialize(df.withColumn("__h", h.cast("long")).withColumn("__m", F.monotonically_increasing_id()))
+    total = rows.count()
+    n = total * train_percent // 100
+    if n == 0 or n == total:
+        return rows.withColumn(name, F.lit(n > 0)).drop("__h", "__m")
+    value, taken, equal = kth_smallest(rows, "__h", n)
+    flag = F.col("__h") <= value
+    if taken < equal:
+        last, _, _ = kth_smallest(rows.where(F.col("__h") == value), "__m", taken, bits=63)
+        flag = (F.col("__h") < value) | ((F.col("__h") == value) & (F.col("__m") <= last))
+    return rows.withColumn(name, flag).drop("__h", "__m")
+
+
 def split(df: DataFrame, key: str, train_percent: int = 70) -> tuple[DataFrame, DataFrame]:
     flag = hash_split(key, train_percent)
     return df.where(flag), df.where(~flag)

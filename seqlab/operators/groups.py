@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seqlab.functions.scan import global_rank
+from seqlab.functions.scan import global_rank, running, with_order_blocks
 
 
 def filter_min_group(df: DataFrame, key: str | Sequence[str], k: int = 3,
@@ -33,6 +33,23 @@ def filter_min_group(df: DataFrame, key: str | Sequence[str], k: int = 3,
     return out if size_col else out.drop(name)
 
 
+def ordered_chunks(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], cols: Sequence[str], chunk_rows: int = 1000,
+                   block_rows: int = 1_000_000) -> DataFrame:
+    """The rows of each key in order, as lists of bounded length: ``keys, chunk, rows``
+    (``array<struct<cols>>``; chunks from 0, each of ``chunk_rows`` rows but a key's last one).
+
+    Places come from a blocked running count, so a hot key is many blocks and many chunks and
+    no task or row holds it whole. NULL keys are a key; rows alike in ``order_by`` follow in
+    order of ``cols``.
+    """
+    order = [*order_by, *[c for c in cols if c not in order_by]]
+    blocked = with_order_blocks(df, keys, order, block_rows, "__blk")
+    at = running(blocked, keys, order, block="__blk", sums={"__at": F.lit(1)}).withColumn("__at", F.col("__at") - 1)
+    lists = at.groupBy(*keys, F.floor(F.col("__at") / chunk_rows).cast("long").alias("chunk")).agg(
+        F.array_sort(F.collect_list(F.struct("__at", F.struct(*cols).alias("row")))).alias("__rows"))
+    return lists.select(*keys, "chunk", F.col("__rows.row").alias("rows"))
+
+
 def sort_key(*cols: str | Column, sep: str = " ") -> Column:
     """String sort key as the reference builds it (``user + ' ' + start``)."""
     return F.concat_ws(sep, *[F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit(""))

@@ -10,6 +10,12 @@ from pyspark.sql import types as T
 
 from seqlab.functions.scan import running, time_block, with_order_blocks
 
+# Right sides up to this size are broadcast by ``strategy='auto'``: all rows, and rows of
+# one key (a key's rows are one array, which its left rows carry through the search).
+BROADCAST_ROWS = 1_000_000
+BROADCAST_KEY_ROWS = 4096
+
+
 def _micros_between(a, b):
     return F.timestamp_diff("MICROSECOND", a, b)
 
@@ -31,15 +37,19 @@ def nearest_join(left: DataFrame, right: DataFrame, *, left_keys: Sequence[str],
       blocks of about that many rows (``block_unit='auto'``; a unit such as
       ``'minute'`` cuts by time; ``None`` scans every key as one block), so a
       hot key is spread over many tasks. No pairs are ever built.
+    * ``'auto'``: the right rows are counted by key, and ``'broadcast'`` is taken up to
+      ``BROADCAST_ROWS`` of them and ``BROADCAST_KEY_ROWS`` of a key, else ``'scan'``.
     * ``'broadcast'``: only for a right side the caller knows to be small.
       Right rows are sorted into one array per key and broadcast; every left
       row finds its nearest by binary search. No shuffle of the left side.
     """
-    if strategy == "auto":
-        strategy = "scan"
     lk = [f"__k{i}" for i in range(len(left_keys))]
     # a right row without key or time matches nothing
     right = right.dropna(subset=[right_ts, *right_keys])
+    if strategy == "auto":
+        size = right.groupBy(*right_keys).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.max("n").alias("key")).first()
+        small = (size["rows"] or 0) <= BROADCAST_ROWS and (size["key"] or 0) <= BROADCAST_KEY_ROWS
+        strategy = "broadcast" if small else "scan"
     payload = F.struct(*[F.col(c) for c in right_cols])
 
     if strategy == "broadcast":

@@ -114,7 +114,7 @@ def nearest_view(spark, data_dir, strategy="scan", max_gap_seconds=None):
 
 
 def q_nearest_join(spark, data_dir):
-    return nearest_view(spark, data_dir)
+    return nearest_view(spark, data_dir, strategy="auto")
 
 
 def q_nearest_join_scan(spark, data_dir):
@@ -122,7 +122,7 @@ def q_nearest_join_scan(spark, data_dir):
 
 
 def q_nearest_join_gap(spark, data_dir):
-    return nearest_view(spark, data_dir, max_gap_seconds=3600)
+    return nearest_view(spark, data_dir, strategy="auto", max_gap_seconds=3600)
 
 
 def q_nearest_join_gap_scan(spark, data_dir):

@@ -8,14 +8,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from seqlab.functions.codes import FEATURE_COLS
-from seqlab.operators.encode import assemble, holdout_split, vector_values
-from seqlab.operators.groups import sort_key, sort_sessions
+from seqlab.operators.encode import assemble, exact_split, holdout_split, vector_values
+from seqlab.operators.groups import ordered_chunks, sort_key, sort_sessions
 from seqlab.plans.appliance import labelled
 from seqlab.plans.appliance_sql import LABELLED
 from seqlab.plans.events import event_sessions
 from seqlab.plans.events_sql import SESSIONS_CARRY
 from seqlab.session import scratch_path
-from seqlab.sinks.text import write_delimited, write_libsvm, write_lines, write_table
+from seqlab.sinks.text import read_sorted_lines, write_delimited, write_libsvm, write_lines, write_table
 from seqlab.sources.logs import file_number, read_delimited, read_libsvm, read_lines_ordered, read_weather
 from seqlab.sources.tables import table
 
@@ -75,6 +75,27 @@ def q_split_random(spark, data_dir):
     return table(spark, data_dir, "events").select("event_id", holdout_split("event_id", 70, seed=7).alias("is_train"))
 
 
+def q_split_exact(spark, data_dir):
+    """Random order cut at exactly 70 % of the rows."""
+    return exact_split(table(spark, data_dir, "events").select("event_id"), "event_id", 70, seed=7)
+
+
+def q_sorted_file(spark, data_dir):
+    """Sessions as one sorted text file in parts, read back with the line number and byte offset of each line."""
+    path = _folder(spark, "sorted")
+    s = event_sessions(spark, data_dir).select("user_id", "session_id")
+    write_delimited(s, path, sort_by=["user_id", "session_id"])
+    return read_sorted_lines(spark, path)
+
+
+def q_ordered_chunks(spark, data_dir):
+    """Every user's events in order, in lists of at most 16."""
+    ev = table(spark, data_dir, "events").select("user_id", "ts", "event_id", "event_type")
+    lists = ordered_chunks(ev, ["user_id"], ["ts", "event_id"], ["event_id", "event_type"], chunk_rows=16)
+    line = F.array_join(F.transform("rows", lambda r: F.concat(r["event_id"].cast("string"), F.lit(":"), r["event_type"])), ",")
+    return lists.select("user_id", "chunk", F.size("rows").alias("n"), line.alias("line"))
+
+
 def q_group_sorted_by_id(spark, data_dir):
     """Sessions in the order of the text key ``user + ' ' + session id`` with their position."""
     s = event_sessions(spark, data_dir).select("user_id", "session_id")
@@ -89,6 +110,9 @@ QUERIES = {
     "file_numbers": q_file_numbers,
     "split_random": q_split_random,
     "group_sorted_by_id": q_group_sorted_by_id,
+    "split_exact": q_split_exact,
+    "sorted_file": q_sorted_file,
+    "ordered_chunks": q_ordered_chunks,
 }
 
 ORACLES = {
@@ -102,6 +126,16 @@ FROM events WHERE event_type = 'view'""",
     "file_numbers": "SELECT CAST(c_nationkey AS VARCHAR) AS file_no, COUNT(*) AS n FROM customer GROUP BY c_nationkey",
     "split_random": """SELECT event_id, CAST('0x' || substr(md5('7/' || CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 70 AS is_train
 FROM events""",
+    "split_exact": """SELECT event_id, row_number() OVER (
+  ORDER BY CAST('0x' || substr(md5('7/' || CAST(event_id AS VARCHAR)), 1, 15) AS BIGINT)) <= (SELECT COUNT(*) * 70 // 100 FROM events) AS is_train
+FROM events""",
+    "sorted_file": f"""SELECT row_number() OVER w - 1 AS line_no,
+  CAST(coalesce(sum(strlen(line) + 1) OVER (ORDER BY user_id, session_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_byte, line
+FROM (SELECT user_id, session_id, coalesce(CAST(user_id AS VARCHAR), '') || ',' || coalesce(CAST(session_id AS VARCHAR), '') AS line FROM ({SESSIONS_CARRY}) s)
+WINDOW w AS (ORDER BY user_id, session_id)""",
+    "ordered_chunks": """SELECT user_id, pos // 16 AS chunk, CAST(COUNT(*) AS INTEGER) AS n,
+  string_agg(CAST(event_id AS VARCHAR) || ':' || event_type, ',' ORDER BY pos) AS line
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events) e GROUP BY user_id, pos // 16""",
     "group_sorted_by_id": f"""SELECT user_id, session_id,
   ROW_NUMBER() OVER (ORDER BY CAST(user_id AS VARCHAR) || ' ' || session_id) AS pos
 FROM ({SESSIONS_CARRY}) s""",

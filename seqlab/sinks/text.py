@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from seqlab.sources.logs import read_lines_ordered
+
 
 def _text(c: str | Column) -> Column:
     col = F.col(c) if isinstance(c, str) else c
@@ -56,6 +58,34 @@ def write_lines(df: DataFrame, line: Column, path: str, sort_by: Sequence[str |
     out.select("value").write.mode("overwrite").text(path)
 
 
+def part_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``part, file_path, first_line, n_lines, first_byte, n_bytes`` of a folder that ``write_lines``
+    wrote in order: where each part file's lines and bytes stand in the one sorted file that the
+    parts make when read one after the other. A row a file; the running sums go over those."""
+    per = (_part_lines(spark, path).groupBy("part", "file_path")
+           .agg(F.count(F.lit(1)).alias("n_lines"), F.sum("size").alias("n_bytes")))
+    before = Window.orderBy("part", "file_path").rowsBetween(Window.unboundedPreceding, -1)
+    return per.select("part", "file_path", F.coalesce(F.sum("n_lines").over(before), F.lit(0)).alias("first_line"), "n_lines",
+                      F.coalesce(F.sum("n_bytes").over(before), F.lit(0)).alias("first_byte"), "n_bytes")
+
+
+def _part_lines(spark: SparkSession, path: str) -> DataFrame:
+    return read_lines_ordered(spark, path).select(
+        "*", F.regexp_extract("file_path", r"part-(\d+)[^/]*$", 1).cast("long").alias("part"),
+        (F.octet_length("line") + 1).cast("long").alias("size"))
+
+
+def read_sorted_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``line_no`` (from 0), ``first_byte``, ``line``: the parts read back as one ordered file.
+    Places inside a part are counted in windows of one file; the manifest adds what is before it."""
+    here = Window.partitionBy("file_path").orderBy("block", "pos").rowsBetween(Window.unboundedPreceding, -1)
+    lines = _part_lines(spark, path).select("file_path", "line", F.count(F.lit(1)).over(here).alias("__line"),
+                                            F.coalesce(F.sum("size").over(here), F.lit(0)).alias("__byte"))
+    parts = part_manifest(spark, path).select("file_path", F.col("first_line").alias("__l"), F.col("first_byte").alias("__b"))
+    return lines.join(parts, "file_path").select((F.col("__line") + F.col("__l")).alias("line_no"),
+                                                 (F.col("__byte") + F.col("__b")).alias("first_byte"), "line")
+
+
 def write_delimited(df: DataFrame, path: str, cols: Sequence[str] | None = None, sep: str = ",",
                     sort_by: Sequence[str | Column] | None = None) -> None:
     write_lines(df, delimited_line(cols or df.columns, sep), path, sort_by)
