@@ -19,6 +19,7 @@ and an empty table give no rows; repeated rows and null ids are counted each.
 from __future__ import annotations
 
 import base64
+import re
 from urllib.parse import unquote, urlsplit
 
 import numpy as np
@@ -39,13 +40,33 @@ SPAN_BLOCKS = 4096      # blocks whose summaries one task scans
 TASK_BYTES = 128 << 20  # of flat files read by one task
 
 
+# The tokenizer's matcher keeps a state for each blank of a run, and ends the process at about
+# a million. Unicode white space, as the pattern's \\s.
+LONG_BLANKS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{10000,}")
+
+
 def encoder(path: str):
-    """texts -> list of token id lists."""
+    """A function from a text to its token ids.
+
+    A long run of blanks is cut out first: by the pattern all of it but its last blank is one
+    piece (all of it at the text's end), and the last blank goes with what follows, so the
+    ids are those of the whole text."""
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    flat = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(text: str) -> list[int]:
+        out, at = [], 0
+        for run in LONG_BLANKS.finditer(text):
+            end = run.end() if run.end() == len(text) else run.end() - 1
+            out += flat.encode_ordinary(text[at:run.start()])
+            out += flat._encode_single_piece(text[run.start():end])
+            at = end
+        return out + flat.encode_ordinary(text[at:]) if at else flat.encode_ordinary(text)
+
+    return encode
 
 
 def write_flat(docs: DataFrame, vocabulary: str = VOCABULARY, block_tokens: int = BLOCK_TOKENS) -> tuple[DataFrame, DataFrame]:

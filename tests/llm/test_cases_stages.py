@@ -118,3 +118,22 @@ def test_registered_fingerprint_of_the_only_document(spark, tmp_dir):
     r = fingerprint.op6_fingerprint(spark, tmp_dir).first()
     t = "one two three four five six"
     assert r["edited_sha256"] == hashlib.sha256((t[:-(len(t) // 4)] + t[:len(t) // 4]).encode()).hexdigest() and r["near_next"] == 1.0
+
+
+def test_long_runs_of_blanks_do_not_change_the_ids():
+    import base64
+
+    import tiktoken
+
+    from seqlab.llm import tokencount
+    with open(tokencount.VOCABULARY, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    whole = tiktoken.Encoding("flat", pat_str=tokencount.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encode = tokencount.encoder(tokencount.VOCABULARY)
+    rng = random.Random(3)
+    for blanks in (" ", "\n", " \n\t", "　 ", "\xa0", "\x85\r"):
+        for n in (9999, 10000, 10001, 30000):
+            run = "".join(rng.choice(blanks) for _ in range(n))
+            for text in (run, f"a{run}", f"{run}b", f"one two{run}three, 4{run}!", f"x{run}\x1cy", f"'s {run}'s"):
+                assert encode(text) == whole(text)
+    assert len(encode(" " * 1_000_000 + "end")) > 100       # the tokenizer alone ends the process here
