@@ -106,12 +106,13 @@ def train_model(spark: SparkSession, out: str, algorithm: str, trees: int = 20,
 def model_rules(spark: SparkSession, model_dir: str, out: str, text: bool = False) -> None:
     """Rule lines (``Tree<n>:cond:...:#label``, or readable ``cond -> ... ->
     Predict``) and the node table as JSON of any saved tree or forest."""
-    from seqlab.operators.rules import nodes_json, rule_text
+    from seqlab.operators.rules import nodes_json, rule_text, tree_documents
     nodes = tree_nodes(spark, model_dir)
     rules = rule_lines(tree_rules(spark, nodes))
     line = F.concat(F.lit("Tree"), F.col("tree").cast("string"), F.lit(":"), F.col("text" if text else "line"))
     write_lines(rule_text(rules) if text else rules, line, f"{out}/rules", sort_by=["tree", "leaf"])
     write_lines(nodes_json(nodes), F.col("json"), f"{out}/nodes_json", sort_by=["tree", "id"])
+    write_lines(tree_documents(nodes), F.col("json"), f"{out}/tree_json", sort_by=["tree"])
 
 
 def main(argv=None) -> None:

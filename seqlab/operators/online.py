@@ -44,7 +44,9 @@ def _x(x_col: str | Column) -> Column:
 def class_scores(x_col: str | Column, W: Sequence[Sequence[float]], b: Sequence[float]) -> Column:
     """``array<double>`` of ``sigmoid(w_c . x + b_c)`` for every class."""
     x = _x(x_col)
-    Wl, bl = _lit_matrix(W), F.array(*[F.lit(float(v)) for v in b])
+    # cast: without classes the literals have no type
+    Wl = _lit_matrix(W).cast("array<array<double>>")
+    bl = F.array(*[F.lit(float(v)) for v in b]).cast("array<double>")
     return F.transform(Wl, lambda w, c: F.lit(1.0) / (F.lit(1.0) + F.exp(-(
         F.aggregate(F.zip_with(w, x, lambda a, v: a * v), F.lit(0.0), lambda acc, v: acc + v)
         + F.element_at(bl, c + 1)))))

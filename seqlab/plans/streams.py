@@ -25,7 +25,10 @@ def q_word_count_stream(spark, data_dir):
     """Document texts written as text files, counted by the streaming job
     (one micro-batch picks up all files present): ``batch_id, word, n``."""
     base = _base(spark, "wc")
-    table(spark, data_dir, "documents").select("text").write.mode("overwrite").text(f"{base}/in")
+    docs = table(spark, data_dir, "documents").select("text")
+    if docs.isEmpty():  # a stream without files has no batch and writes no table
+        return spark.createDataFrame([], "batch_id int, word string, n long")
+    docs.write.mode("overwrite").text(f"{base}/in")
     q = start_word_count(stream_lines(spark, f"{base}/in"), f"{base}/out", f"{base}/ckpt",
                          trigger={"availableNow": True})
     q.awaitTermination()
@@ -46,6 +49,8 @@ def q_learner_stream(spark, data_dir, batches: int | None = None):
     base = _base(spark, "learn")
     emb = table(spark, data_dir, "embeddings")
     rows = emb.count()
+    if not rows:
+        return spark.createDataFrame([], "batch_id int, accuracy double, n long, class int, j int, w double")
     batches = batches or learner_batches(rows)
     line = F.concat_ws(",", F.array_join(F.transform("embedding", lambda v: v.cast("double").cast("string")), ","),
                        F.col("label").cast("string"))
