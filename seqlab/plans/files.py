@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from seqlab.functions.codes import FEATURE_COLS
 from seqlab.operators.encode import assemble, exact_split, holdout_split, vector_values
 from seqlab.operators.groups import ordered_chunks, sort_key, sort_sessions
+from seqlab.operators.joins import nearest_join
 from seqlab.plans.appliance import labelled
 from seqlab.plans.appliance_sql import LABELLED
 from seqlab.plans.events import event_sessions
 from seqlab.plans.events_sql import SESSIONS_CARRY
 from seqlab.session import scratch_path
 from seqlab.sinks.text import read_sorted_lines, write_delimited, write_libsvm, write_lines, write_table
-from seqlab.sources.logs import file_number, read_delimited, read_libsvm, read_lines_ordered, read_weather
+from seqlab.sources.logs import (file_number, read_csv_inferred, read_delimited, read_instances, read_libsvm,
+                                 read_lines_ordered, read_weather)
 from seqlab.sources.tables import table
 
 
@@ -42,13 +44,16 @@ def q_libsvm_round_trip(spark, data_dir):
     return back.select(F.col("label").cast("int").alias("label"), vector_values("features").alias("features"))
 
 
+def _weather_line():
+    return F.concat_ws(",", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss"),
+                       F.floor("value").cast("string"))
+
+
 def q_weather_four_columns(spark, data_dir):
     """View events as weather lines of four fields, read back with their time."""
     path = _folder(spark, "weather")
     ev = table(spark, data_dir, "events").where(F.col("event_type") == "view")
-    line = F.concat_ws(",", F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd"), F.date_format("ts", "HH:mm:ss"),
-                       F.floor("value").cast("string"))
-    write_lines(ev, line, path)
+    write_lines(ev, _weather_line(), path)
     return read_weather(spark, path, columns=4).select(
         "city", "date", "time", "temperature", F.col("weather_ts").cast("timestamp_ntz").alias("weather_ts"))
 
@@ -77,6 +82,37 @@ def q_split_random(spark, data_dir):
     return table(spark, data_dir, "events").select("event_id", holdout_split("event_id", 70, seed=7).alias("is_train"))
 
 
+def q_weather_join_four(spark, data_dir):
+    """Each purchase with the nearest reading of its user in weather lines of four fields."""
+    path = _folder(spark, "weather4")
+    ev = table(spark, data_dir, "events")
+    write_lines(ev.where(F.col("event_type") == "view"), _weather_line(), path)
+    weather = read_weather(spark, path, columns=4).select(
+        F.col("city").alias("w_city"), F.col("weather_ts").cast("timestamp_ntz").alias("weather_ts"), "temperature")
+    buys = ev.where(F.col("event_type") == "purchase").select(
+        "event_id", F.col("user_id").cast("string").alias("city"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+    out = nearest_join(buys, weather, left_keys=["city"], right_keys=["w_city"], left_ts="ts", right_ts="weather_ts",
+                       right_cols=["weather_ts", "temperature"], strategy="auto")
+    return out.select("event_id", "city", "weather_ts", "temperature")
+
+
+def q_inferred_csv(spark, data_dir):
+    """Events through CSV files with a header line, read back with inferred types, three columns kept."""
+    path = _folder(spark, "csv")
+    table(spark, data_dir, "events").select("event_id", "user_id", "event_type", "value").write.option("header", True).csv(path)
+    back = read_csv_inferred(spark, path, ["event_id", "event_type", "value"])
+    return back.select(F.col("event_id").cast("long").alias("event_id"), "event_type", F.col("value").cast("double").alias("value"))
+
+
+def q_quoted_instances(spark, data_dir):
+    """Embeddings as instance lines whose fields stand between bars, read back as numbers and class."""
+    path = _folder(spark, "instances")
+    emb = table(spark, data_dir, "embeddings").select(
+        *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(64)], F.col("label").cast("int").alias("y"))
+    emb.write.option("quote", "|").option("quoteAll", True).csv(path)
+    return read_instances(spark, path)
+
+
 def q_split_exact(spark, data_dir):
     """Random order cut at exactly 70 % of the rows."""
     return exact_split(table(spark, data_dir, "events").select("event_id"), "event_id", 70, seed=7)
@@ -113,6 +149,9 @@ QUERIES = {
     "split_random": q_split_random,
     "group_sorted_by_id": q_group_sorted_by_id,
     "split_exact": q_split_exact,
+    "weather_join_four": q_weather_join_four,
+    "inferred_csv": q_inferred_csv,
+    "quoted_instances": q_quoted_instances,
     "sorted_file": q_sorted_file,
     "ordered_chunks": q_ordered_chunks,
 }
@@ -128,6 +167,14 @@ FROM events WHERE event_type = 'view'""",
     "file_numbers": "SELECT CAST(c_nationkey AS VARCHAR) AS file_no, COUNT(*) AS n FROM customer GROUP BY c_nationkey",
     "split_random": """SELECT event_id, CAST('0x' || substr(md5('7/' || CAST(event_id AS VARCHAR)), 1, 8) AS BIGINT) % 100 < 70 AS is_train
 FROM events""",
+    "weather_join_four": """WITH w AS (SELECT user_id, date_trunc('second', CAST(ts AS TIMESTAMP)) AS weather_ts,
+  CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) AS temperature FROM events WHERE event_type = 'view')
+SELECT p.event_id, CAST(p.user_id AS VARCHAR) AS city, w.weather_ts, w.temperature
+FROM (SELECT * FROM events WHERE event_type = 'purchase') p LEFT JOIN w ON w.user_id = p.user_id
+QUALIFY row_number() OVER (PARTITION BY p.event_id
+  ORDER BY abs(epoch_us(w.weather_ts) - epoch_us(CAST(p.ts AS TIMESTAMP))), w.weather_ts, w.temperature) = 1""",
+    "inferred_csv": "SELECT event_id, event_type, value FROM events",
+    "quoted_instances": "SELECT list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS x, CAST(label AS INTEGER) AS y FROM embeddings",
     "split_exact": """SELECT event_id, row_number() OVER (
   ORDER BY CAST('0x' || substr(md5('7/' || CAST(event_id AS VARCHAR)), 1, 15) AS BIGINT)) <= (SELECT COUNT(*) * 70 // 100 FROM events) AS is_train
 FROM events""",
