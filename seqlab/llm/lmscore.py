@@ -15,7 +15,10 @@ and adding up weights.
 
 Scale: the corpus's n-grams are counted in hash ranges (see ``blocks``); a block
 of documents asks for the counts of its own n-grams and builds the automaton
-that its texts can reach, so the model is never in one place. Many texts of a
+that its texts can reach, so the model is never in one place. Most n-grams of two
+and more words occur in one block only, and their count there is the corpus's:
+blocks first exchange the leading bits of their keys, and only keys whose bits
+another key has too are then exchanged whole. Many texts of a
 block are read in step with each other; a long text is read in pieces, each
 started ``ORDER - 1`` words early, after which the state is the same as if read
 from the start.
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqlab.llm.blocks import blocked, cuts, n_buckets, opened, pack, pack_sorted, rows_of, unpack, unpack_sorted
-from seqlab.llm.common import chain, checkpointed, in_fold, table, words
+from seqlab.llm.common import chain, checkpointed, in_fold, shuffles_freed, table, words
 
 ORDER = 3
 MU = 3000.0
@@ -54,7 +57,8 @@ class Grams:
     """Tokens of a block's texts and their n-grams: per order the distinct keys
     (sorted), the key of each position, and which positions have one."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, order: int = ORDER):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, order: int = ORDER, places: bool = True):
+        """Without ``places`` the keys alone are made."""
         h, at = words(data, offs)
         n = len(offs) - 1
         self.at = at + np.arange(n + 1)
@@ -72,6 +76,9 @@ class Grams:
                 before[self.place == 0] = START
                 gram = chain(before, self.tok) if o > 2 else chain(before + np.uint64(1), self.tok)
             has = self.place >= o - 2
+            if not places:
+                self.keys.append(np.unique(gram[has]))
+                continue
             keys, of = np.unique(gram[has], return_inverse=True)
             full = np.full(len(gram), -1, np.int64)
             full[has] = of
@@ -84,23 +91,72 @@ class Grams:
         return [np.bincount(of[has & use], minlength=len(k)) for k, of, has in zip(self.keys, self.of, self.has)]
 
 
+def _by_range(block: int, n: int, at: list[np.ndarray], columns: dict) -> pa.RecordBatch:
+    """A message for each hash range that has keys: of every column a list of byte
+    strings, column[name](order, first key, end)."""
+    full = [b for b in range(n) if any(c[b + 1] > c[b] for c in at)]
+    lists = [pa.array([[f(o, c[b], c[b + 1]) for o, c in enumerate(at)] for b in full], pa.list_(pa.binary())) for f in columns.values()]
+    return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([block] * len(full), pa.int64()), *lists],
+                                      ["bucket", "block", *columns])
+
+
+def mark_bits(raw: int) -> int:
+    """Leading bits of a key that are exchanged first: a corpus of ``raw`` bytes has
+    less than raw / 2 keys an order, so few keys share them by chance."""
+    return min(64, int(raw).bit_length() + 1)
+
+
+def _marks(blocks: DataFrame, n: int, order: int, bits: int) -> DataFrame:
+    """The leading bits of every block's keys of two and more words."""
+    def ask(batches):
+        for row in rows_of(batches):
+            _, data, offs = opened(row)
+            keys = Grams(data, offs, order, places=False).keys[1:]
+            short = [k >> np.uint64(64 - bits) for k in keys]
+            yield _by_range(row["block"], n, [cuts(k, n) for k in keys], {"marks": lambda o, i, j: pack_sorted(short[o][i:j])})
+
+    return blocks.mapInArrow(ask, "bucket int, block long, marks array<binary>")
+
+
+def _met(group: pd.DataFrame) -> pd.DataFrame:
+    """For each block's marks, whether another key has the same one."""
+    replies: list[list[bytes]] = [[] for _ in range(len(group))]
+    for o in range(len(group["marks"].iloc[0])):
+        marks = [unpack_sorted(m[o]) for m in group["marks"]]
+        _, of, c = np.unique(np.concatenate(marks), return_inverse=True, return_counts=True)
+        met = c[of] > 1
+        at = np.concatenate(([0], np.cumsum([len(m) for m in marks])))
+        for i in range(len(marks)):
+            replies[i].append(_bits(met[at[i]:at[i + 1]]))
+    return pd.DataFrame({"block": group["block"].to_numpy(), "bucket": group["bucket"].to_numpy(), "met": replies})
+
+
+def _bits(flags: np.ndarray) -> bytes:
+    return len(flags).to_bytes(4, "little") + np.packbits(flags).tobytes()
+
+
+def _flags(data: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(data, np.uint8, offset=4), count=int.from_bytes(data[:4], "little")).astype(bool)
+
+
+def _exchanged(grams: Grams, met: list[dict] | None) -> list[np.ndarray]:
+    """Per order, which keys of the block are exchanged whole: all words, and the
+    longer keys whose marks were met."""
+    return [np.ones(len(grams.keys[0]), bool),
+            *[np.concatenate([np.zeros(0, bool), *[_flags(r["met"][o]) for r in met or ()]]) for o in range(len(grams.keys) - 1)]]
+
+
 def _requests(blocks: DataFrame, n: int, order: int, mod: int, fold: int) -> DataFrame:
+    """Keys and own counts of ``blocks`` (with their column ``met``)."""
     def ask(batches):
         for row in rows_of(batches):
             ids, data, offs = opened(row)
             grams = Grams(data, offs, order)
-            counts = grams.counts(~held_out(ids, mod, fold))
-            at = [cuts(k, n) for k in grams.keys]
-            out = {"bucket": [], "block": [], "keys": [], "counts": []}
-            for b in range(n):
-                if any(c[b + 1] > c[b] for c in at):
-                    out["bucket"].append(b)
-                    out["block"].append(row["block"])
-                    out["keys"].append([pack_sorted(k[c[b]:c[b + 1]]) for k, c in zip(grams.keys, at)])
-                    out["counts"].append([pack(k[c[b]:c[b + 1]].astype(np.uint32)) for k, c in zip(counts, at)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out["bucket"], pa.int32()), pa.array(out["block"], pa.int64()),
-                 pa.array(out["keys"], pa.list_(pa.binary())), pa.array(out["counts"], pa.list_(pa.binary()))], list(out))
+            use = _exchanged(grams, row["met"])
+            keys = [k[u] for k, u in zip(grams.keys, use)]
+            counts = [c[u].astype(np.uint32) for c, u in zip(grams.counts(~held_out(ids, mod, fold)), use)]
+            yield _by_range(row["block"], n, [cuts(k, n) for k in keys],
+                            {"keys": lambda o, i, j: pack_sorted(keys[o][i:j]), "counts": lambda o, i, j: pack(counts[o][i:j])})
 
     return blocks.mapInArrow(ask, "bucket int, block long, keys array<binary>, counts array<binary>")
 
@@ -222,24 +278,39 @@ class Automaton:
         return np.bincount(text, weights=total, minlength=len(n))
 
 
+def _by_block(replies: DataFrame, name: str) -> DataFrame:
+    """A block's replies in the order of the hash ranges."""
+    return replies.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", name))).alias(name))
+
+
 def score(docs: DataFrame, order: int = ORDER, mu: float = MU, mod: int = HELD_MOD, fold: int = HELD_FOLD) -> DataFrame:
     """Per document of ``docs`` (doc_id, text): tokens, base score and model score
     under the model of all documents outside the held-out fold."""
     blocks = blocked(docs)
     n = n_buckets(blocks)
-    asked = _requests(blocks, n, order, mod, fold).repartition(n, "bucket")
-    replies = checkpointed(asked.groupBy("bucket").applyInPandas(lambda g: _answer(g), _REPLY))
+    size = blocks.agg(F.sum("raw")).first()[0] or 0
+    with shuffles_freed(blocks.sparkSession):
+        if order > 1:
+            marks = _marks(blocks, n, order, mark_bits(size)).repartition(n, "bucket")
+            met = checkpointed(_by_block(marks.groupBy("bucket").applyInPandas(
+                lambda g: _met(g), "block long, bucket int, met array<binary>"), "met"))
+            blocks = blocks.join(met, "block", "left")
+        else:
+            blocks = blocks.withColumn("met", F.lit(None).cast("array<struct<bucket:int,met:array<binary>>>"))
+        asked = _requests(blocks, n, order, mod, fold).repartition(n, "bucket")
+        replies = checkpointed(asked.groupBy("bucket").applyInPandas(lambda g: _answer(g), _REPLY))
     corpus = {k: v or 0 for k, v in replies.agg(*[F.sum(c).alias(c) for c in ("types", "tokens", "once", "twice")]).first().asDict().items()}
 
     corpus["docs"] = blocks.select(F.explode("ids").alias("id")).filter(~in_fold(F.col("id"), mod, fold)).count()
-    joined = blocks.join(replies.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("bucket", "reply"))).alias("replies")),
-                         "block")
+    joined = blocks.join(_by_block(replies, "reply").withColumnRenamed("reply", "replies"), "block")
 
     def run(batches):
         for row in rows_of(batches):
             ids, data, offs = opened(row)
             grams = Grams(data, offs, order)
-            counts = [np.concatenate([unpack(r["reply"][o], np.uint64) for r in row["replies"]]).astype(np.int64) for o in range(order)]
+            counts = grams.counts(~held_out(ids, mod, fold))
+            for o, use in enumerate(_exchanged(grams, row["met"])):
+                counts[o][use] = np.concatenate([unpack(r["reply"][o], np.uint64) for r in row["replies"]]).astype(np.int64)
             word = grams.of[0]
             c = counts[0][word]
             base = np.log10((c + 1) / (corpus["tokens"] + corpus["types"] + 1))
