@@ -77,7 +77,8 @@ class Grams:
                 gram = chain(before, self.tok) if o > 2 else chain(before + np.uint64(1), self.tok)
             has = self.place >= o - 2
             if not places:
-                self.keys.append(np.unique(gram[has]))
+                keys = np.sort(gram[has])
+                self.keys.append(keys[np.diff(keys, prepend=keys[:1] - np.uint64(1)) != 0])
                 continue
             keys, of = np.unique(gram[has], return_inverse=True)
             full = np.full(len(gram), -1, np.int64)

@@ -76,6 +76,29 @@ def test_lm_registered_query_reads_two_words_of_context(spark, tmp_dir):
     assert scores(got) != scores(by_id(lmscore.score(cases.frame(spark), order=2).collect()))
 
 
+def test_lm_keys_alone_are_the_keys():
+    data = np.frombuffer(b"a b a b c" * 50 + b"d" * 9 + b" x y", np.uint8)
+    offs = np.array([0, 0, 120, len(data)])
+    for a, b in zip(lmscore.Grams(data, offs, 3).keys, lmscore.Grams(data, offs, 3, places=False).keys):
+        assert a.tolist() == b.tolist()
+    assert [len(k) for k in lmscore.Grams(data[:0], np.array([0]), 3, places=False).keys] == [0, 0, 0]
+
+
+@pytest.mark.parametrize("bits", [1, 9, 64])
+def test_lm_marks_decide_only_what_is_exchanged(spark, monkeypatch, bits):
+    """Many blocks; marks of any length (chance meetings or none) give the same scores."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * j * j + j) % 40}" for j in range(30))) for i in range(120)],
+                                 "doc_id long, text string").repartition(7, "doc_id")
+    want = {r["doc_id"]: r for r in lmscore.score(docs.coalesce(1)).collect()}
+    monkeypatch.setattr(lmscore, "mark_bits", lambda raw: bits)
+    got = lmscore.score(docs).collect()
+    assert len(got) == 120
+    for r in got:
+        w = want[r["doc_id"]]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (w["n_tokens"], w["n_known"], w["train_tokens"])
+        assert math.isclose(r["score"], w["score"], rel_tol=1e-9) and math.isclose(r["base_score"], w["base_score"], rel_tol=1e-9)
+
+
 def test_lm_empty(spark):
     assert lmscore.score(cases.empty(spark)).collect() == []
 
