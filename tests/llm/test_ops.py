@@ -1,6 +1,7 @@
 import hashlib
 import itertools
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -294,6 +295,51 @@ def test_decontaminate_empty(spark):
     assert overlapping(spark, [(1, ITEM, "s", "t")], [])[1] == {1}
 
 
+def aligned(text, item, least):
+    """(first word, words, equal words, item's words) of the widest agreement, by laying
+    the two side by side in every way."""
+    a, b = cases.word_list(text), cases.word_list(item)
+    width, best = min(13, len(b)), None
+    if len(b) < max(1, least):
+        return None
+    for shift in range(-len(b) + 1, len(a)):
+        same = [(p, a[p] == b[p - shift]) for p in range(max(0, shift), min(len(a), shift + len(b)))]
+        good = [k for k in range(len(same) - width + 1) if 5 * sum(e for _, e in same[k:k + width]) >= 4 * width]
+        if good:
+            run = same[good[0]:good[-1] + width]
+            best = max(best or (0, 0), (len(run), -run[0][0], sum(e for _, e in run)))
+    return best and (-best[1], best[0], best[2], len(b))
+
+
+@pytest.mark.parametrize("least", [1, 5])
+def test_overlaps_equal_the_alignment_of_every_pair(spark, least):
+    rng = np.random.default_rng(3)
+    vocabulary = [f"w{k}" for k in range(60)]
+    items = [(k, " ".join(rng.choice(vocabulary, n))) for k, n in enumerate([1, 2, 3, 4, 5, 8, 12, 13, 20, 40, 60])]
+    items += [(20, "la " * 30), (21, "la lo " * 12), (22, None), (23, ""), (24, items[8][1])]
+    docs = [(0, None), (1, ""), (2, "la " * 200), (3, "lo la " * 50), (4, "x " * 10 + "la " * 14)]
+    for k in range(60):
+        w = rng.choice(vocabulary, 50).tolist()
+        part = (items[rng.integers(4, 11)][1] or "").split()
+        for p in rng.integers(0, len(part), rng.integers(0, 4)):
+            part[p] = "changed"
+        docs.append((5 + k, " ".join(w[:20] + part + w[20:]).upper()))
+    want = {(d, i, *hit) for d, t in docs for i, b in items if t and b and (hit := aligned(t, b, least))}
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string").repartition(3),
+                                     spark.createDataFrame(items, "item_id long, text string"), least).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want and len(want) > 40
+
+
+def test_repeats_on_both_sides_need_little_memory():
+    index = decontaminate.Index([(0, "la " * 2000)])
+    h, at = lmscore.words(np.frombuffer(b"la " * 20000, np.uint8), np.array([0, 60000]))
+    tracemalloc.start()
+    found = max((n, -first, equal) for _, _, first, n, equal, _ in index.overlaps(h, at))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == (2000, 0, 2000) and peak < 100 << 20
+
+
 # ---------------------------------------------------------------- 6 fingerprints
 
 def plain_sketch(text, k=fingerprint.K):
