@@ -12,8 +12,9 @@ from seqlab.functions.scan import global_rank
 from seqlab.plans.docs import N_CLASSES, N_FEATURES, STREAM_ROWS
 from seqlab.session import scratch_path
 from seqlab.sources.tables import table
-from seqlab.streaming.jobs import parse_instances, start_minibatch_learner, start_word_count, stream_lines
+from seqlab.streaming.jobs import parse_instances, start_minibatch_learner, start_replayed_word_count, start_word_count, stream_lines
 
+REPLAY_BATCHES = 4
 FILE_ROWS = 100_000     # instances of a file; a range of more is several files
 
 
@@ -35,6 +36,21 @@ def q_word_count_stream(spark, data_dir):
     return spark.read.parquet(f"{base}/out").select(F.col("batch_id").cast("int").alias("batch_id"), "word", "n")
 
 
+def q_word_count_replay(spark, data_dir, batches: int = REPLAY_BATCHES):
+    """Document texts in id order as a line feed of ``batches`` equal batches,
+    each counted after a start of its own: ``batch_id, word, n``."""
+    base = _base(spark, "replay")
+    docs = table(spark, data_dir, "documents").select("doc_id", "text")
+    rows = docs.count()
+    if not rows:
+        return spark.createDataFrame([], "batch_id int, word string, n long")
+    global_rank(docs, "doc_id", "text", name="line").select("line", F.col("text").alias("value")).write.parquet(f"{base}/in")
+    size = -(-rows // batches)
+    for _ in range(-(-rows // size)):
+        start_replayed_word_count(spark.read.parquet(f"{base}/in"), size, f"{base}/out", f"{base}/ckpt").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(F.col("batch_id").cast("int").alias("batch_id"), "word", "n")
+
+
 def learner_batches(rows: int) -> int:
     """Batches of the learner's stream: their number and their size both grow
     with the square root of the row count."""
@@ -95,6 +111,7 @@ def q_learner_stream_keyed(spark, data_dir):
 
 QUERIES = {
     "word_count_stream": q_word_count_stream,
+    "word_count_replay": q_word_count_replay,
     "learner_stream": q_learner_stream,
     "learner_stream_keyed": q_learner_stream_keyed,
 }
@@ -143,4 +160,10 @@ ORACLES = {
     "word_count_stream": """SELECT 0 AS batch_id, word, COUNT(*) AS n FROM (
   SELECT unnest(string_split(line, ' ')) AS word
   FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents) l) w GROUP BY word""",
+    "word_count_replay": f"""WITH d AS (
+  SELECT text, ROW_NUMBER() OVER (ORDER BY doc_id NULLS FIRST, text NULLS FIRST) - 1 AS i, COUNT(*) OVER () AS n FROM documents),
+b AS (SELECT text, i // CAST(ceil(n / {REPLAY_BATCHES}.0) AS BIGINT) AS k FROM d)
+SELECT CAST(k AS INTEGER) AS batch_id, word, COUNT(*) AS n FROM (
+  SELECT k, unnest(string_split(line, ' ')) AS word
+  FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM b) l) w GROUP BY k, word""",
 }

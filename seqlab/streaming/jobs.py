@@ -73,6 +73,30 @@ def start_word_count(lines: DataFrame, out: str, checkpoint: str, *, trigger: di
     return w.trigger(**(trigger or {"processingTime": "1 second"})).start()
 
 
+def start_replayed_word_count(lines: DataFrame, rows_per_batch: int, out: str, checkpoint: str, *,
+                              position: str = "line", text_col: str = "value"):
+    """Word count of the next ``rows_per_batch`` lines of a numbered line table
+    (``position`` 0, 1, 2, ...): a line feed without a port.
+
+    The stream's offsets are line positions, kept in the checkpoint folder, so
+    batch ``k`` is lines ``k * rows_per_batch`` onwards whatever the cluster
+    does; a batch that failed is read again from the table, and its counts
+    replace what it wrote. Every start takes one batch; a start beyond the last
+    line writes nothing. The table should be laid out by position (sorted
+    Parquet): a batch's range is a filter on it.
+    """
+    def per_batch(batch: DataFrame, epoch: int) -> None:
+        first, last = batch.agg(F.min("value"), F.max("value")).first()
+        own = lines.where(F.col(position).between(first, last)) if first is not None else lines.limit(0)
+        if not own.isEmpty():
+            _write_batch(word_count(own, text_col), out, epoch)
+
+    feed = (lines.sparkSession.readStream.format("rate-micro-batch").option("rowsPerBatch", rows_per_batch)
+            .option("startTimestamp", 0).load())
+    return (feed.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
 def _latest_weights(spark: SparkSession, state: str, n_classes: int, n_features: int, before: int):
     """Weights written by the last batch before ``before``: first the
     previous batch's partition only (partition pruning, the usual case), else

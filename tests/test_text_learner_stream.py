@@ -4,12 +4,14 @@ jobs' restart behaviour."""
 import os
 
 import numpy as np
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from seqlab.operators.online import gradient, learn_sequence, minibatch_step, perceptron_keyed
 from seqlab.operators.text import word_count
-from seqlab.streaming.jobs import (keyed_learner_stream, parse_instances, start_minibatch_learner, start_word_count,
-                                   stream_lines)
+from seqlab.streaming.jobs import (keyed_learner_stream, parse_instances, start_minibatch_learner, start_replayed_word_count,
+                                   start_word_count, stream_lines)
 
 
 def test_word_count_counts_empty_words(spark):
@@ -66,6 +68,19 @@ def test_stream_word_count_per_batch_and_restart(spark, tmp_dir):
     assert got == [(0, "", 1), (0, "a", 2), (0, "b", 1), (0, "c", 1), (1, "a", 1)]
 
 
+def test_replayed_lines_have_fixed_batches_and_repeat_nothing(spark, tmp_dir):
+    out, ck = f"{tmp_dir}/out", f"{tmp_dir}/ck"
+    lines = spark.createDataFrame([(i, f"w{i} all") for i in range(10)] + [(10, None), (11, "")], "line long, value string")
+    broken = lines.withColumn("value", F.raise_error(F.lit("lost")).cast("string"))
+    start_replayed_word_count(lines, 5, out, ck).awaitTermination()
+    with pytest.raises(StreamingQueryException):
+        start_replayed_word_count(broken, 5, out, ck).awaitTermination()
+    for _ in range(4):  # the failed batch again, the last lines, and nothing beyond them
+        start_replayed_word_count(lines, 5, out, ck).awaitTermination()
+    got = sorted((r.batch_id, r.word, r.n) for r in spark.read.parquet(out).collect())
+    assert got == sorted([(i // 5, f"w{i}", 1) for i in range(10)] + [(0, "all", 5), (1, "all", 5), (2, "", 1)])
+
+
 def test_stream_learners(spark, tmp_dir):
     src = f"{tmp_dir}/in"
     os.makedirs(src)
