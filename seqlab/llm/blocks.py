@@ -74,11 +74,12 @@ def rows_of(batches):
             tidy()
 
 
-def n_buckets(blocks: DataFrame) -> int:
-    """Hash ranges: one for the keys of ``BLOCKS_A_BUCKET`` blocks, so that a range
-    holds a few million keys whatever the number of blocks."""
-    n = blocks.agg(F.count(F.lit(1))).first()[0]
-    return max(-(-n // BLOCKS_A_BUCKET), 2 * shuffle_partitions(blocks.sparkSession))
+def n_buckets(blocks: DataFrame, size: int | None = None) -> int:
+    """Hash ranges: one for the keys of ``BLOCKS_A_BUCKET`` blocks (or of ``size``
+    bytes of text), so that a range holds a few million keys whatever the number of blocks."""
+    n, raw = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum("raw"), F.lit(0))).first()
+    n = -(-raw // size) if size else -(-n // BLOCKS_A_BUCKET)
+    return max(n, 2 * shuffle_partitions(blocks.sparkSession))
 
 
 def cuts(keys: np.ndarray, n: int) -> np.ndarray:
