@@ -152,6 +152,32 @@ def time_block(ts: str | Column, unit: str = "hour") -> Column:
 
 # Rows of a heavy key sampled per block, for its cut points.
 SAMPLES = 64
+# Pieces that a key's sample is gathered in; no row holds more than one piece.
+SLOTS = 1024
+
+
+def _cut_points(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], target_rows: int) -> DataFrame:
+    """One row per heavy key: ``__hk0``.. and ``__cuts``, the sorted rows to cut at.
+
+    One pass over ``df`` counts rows and gathers samples, a key's sample in
+    ``SLOTS`` pieces. The samples of heavy keys are numbered in order as rows (a
+    sort that can spill), so only the cuts of a key come together in one row.
+    """
+    every = max(1, target_rows // SAMPLES)
+    step = -(-target_rows // every)
+    pos, names = F.struct(*[F.col(c) for c in order_by]), [f"__hk{i}" for i in range(len(keys))]
+    h = F.xxhash64(*[F.col(c) for c in order_by])
+    sampled = F.pmod(h, F.lit(every)) == 0
+    slot = F.when(sampled, F.pmod(F.xxhash64(h), F.lit(SLOTS)))
+    pieces = (df.groupBy(*[F.col(k).alias(n) for k, n in zip(keys, names)], slot.alias("__slot"))
+              .agg(F.count(F.lit(1)).alias("__n"), F.collect_list(F.when(sampled, pos)).alias("__s")))
+    per_key = Window.partitionBy(*names)
+    rows = (pieces.withColumn("__n", F.sum("__n").over(per_key)).where(F.col("__n") > target_rows)
+            .select(*names, F.explode_outer("__s").alias("__p")))
+    place = F.row_number().over(per_key.orderBy(F.col("__p").asc_nulls_last())) - 1
+    rows = rows.withColumn("__i", place)
+    is_cut = F.col("__p").isNotNull() & (F.col("__i") > 0) & (F.col("__i") % step == 0)
+    return rows.groupBy(*names).agg(F.sort_array(F.collect_list(F.when(is_cut, F.col("__p")))).alias("__cuts"))
 
 
 def with_order_blocks(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], target_rows: int = 1_000_000,
@@ -165,21 +191,14 @@ def with_order_blocks(df: DataFrame, keys: Sequence[str], order_by: Sequence[str
     sort first, fall into the first blocks. Only rows equal in all order
     columns cannot be cut apart.
 
-    One aggregation finds counts and samples; the plan stays lazy. The table of
-    heavy keys with their cut points has at most one entry per ``target_rows``
-    rows (a million entries, about 40 MB, for 10^12 rows); it is broadcast, so
-    rows are not shuffled for it. A row's block is found among a key's cuts
-    in two steps of about the square root of their number.
+    The plan stays lazy. The table of heavy keys with their cut points has at
+    most about one entry per ``target_rows`` rows (a million entries, about 40 MB,
+    for 10^12 rows); it is broadcast, so rows are not shuffled for it. A row's
+    block is found among a key's cuts in two steps of about the square root of
+    their number.
     """
-    every = max(1, target_rows // SAMPLES)
-    step = -(-target_rows // every)
     pos = F.struct(*[F.col(c) for c in order_by])
-    sampled = F.pmod(F.xxhash64(*[F.col(c) for c in order_by]), F.lit(every)) == 0
-    per_key = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"),
-                                    F.sort_array(F.collect_list(F.when(sampled, pos))).alias("__s"))
-    cuts = F.filter("__s", lambda _, i: (i > 0) & (i % step == 0))
-    heavy = per_key.where(F.col("__n") > target_rows).select(
-        *[F.col(k).alias(f"__hk{i}") for i, k in enumerate(keys)], cuts.alias("__cuts"))
+    heavy = _cut_points(df, keys, order_by, target_rows)
     heavy = heavy.withColumn("__g", F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("__cuts")))).cast("int"))
     heavy = heavy.withColumn("__heads", F.filter("__cuts", lambda _, i: i % F.col("__g") == 0))
     cond = None

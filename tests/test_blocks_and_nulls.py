@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seqlab.functions.codes import DIRECTION_CODES, MODE_CODES, SPEED_CODES
-from seqlab.functions.scan import global_rank, running, with_order_blocks
+from seqlab.functions.scan import _cut_points, global_rank, running, with_order_blocks
 from seqlab.operators.features import filter_range, sliding_features, strict_int
 from seqlab.operators.joins import nearest_join
 from seqlab.operators.labels import index_labels, label_index
@@ -46,6 +46,19 @@ def test_blocks_are_even_and_follow_the_order(spark):
     assert with_order_blocks(ev, ["u"], ["t", "i"], 1000).where("blk is not null").count() == 0
 
 
+def test_cut_points_of_a_key_are_few_and_even(spark):
+    """A hot key's row has its cuts only, about one per block, and a key without a sample still is one block."""
+    hot = spark.range(60_000).select(F.lit(None).cast("long").alias("u"), (F.col("id") * 7919 % 60_000).alias("t"))
+    cuts = _cut_points(hot.union(spark.createDataFrame([(1, 5), (1, None)], hot.schema)), ["u"], ["t"], 2_000).collect()
+    assert len(cuts) == 1 and cuts[0]["__hk0"] is None
+    at = [c.t for c in cuts[0]["__cuts"]]
+    assert at == sorted(at) and 20 <= len(at) <= 40
+    assert max(b - a for a, b in zip([0, *at], [*at, 60_000])) < 4_000
+    same = spark.range(10).select(F.lit(1).alias("u"), F.lit(7).alias("t"))
+    for target in (2, 9):
+        assert len({r.blk for r in with_order_blocks(same, ["u"], ["t"], target).collect()} - {None}) == 1
+
+
 def test_running_and_windows_at_every_block_size(spark):
     ev = events(spark)
     sums, windows = [], []
