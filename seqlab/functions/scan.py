@@ -15,6 +15,9 @@ Supported scans (all over ``order_by`` inside ``partition_by``):
 * ``firsts`` first non-NULL value at or after the row
 * ``prevs``  value of the previous row (NULL on the first row of the key)
 * ``starts`` running count of the rows that start a run of one value
+
+A frame that ends at the last row is computed anew from every row of its window
+(the square of a key's rows), so ``firsts`` are last values in the reverse order.
 """
 
 from __future__ import annotations
@@ -66,7 +69,8 @@ def running(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str],
     keys = ["__pk"] + ([block] if block else [])
     w = Window.partitionBy(*keys).orderBy(*_cols(order))
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    back = Window.partitionBy(*keys).orderBy(*[c.desc() for c in _cols(order)])
+    ahead = back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def is_v(n):
         return F.coalesce(F.col(f"__r_{n}") == F.lit(starts[n][1]), F.lit(False))
@@ -75,7 +79,7 @@ def running(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str],
         "*",
         *[F.sum(f"__s_{n}").over(upto).alias(f"__ls_{n}") for n in sums],
         *[F.last(f"__l_{n}", ignorenulls=True).over(upto).alias(f"__ll_{n}") for n in lasts],
-        *[F.first(f"__f_{n}", ignorenulls=True).over(ahead).alias(f"__lf_{n}") for n in firsts],
+        *[F.last(f"__f_{n}", ignorenulls=True).over(ahead).alias(f"__lf_{n}") for n in firsts],
         *[F.lag(f"__p_{n}").over(w).alias(f"__lp_{n}") for n in prevs],
         *[is_v(n).alias(f"__rv_{n}") for n in starts],
         *([F.row_number().over(w).alias("__rn")] if (block and prevs) else []),
@@ -111,7 +115,7 @@ def running(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str],
     )
     wb = Window.partitionBy("__pk").orderBy(block)
     before = wb.rowsBetween(Window.unboundedPreceding, -1)
-    after = wb.rowsBetween(1, Window.unboundedFollowing)
+    after = Window.partitionBy("__pk").orderBy(F.col(block).desc()).rowsBetween(Window.unboundedPreceding, -1)
     if starts:
         # A block whose first row continues the previous block's run does
         # not start a run there.
@@ -122,7 +126,7 @@ def running(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str],
         *keys,
         *[F.coalesce(F.sum(f"__bs_{n}").over(before), F.lit(0)).alias(f"__os_{n}") for n in sums],
         *[F.last(f"__bl_{n}", ignorenulls=True).over(before).alias(f"__ol_{n}") for n in lasts],
-        *[F.first(f"__bf_{n}", ignorenulls=True).over(after).alias(f"__of_{n}") for n in firsts],
+        *[F.last(f"__bf_{n}", ignorenulls=True).over(after).alias(f"__of_{n}") for n in firsts],
         *[F.lag(f"__bp_{n}").over(wb).alias(f"__op_{n}") for n in prevs],
         *[(F.coalesce(F.sum(F.col(f"__bt_{n}") - F.col(f"__bc_{n}")).over(before), F.lit(0))
            - F.col(f"__bc_{n}")).alias(f"__or_{n}") for n in starts],

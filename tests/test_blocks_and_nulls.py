@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import numpy as np
 import pytest
@@ -59,6 +60,21 @@ def test_cut_points_of_a_key_are_few_and_even(spark):
         assert len({r.blk for r in with_order_blocks(same, ["u"], ["t"], target).collect()} - {None}) == 1
 
 
+@pytest.mark.parametrize("target", TARGETS)
+def test_next_values_of_a_key_take_one_pass(spark, target):
+    """No frame reaches to the last row of its window: such a frame is computed anew from every row."""
+    ev = events(spark).withColumn("f", F.when(F.col("kind") == "header", F.col("i")))
+    b = with_order_blocks(ev, ["u"], ["t", "i"], target)
+    out = running(b, ["u"], ["t", "i"], block="blk", firsts={"next": F.col("f")})
+    assert not re.search(r"(?<!unboundedpreceding\$\(\)), unboundedfollowing", out._jdf.queryExecution().toString().lower())
+    got = sorted(out.collect(), key=lambda r: (r.u is not None, r.u or 0, r.t is not None, r.t or T0, r.i))
+    ahead, want = {}, []
+    for r in reversed(got):
+        ahead[r.u] = r.f if r.f is not None else ahead.get(r.u)
+        want.append(ahead[r.u])
+    assert [r.next for r in got] == want[::-1] and len(got) == 400
+
+
 def test_running_and_windows_at_every_block_size(spark):
     ev = events(spark)
     sums, windows = [], []
