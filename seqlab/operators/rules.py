@@ -17,6 +17,9 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -233,21 +236,60 @@ def score_rules(df: DataFrame, rules: DataFrame, features: str = "x") -> DataFra
 
 def rules_met(df: DataFrame, rules: DataFrame, features: str = "x") -> DataFrame:
     """Every row with every tree: ``tree, n_met`` (rules whose conditions all hold) and the
-    prediction of the first one. The rules of a tree travel as one array, a broadcast model."""
-    def holds(c):
-        x = F.element_at(F.col(features), c["feature"] + 1)
-        t = F.element_at(c["vals"], 1)
-        return (F.when(c["op"] == OP_CODES[">="], x >= t).when(c["op"] == OP_CODES["<="], x <= t).when(c["op"] == OP_CODES[">"], x > t)
-                .when(c["op"] == OP_CODES["<"], x < t).when(c["op"] == OP_CODES["in"], F.array_contains(c["vals"], x))
-                .otherwise(~F.array_contains(c["vals"], x)))
-
-    trees = rules.groupBy("tree").agg(F.collect_list(F.struct("conds", "prediction")).alias("__rules"))
-    model = trees.agg(F.collect_list(F.struct("tree", "__rules")).alias("__trees")).withColumn("__one", F.lit(1))
-    rows = df.withColumn("__one", F.lit(1)).join(F.broadcast(model), "__one")
-    rows = rows.select("*", F.explode("__trees").alias("__t"))
-    rows = rows.withColumn("__met", F.filter("__t.__rules", lambda r: F.forall(r["conds"], holds)))
-    return rows.select(*[F.col(f"`{c}`") for c in df.columns], F.col("__t.tree").alias("tree"), F.size("__met").alias("n_met"),
-                       F.get("__met", F.lit(0))["prediction"].alias("prediction"))
+    prediction of the first one. ``features`` is an ``array<double>`` column.
+
+    Every rule is tried on every row, by itself: a condition is tested once a batch of rows
+    and kept as bits, a rule is the AND of its conditions' bits. The rules (a model: as many
+    as the trees have leaves) travel with the function, no row carries them. As in SQL a NULL
+    meets no condition, and NaN equals itself and is above all numbers.
+    """
+    by_tree: dict[int, list] = {}
+    places: dict[tuple, int] = {}
+    for r in rules.select("tree", "conds", "prediction").toLocalIterator():
+        own = [places.setdefault((c["feature"], OP_TEXT[c["op"]], tuple(c["vals"])), len(places)) for c in r["conds"]]
+        by_tree.setdefault(r["tree"], []).append((np.array(own, np.int64), r["prediction"]))
+    trees, conds = sorted(by_tree.items()), list(places)
+    width = 1 + max((f for f, _, _ in conds), default=-1)
+
+    def holds(x, known, op, vals):
+        nan = np.isnan(x)
+        if op in ("in", "not in"):
+            met = np.isin(x, vals) | (nan & any(v != v for v in vals))
+            return known & (met if op == "in" else ~met)
+        t = vals[0]
+        above, below = (x > t) | (nan & (t == t)), (x < t) | (~nan & (t != t))
+        return known & {">=": ~below, "<=": ~above, ">": above, "<": below}[op]
+
+    def run(x: pa.Array) -> pa.Array:
+        n = len(x)
+        sizes = pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        there = pc.is_valid(x).to_numpy(zero_copy_only=False)
+        if (sizes[there] < width).any():
+            raise ValueError(f"a row has fewer than {width} features")
+        flat = x.flatten()
+        start = np.cumsum(sizes) - sizes
+        value, known = np.full((width, n), np.nan), np.zeros((width, n), bool)
+        at = start[there] + np.arange(width)[:, None]
+        value[:, there] = flat.to_numpy(zero_copy_only=False)[at]
+        known[:, there] = pc.is_valid(flat).to_numpy(zero_copy_only=False)[at]
+        bits = np.zeros((len(conds), -(-n // 8)), np.uint8)
+        for i, (f, op, vals) in enumerate(conds):
+            bits[i] = np.packbits(holds(value[f], known[f], op, vals))
+        n_met, said = np.zeros((n, len(trees)), np.int32), np.zeros((n, len(trees)))
+        for k, (_, own) in enumerate(trees):
+            for of, prediction in own:
+                hit = np.flatnonzero(np.unpackbits(np.bitwise_and.reduce(bits[of], axis=0), count=n)) if len(of) else np.arange(n)
+                said[hit[n_met[hit, k] == 0], k] = prediction
+                n_met[hit, k] += 1
+        n_met, said = n_met.reshape(-1), said.reshape(-1)
+        each = pa.StructArray.from_arrays(
+            [pa.array(np.tile(np.array([t for t, _ in trees], np.int32), n)), pa.array(n_met), pa.array(said, mask=n_met == 0)],
+            ["tree", "n_met", "prediction"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(trees)), each)
+
+    met = F.arrow_udf(run, "array<struct<tree:int,n_met:int,prediction:double>>")
+    rows = df.withColumn("__met", met(F.col(features))).select("*", F.explode("__met").alias("__t"))
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], "__t.tree", "__t.n_met", "__t.prediction")
 
 
 # ---------------------------------------------------------------- nested documents

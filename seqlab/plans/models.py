@@ -24,10 +24,11 @@ TREE = dict(impurity="gini", max_depth=10, max_bins=32)
 FOREST = dict(impurity="gini", max_depth=10, max_bins=32, num_trees=20, feature_subset="auto")
 
 
-def training_rows(spark, data_dir, label: str = "combined"):
+def training_rows(spark, data_dir, label: str = "combined", lab=None):
     """13 coded features (direction/mode declared categorical) and a dense
-    label: the combined-label index, or the temperature code."""
-    lab = labelled(spark, data_dir, reused=True)
+    label: the combined-label index, or the temperature code. ``lab``: the
+    labelled rows, where the caller has them."""
+    lab = labelled(spark, data_dir, reused=True) if lab is None else lab
     if label == "combined":
         idx = label_index(lab)
         n_classes = idx.count()  # local table: no job over the data
@@ -153,9 +154,10 @@ def q_train_gbt(spark, data_dir):
     return run_algorithm(spark, data_dir, "gbt", label="temp", max_iter=20)
 
 
-def fitted_rules(spark, data_dir, algorithm: str, **params):
-    """Fit on all rows, save, read the node table back, build rules: (rows, model, nodes, rules)."""
-    rows = materialize(training_rows(spark, data_dir))
+def fitted_rules(spark, data_dir, algorithm: str, rows=None, **params):
+    """Fit on all rows, save, read the node table back, build rules: (rows, model, nodes, rules).
+    ``rows``: the training rows, where the caller has them."""
+    rows = materialize(training_rows(spark, data_dir)) if rows is None else rows
     model = train(algorithm, rows, **params)
     path = scratch_path(spark, f"models/{algorithm}-{uuid.uuid4().hex[:8]}")
     save_model(model, path)
@@ -252,9 +254,10 @@ def q_rules_partition(spark, data_dir):
     rows, rows that meet exactly one rule, rows whose rule says what the tree itself says, and
     rules whose line has no decoded label."""
     out = None
+    lab = labelled(spark, data_dir, reused=True)
+    training = materialize(training_rows(spark, data_dir, lab=lab))
     for name, params in _DEEP:
-        rows, model, _, rules = fitted_rules(spark, data_dir, name, **params)
-        lab = labelled(spark, data_dir)
+        rows, model, _, rules = fitted_rules(spark, data_dir, name, rows=training, **params)
         blank = (rule_lines(_decoded(rules, lab), F.coalesce("label_text", F.lit(""))).groupBy("tree")
                  .agg(F.count(F.when(F.col("line").rlike(r"#$"), 1)).alias("n_without_label")))
         if name == "forest":

@@ -104,6 +104,38 @@ def test_expression_takes_the_unmet_branch_for_missing_values(spark):
     assert rule_expression([{"conds": [], "prediction": 4.0}]) == "4.0D"
 
 
+def test_rules_met_tries_every_rule_without_carrying_them(spark):
+    """All conditions, NULL, NaN, rules that overlap and none; no row carries a tree's rules."""
+    rng = random.Random(4)
+    of = {0: lambda v, t: v >= t[0], 1: lambda v, t: v <= t[0], 2: lambda v, t: v > t[0], 3: lambda v, t: v < t[0],
+          4: lambda v, t: v in t, 5: lambda v, t: v not in t}
+    rules = [(rng.randint(1, 3), i, [(rng.randint(0, 2), op, [float(rng.randint(0, 4)) for _ in range(rng.randint(0, 3) if op >= 4 else 1)])
+                                    for op in rng.choices(range(6), k=rng.randint(0, 3))], float(i)) for i in range(60)]
+    value = lambda: rng.choice([None, math.nan, *map(float, range(5))])
+    rows = [(i, None if i == 7 else [value(), value(), value()]) for i in range(300)]
+    table = spark.createDataFrame(rules, "tree int, leaf int, conds array<struct<feature:int,op:int,vals:array<double>>>, prediction double")
+    met = rules_met(spark.createDataFrame(rows, "id long, x array<double>").repartition(3), table)
+    plan = met._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and met.columns == ["id", "x", "tree", "n_met", "prediction"]
+    big = lambda v: math.inf if v != v else v   # noqa: E731     NaN is above all numbers
+    got = {(r["id"], r["tree"]): (r["n_met"], r["prediction"]) for r in met.collect()}
+    assert len(got) == 900
+    for i, x in rows:
+        for tree in (1, 2, 3):
+            hits = [p for t, _, conds, p in rules if t == tree and all(
+                x is not None and x[f] is not None and of[op](big(x[f]), vals) for f, op, vals in conds)]
+            assert got[i, tree][0] == len(hits) and (got[i, tree][1] in hits if hits else got[i, tree][1] is None)
+
+
+def test_rules_met_of_no_rules_and_no_rows(spark):
+    table = spark.createDataFrame([], "tree int, leaf int, conds array<struct<feature:int,op:int,vals:array<double>>>, prediction double")
+    rows = spark.createDataFrame([(1, [0.5])], "id long, x array<double>")
+    assert rules_met(rows, table).collect() == []
+    leaf = spark.createDataFrame([(1, 0, [], 3.0)], table.schema)
+    assert rules_met(rows.limit(0), leaf).collect() == []
+    assert [tuple(r) for r in rules_met(rows, leaf).select("tree", "n_met", "prediction").collect()] == [(1, 1, 3.0)]
+
+
 def _gini(counts):
     n = sum(counts.values())
     return 1 - sum(c * c for c in counts.values()) / n / n
