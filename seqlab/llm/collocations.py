@@ -143,14 +143,17 @@ def _entries(blocks: DataFrame) -> DataFrame:
 
 
 def _with_numbers(blocks: DataFrame, frequent: DataFrame) -> DataFrame:
-    """(block, ids, first): the numbers (from 1; 0: not frequent) of a block's words."""
-    found = (_entries(blocks).drop("c").join(frequent.select("lang", "word", "id"), ["lang", "word"])
+    """(block, ids, first): the numbers (from 1; 0: not frequent) of a block's words. Every
+    word of a block keeps its row in the join, so their number follows the text, not how
+    many words are frequent."""
+    numbers = frequent.select("lang", "word", (F.col("id") + 1).alias("id"))
+    found = (_entries(blocks).drop("c").join(numbers, ["lang", "word"], "left").withColumn("id", F.coalesce("id", F.lit(0)))
              .groupBy("block").agg(F.collect_list("place").alias("place"), F.collect_list("id").alias("id")))
 
     def run(batches):
         for row in rows_of(batches):
             number = np.zeros(row["size"], np.int64)
-            number[row["place"]] = np.asarray(row["id"], np.int64) + 1
+            number[row["place"]] = row["id"]
             s = unpack(row["stream"], np.int32)
             first = s < 0
             ids = number[np.where(first, ~s, s)]

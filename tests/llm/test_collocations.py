@@ -79,6 +79,19 @@ def test_empty_table(spark, tmp_dir):
     assert collocations.op12_collocations(spark, tmp_dir).collect() == []
 
 
+def test_numbers_join_keeps_a_row_for_every_word(spark):
+    """Rows of the join follow the words of the blocks, not how many of them are frequent; a block without any stays."""
+    rows = spark.sparkContext.parallelize([("en", "a b a b. c"), ("de", "a x"), (None, "y z")], 3)
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    blocks = collocations.word_blocks(docs)
+    frequent = spark.createDataFrame([(4, "en", "a", 2), (5, "en", "b", 2)], "id long, lang string, word string, f long")
+    found = []
+    numbers = collocations._with_numbers(blocks, frequent)
+    for r in numbers.collect():
+        found += [int(i) for i in collocations.unpack(r["ids"], np.int64) if i]
+    assert numbers.count() == blocks.count() and sorted(found) == [5, 5, 6, 6]
+
+
 def test_multikey_quicksort_counts_prefixes():
     rng = np.random.default_rng(4)
     w = rng.integers(0, 4, (5, 3000))
