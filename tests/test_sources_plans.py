@@ -2,6 +2,7 @@
 blocked partitioning, no cartesian products)."""
 
 import os
+import re
 
 import pytest
 
@@ -93,3 +94,19 @@ def test_delimited_round_trip_keeps_blank_fields(spark, tmp_dir):
     assert "".join(lines).splitlines() == ["u1,,上海", "u2,x,"]
     back = sorted(tuple(r) for r in read_delimited(spark, f"{tmp_dir}/d", ["user", "a", "city"]).collect())
     assert back == [("u1", None, "上海"), ("u2", "x", None)]
+
+
+def test_log_dataset_scans_every_key_once(spark, tmp_dir):
+    """Sessions and weather of one city and day: no window frame is computed anew from every row."""
+    from pyspark.sql import functions as F
+
+    from seqlab.plans.logs import q_log_dataset
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("click", "purchase", "view", "error")]), (F.col("id") % 4 + 1).cast("int"))
+    ev = spark.range(400).select(
+        F.col("id").alias("event_id"), F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, id)").alias("ts"),
+        (F.col("id").cast("int") / 40).cast("long").alias("user_id"), kind.alias("event_type"), F.col("id").cast("double").alias("value"),
+        F.lit("{}").alias("props"))
+    ev.write.parquet(f"{tmp_dir}/events.parquet")
+    out = q_log_dataset(spark, tmp_dir)
+    assert not re.search(r"(?<!unboundedpreceding\$\(\)), unboundedfollowing", out._jdf.queryExecution().toString().lower())
+    assert set(out.columns) == {"user", "session_id", "line"}
