@@ -44,7 +44,7 @@ def parse_instances(lines: DataFrame, n_features: int, on_bad: str = "error") ->
         lines = lines.where(F.coalesce(good, F.lit(False)))
         x = numbers
     else:
-        x = F.when(good, numbers).otherwise(F.raise_error(F.concat(F.lit("not an instance line: "), F.col("value"))))
+        x = F.when(good, numbers).otherwise(F.raise_error(F.concat(F.lit("not an instance line: "), F.coalesce("value", F.lit("NULL")))))
     return lines.select(F.slice(x, 1, n_features).alias("x"), F.element_at(numbers, -1).cast("int").alias("y"),
                         *[c for c in lines.columns if c != "value"])
 

@@ -145,6 +145,11 @@ def test_bad_instance_lines(spark):
         parse_instances(lines, 2).collect()
 
 
+def test_missing_instance_line_is_named(spark):
+    with pytest.raises(Exception, match="not an instance line: NULL"):
+        parse_instances(spark.createDataFrame([(None,)], "value string"), 2).collect()
+
+
 def test_line_ends_are_the_same_in_both_readers(spark, tmp_dir):
     with open(f"{tmp_dir}/1.txt", "wb") as f:
         f.write(b"a\r\n\r\nb\nc")
